@@ -28,7 +28,7 @@ SMALL_INPUT_BYTES = 256 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of the optimized plan. No job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:
