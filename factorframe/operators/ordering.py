@@ -9,8 +9,8 @@ one buffer. Neither holds when one date carries a third of all rows. The operato
 
 The cuts only balance work. Positions are exact whatever the cuts are.
 
-All of this costs extra stages. When the size Catalyst estimates for the whole input (the figure it also uses to choose
-broadcasts) is below ``SMALL_INPUT_BYTES``, no group can be large and a single window or percentile is used instead.
+All of this costs extra stages. When the sources behind the input (by the size statistics Catalyst also uses to choose
+broadcasts) are below ``SMALL_INPUT_BYTES`` together, no group can be large and one window or percentile is used instead.
 """
 
 from __future__ import annotations
@@ -27,8 +27,12 @@ SMALL_INPUT_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of the optimized plan. No job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Summed size statistics of the sources the optimized plan reads, after column and file pruning. No job runs.
+
+    Sources without statistics count as huge.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def is_small(df: DataFrame, limit: int | None = None) -> bool:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factorframe.functions import rolling as R
 from factorframe.operators.labels import forward_return
 from factorframe.operators.resample import resample
+from factorframe.sources.panel import trade_calendar
 
 
 class Tables:
@@ -99,6 +100,34 @@ class Tables:
         nation = self.read("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("industry"))
         return supplier.join(nation, "s_nationkey").select("code", "industry")
 
+    @cached_property
+    def names(self) -> DataFrame:
+        """code, name, listed code with an exchange prefix. Names of low balances carry the ST mark."""
+        mark = F.when(F.col("s_acctbal") < 1000, F.lit("*ST ")).otherwise("")
+        head = F.element_at(F.array(*[F.lit(h) for h in CODE_HEADS]), (F.col("s_suppkey") % 4 + 1).cast("int"))
+        return self.read("supplier").select(
+            F.col("s_suppkey").alias("code"),
+            F.concat(mark, "s_name").alias("name"),
+            F.concat(head, F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("listed"),
+        )
+
+    @cached_property
+    def quoted(self) -> DataFrame:
+        """Weekly panel with pct_chg, preclose, name and listed code."""
+        return self.week.select(
+            "*", (100 * R.pct_change("close", 1)).alias("pct_chg"), R.ref("close", 1).alias("preclose")
+        ).join(self.names, "code")
+
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return trade_calendar(self.week)
+
+    @cached_property
+    def day_calendar(self) -> DataFrame:
+        return trade_calendar(self.day)
+
+
+CODE_HEADS = ("sh600", "sz300", "sh688", "bj430")
 
 # The same derivations as SQL, for the second engine. name -> (dependencies, text)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -142,6 +171,18 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT date, avg(r) AS bench
         FROM (SELECT date, close / lag(close) OVER (PARTITION BY code ORDER BY date) - 1 AS r FROM wk) t
         GROUP BY date HAVING avg(r) IS NOT NULL"""),
+    "names": ((), """
+        SELECT s_suppkey AS code, CASE WHEN s_acctbal < 1000 THEN '*ST ' ELSE '' END || s_name AS name,
+               (CASE s_suppkey % 4 WHEN 0 THEN 'sh600' WHEN 1 THEN 'sz300' WHEN 2 THEN 'sh688' ELSE 'bj430' END)
+                 || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS listed
+        FROM supplier"""),
+    "quoted": (("wk", "names"), """
+        SELECT w.*, 100 * (close / lag(close) OVER p - 1) AS pct_chg, lag(close) OVER p AS preclose, name, listed
+        FROM wk w JOIN names USING (code) WINDOW p AS (PARTITION BY code ORDER BY date)"""),
+    "cal": (("wk",), "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM wk) d"),
+    "dcal": (("panel_day",),
+             "SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM panel_day) d"),
+    "inst": (("wk",), "SELECT code, min(date) AS start_date, max(date) AS end_date FROM wk GROUP BY code"),
     "industry": ((), """
         SELECT s_suppkey AS code, n_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey"""),
     "ic": (("sl",), """
