@@ -1,7 +1,8 @@
 """Factor sets over a bar panel, as plain window expressions.
 
-features() needs two steps over one shuffle: returns and price changes first, then every rolling statistic. All windows
-share the same partitioning and order, so Spark exchanges and sorts the panel once.
+Single factors are window expressions over a panel that already carries ret and move (with_returns). features() builds the
+whole set: returns first, then sums per window, then the factors as plain arithmetic. All windows share the same
+partitioning and order, so Spark exchanges and sorts the panel once (twice with the market join for beta).
 """
 
 from __future__ import annotations
@@ -104,31 +105,126 @@ def market_return(panel: DataFrame) -> DataFrame:
     return panel.groupBy("date").agg(F.avg("ret").alias("market"))
 
 
-def feature_expressions(windows: Sequence[int], with_beta: bool = True) -> dict[str, Column]:
-    out = {**kbar(), "illiq": illiquidity(), f"rsi_{RSI_WINDOW}": rsi()}
-    for n in windows:
-        out |= {
-            f"roc_{n}": roc(n),
-            f"ma_{n}": ma_ratio(n),
-            f"std_{n}": volatility(n),
-            f"high_{n}": dist_high(n),
-            f"low_{n}": dist_low(n),
-            f"vroc_{n}": volume_roc(n),
-            f"vma_{n}": volume_mean(n),
-            f"vstd_{n}": volume_std(n),
-            f"corr_{n}": corr_pv(n),
-            f"skew_{n}": R.skew("ret", n),
-            f"kurt_{n}": R.kurt("ret", n),
-            f"vwap_{n}": vwap_dev(n),
-        }
-        if with_beta:
-            out[f"beta_{n}"] = beta(n)
+# Columns summed over every window of a factor set, and the input columns they are powers or products of.
+POWERS = {
+    "_r1": ("ret",), "_r2": ("ret", "ret"), "_r3": ("ret", "ret", "ret"), "_r4": ("ret", "ret", "ret", "ret"),
+    "_c1": ("close",), "_c2": ("close", "close"), "_v1": ("volume",), "_v2": ("volume", "volume"),
+    "_vc": ("volume", "close"), "_a1": ("amount",),
+}
+MARKET_POWERS = {"_m1": ("market",), "_m2": ("market", "market"), "_rm": ("ret", "market")}
+# A second moment below this share of the mean square is rounding noise of a constant window.
+FLAT = 1e-13
+
+
+EXTREMES = {"_hi": F.greatest, "_lo": F.least}
+
+
+def _first_sums(powers: Sequence[str], n: int) -> dict[str, Column]:
+    """Sums of a sliding frame of n rows."""
+    frame = R.trailing(n)
+    return {f"{p}_{n}": F.sum(p).over(frame) for p in powers} | {
+        f"_rows_{n}": F.count("_c1").over(frame),
+        f"_rets_{n}": F.count("_r1").over(frame),
+        f"_hi_{n}": F.max("close").over(frame),
+        f"_lo_{n}": F.min("close").over(frame),
+    }
+
+
+def _joined_sums(powers: Sequence[str], n: int, near: int, far: int) -> dict[str, Column]:
+    """Sums of n = near + far rows: the near frame plus the far frame that ended near rows ago."""
+    earlier = R.ordered()
+    out = {}
+    for name in (*powers, "_rows", "_rets"):
+        out[f"{name}_{n}"] = F.col(f"{name}_{near}") + F.lag(f"{name}_{far}", near).over(earlier)
+    for name, combine in EXTREMES.items():
+        past = F.lag(f"{name}_{far}", near).over(earlier)
+        out[f"{name}_{n}"] = F.when(past.isNotNull(), combine(F.col(f"{name}_{near}"), past))
+    return out
+
+
+def _with_window_sums(df: DataFrame, powers: Sequence[str], windows: Sequence[int]) -> DataFrame:
+    """Add the sums of every window, longer ones built from shorter ones where two of them add up."""
+    done: list[int] = []
+    for n in sorted(windows):
+        split = next(((near, n - near) for near in reversed(done) if n - near in done), None)
+        df = df.withColumns(_joined_sums(powers, n, *split) if split else _first_sums(powers, n))
+        done.append(n)
+    return df
+
+
+def _spreads(n: int, with_beta: bool) -> dict[str, Column]:
+    """Sums of squared deviations per window, zero where only rounding noise is left."""
+    squares = {"_dr": ("_r2", "_r1"), "_dv": ("_v2", "_v1"), "_dc": ("_c2", "_c1")}
+    if with_beta:
+        squares["_dm"] = ("_m2", "_m1")
+    out = {}
+    for name, (square, plain) in squares.items():
+        total, first = F.col(f"{square}_{n}"), F.col(f"{plain}_{n}")
+        centred = total - first * first / n
+        out[f"{name}_{n}"] = F.when(centred > FLAT * total, centred).otherwise(0.0)
+    return out
+
+
+def _window_factors(n: int, with_beta: bool) -> dict[str, Column]:
+    """Every factor of one window from its sums."""
+
+    def s(name: str) -> Column:
+        return F.col(f"{name}_{n}")
+
+    def full(value: Column, rows: str = "_rows") -> Column:
+        return F.when(s(rows) >= n, value)
+
+    close, volume = F.col("close"), F.col("volume")
+    mean = s("_r1") / n
+    second = s("_dr") / n
+    third = s("_r3") / n - 3 * mean * s("_r2") / n + 2 * mean * mean * mean
+    fourth = s("_r4") / n - 4 * mean * s("_r3") / n + 6 * mean * mean * s("_r2") / n - 3 * mean * mean * mean * mean
+    product = s("_vc") - s("_v1") * s("_c1") / n
+    out = {
+        f"roc_{n}": F.try_divide(close, s("_close")) - 1,
+        f"ma_{n}": full(F.try_divide(s("_c1") / n, close)),
+        f"std_{n}": full(F.sqrt(s("_dr") / (n - 1)), "_rets"),
+        f"high_{n}": full(F.try_divide(s("_hi"), close) - 1),
+        f"low_{n}": full(F.try_divide(s("_lo"), close) - 1),
+        f"vroc_{n}": F.try_divide(volume, s("_volume")) - 1,
+        f"vma_{n}": full(s("_v1") / n),
+        f"vstd_{n}": full(F.sqrt(s("_dv") / (n - 1))),
+        f"corr_{n}": full(F.try_divide(product, F.sqrt(s("_dv")) * F.sqrt(s("_dc")))),
+        f"skew_{n}": full(F.try_divide(third, F.pow(second, F.lit(1.5))), "_rets"),
+        f"kurt_{n}": full(F.try_divide(fourth, second * second) - 3, "_rets"),
+        f"vwap_{n}": full(F.try_divide(F.try_divide(s("_a1"), s("_v1")), close) - 1),
+    }
+    if with_beta:
+        shared = s("_rm") - s("_r1") * s("_m1") / n
+        out[f"beta_{n}"] = full(F.try_divide(shared, s("_dm")), "_rets")
     return out
 
 
 def features(panel: DataFrame, windows: Sequence[int] = SHORT_WINDOWS, with_beta: bool = True) -> DataFrame:
-    """code, date and one column per factor and window."""
+    """code, date and one column per factor and window.
+
+    A sliding frame visits each of its rows for every aggregate, so the set shares one group of plain sums instead of one
+    moment aggregate per factor, and only the shortest frame slides: 10 = 5 + 5, 20 = 10 + 10, 30 = 20 + 10 and so on, each
+    from a lagged shorter sum. Sums stay inside the window, so nothing cancels against older rows.
+    """
     base = with_returns(panel)
+    powers = dict(POWERS)
     if with_beta:
         base = base.join(date_sized(market_return(base)), "date", "left")
-    return base.select("code", "date", *[c.alias(name) for name, c in feature_expressions(windows, with_beta).items()])
+        powers |= MARKET_POWERS
+    raised = {}
+    for name, inputs in powers.items():
+        product = F.col(inputs[0])
+        for column in inputs[1:]:
+            product = product * F.col(column)
+        raised[name] = product
+    staged = base.withColumns(raised)
+    past = {"_rsi": rsi()}
+    for n in windows:
+        past |= {f"_close_{n}": R.ref("close", n), f"_volume_{n}": R.ref("volume", n)}
+    summed = _with_window_sums(staged.withColumns(past), list(powers), windows)
+    spreads = {name: c for n in windows for name, c in _spreads(n, with_beta).items()}
+    out = {**kbar(), "illiq": illiquidity(), f"rsi_{RSI_WINDOW}": F.col("_rsi")}
+    for n in windows:
+        out |= _window_factors(n, with_beta)
+    return summed.withColumns(spreads).select("code", "date", *[c.alias(name) for name, c in out.items()])

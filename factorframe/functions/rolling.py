@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from factorframe.functions.stats import correlation_over
+
 ENTITY = "code"
 TIME = "date"
 
@@ -69,7 +71,12 @@ def _paired(aggregate):
     return build
 
 
-corr = _paired(F.corr)
+def corr(x, y, n: int, min_periods: int | None = None, by: str = ENTITY, order: str = TIME) -> Column:
+    x, y, w = _col(x), _col(y), trailing(n, by, order)
+    both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))
+    return _guard(correlation_over(x, y, w), both, n, w, min_periods)
+
+
 cov = _paired(F.covar_samp)
 slope = _paired(F.regr_slope)  # slope(y, x, n): dependent value first
 

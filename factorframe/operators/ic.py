@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorframe.functions import rolling as R
+from factorframe.functions.stats import correlation
 from factorframe.operators.labels import forward_return, quantile_grades
 from factorframe.operators.ordering import average_ranks, date_sized, first_k, group_median
 from factorframe.operators.significance import newey_west
@@ -37,7 +37,7 @@ def rank_ic(
     rows = pairs.select(*by, score, label).where(F.col(score).isNotNull() & F.col(label).isNotNull())
     ranked = average_ranks(rows, list(by), {score: "_rank_score", label: "_rank_label"})
     n = F.count(F.lit(1))
-    out = ranked.groupBy(*by).agg(F.corr("_rank_score", "_rank_label").alias("ic"), n.alias("n"))
+    out = ranked.groupBy(*by).agg(correlation("_rank_score", "_rank_label").alias("ic"), n.alias("n"))
     if legacy_scale:
         out = out.withColumn("ic", F.coalesce(F.col("ic") * (F.col("n") - 1) / F.col("n"), F.lit(0.0)))
     return out.where((F.col("n") >= min_names) & F.col("ic").isNotNull())
@@ -56,7 +56,7 @@ def pooled_rank_ic(pairs: DataFrame, by: Sequence[str] = (), min_rows: int = MIN
     if not keys:
         rows, keys = rows.withColumn("_pool", F.lit(0)), ["_pool"]
     ranked = average_ranks(rows.select(*keys, "score", "label"), keys, {"score": "_s", "label": "_l"})
-    out = ranked.groupBy(*keys).agg(F.corr("_s", "_l").alias("ic"), F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy(*keys).agg(correlation("_s", "_l").alias("ic"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("ic", F.when(F.col("n") >= min_rows, F.col("ic"))).select(*by, "ic", "n")
 
 
@@ -66,7 +66,7 @@ def daily_ic(pairs: DataFrame, by: Sequence[str] = ("date",), min_names: int = M
     return (
         pairs.where(both)
         .groupBy(*by)
-        .agg(F.corr("score", "label").alias("ic"), F.count(F.lit(1)).alias("n"))
+        .agg(correlation("score", "label").alias("ic"), F.count(F.lit(1)).alias("n"))
         .where((F.col("n") >= min_names) & F.col("ic").isNotNull())
     )
 
@@ -143,7 +143,7 @@ def autocorrelation(series: DataFrame, value: str, max_lag: int = 20, by: Sequen
         *keys, F.col(value).alias("_x"), *[F.lag(value, k).over(ordered).alias(f"_x{k}") for k in range(1, max_lag + 1)]
     )
     wide = lagged.groupBy(*keys).agg(
-        F.count("_x").alias("_n"), *[F.corr("_x", f"_x{k}").alias(f"_c{k}") for k in range(1, max_lag + 1)]
+        F.count("_x").alias("_n"), *[correlation("_x", f"_x{k}").alias(f"_c{k}") for k in range(1, max_lag + 1)]
     )
     pairs = ", ".join(f"{k}, _c{k}" for k in range(1, max_lag + 1))
     return (

@@ -27,8 +27,7 @@ def connect(folder: str):
     return con
 
 
-def _key(row):
-    return tuple((v is None, "" if v is None else (f"{v:.4g}" if isinstance(v, float) else str(v))) for v in row)
+SPARK_SECONDS: list[float] = []
 
 
 def _full_key(row):
@@ -43,7 +42,9 @@ def differences(spark_df, con, sql, limit: int = 3) -> list[str]:
     if sorted(names) != sorted(got_names):
         return [f"columns differ: spark {sorted(got_names)} sql {sorted(names)}"]
     order = sorted(names)
+    start = time.time()
     got = [tuple(r[c] for c in order) for r in spark_df.collect()]
+    SPARK_SECONDS.append(time.time() - start)
     place = [names.index(c) for c in order]
     want = [tuple(r[i] for i in place) for r in want]
     out = []
@@ -97,7 +98,7 @@ def main() -> int:
             if "-v" in os.environ.get("CHECK", ""):
                 traceback.print_exc()
         took = time.time() - start
-        print(f"{'ok  ' if not problems else 'FAIL'} {q.name:34s} {took:6.2f}s{'' if q.sql else '  (rows only)'}", flush=True)
+        print(f"{'ok  ' if not problems else 'FAIL'} {q.name:34s} {took:6.2f}s spark {SPARK_SECONDS[-1] if q.sql and SPARK_SECONDS else took:6.2f}s{'' if q.sql else '  (rows only)'}", flush=True)
         for p in problems:
             print("     ", p, flush=True)
         if problems:
