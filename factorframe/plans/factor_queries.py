@@ -59,7 +59,7 @@ rolling_query("w_cov", 4, _strict("covar_samp(volume, close) OVER w10", "close",
 rolling_query("w_skew", 5, sql_skew("ret", 10), lambda: R.skew("ret", 10))
 rolling_query("w_kurt", 5, _strict("kurtosis_pop(ret) OVER w10", "ret", 10), lambda: R.kurt("ret", 10))
 rolling_query(
-    "w_quantile", 10, _strict("quantile_cont(close, 0.25) OVER w10", "close", 10), lambda: R.quantile("close", 10, 0.25)
+    "w_quantile", 9, _strict("quantile_cont(close, 0.25) OVER w10", "close", 10), lambda: R.quantile("close", 10, 0.25)
 )
 rolling_query("pct_change", 8, "ret", lambda: R.pct_change("close", 1), ())
 rolling_query("diff", 8, "move", lambda: R.diff("close", 1), ())
