@@ -296,7 +296,7 @@ def check_price_jump(t):
 
 @query(
     "check_zero_volume_move",
-    {"code": "int", "date": "date", "close": 9, "volume": 4, "move": 8},
+    {"code": "int", "date": "date", "close": 9, "volume": 4, "move": 9},
     f"WITH {_RAW}, {_FIRST} SELECT code, date, close, volume, move FROM fb2 WHERE volume = 0 AND abs(move) > 0.001",
 )
 def check_zero_volume_move(t):
