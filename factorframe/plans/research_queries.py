@@ -262,10 +262,10 @@ def stream_ohlcv_bars(t):
     folder = scratch(t.spark)
     schema = t.read("events").schema
     stream = Z.stream_files(t.spark, f"{t.folder}/event*.parquet", schema)
-    bars = Z.ohlcv(ticks(t, stream))
+    bars = Z.ohlcv(ticks(t, stream.withColumn("ts", Z.utc_instant(F.col("ts")))))
     writer = bars.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").withColumn("day", F.col("start").cast("date"))
+    return t.spark.read.parquet(f"{folder}/out").withColumn("day", Z.utc_wall(F.col("start")).cast("date"))
 
 
 @query(

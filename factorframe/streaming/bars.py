@@ -123,10 +123,23 @@ def adjust_events(stream: DataFrame, threshold: float = ADJUST_EVENT) -> DataFra
 # ---- ticks to bars ---------------------------------------------------------------------------------------------------
 
 
+def utc_instant(wall):
+    """Zone-free wall-clock time as an instant that reads the same in UTC, whatever the session zone.
+
+    Watermarks need instants, and day windows are cut at midnight UTC.
+    """
+    return F.from_utc_timestamp(wall.cast("timestamp"), F.current_timezone())
+
+
+def utc_wall(instant):
+    return F.to_utc_timestamp(instant, F.current_timezone()).cast("timestamp_ntz")
+
+
 def ohlcv(ticks: DataFrame, width: str = "1 day", slide: str | None = None, watermark: str | None = "1 day") -> DataFrame:
     """Bars per code and window of event time; works on a stream (append mode) and on a static frame.
 
-    ticks: code, ts, seq, price, volume. The first and last price follow (ts, seq).
+    ticks: code, ts, seq, price, volume. The first and last price follow (ts, seq). A stream needs ts as an instant; see
+    utc_instant for zone-free times.
     """
     rows = ticks.withWatermark("ts", watermark) if watermark and ticks.isStreaming else ticks
     frame = F.window("ts", width, slide) if slide else F.window("ts", width)
