@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorframe.functions import rolling as R
@@ -24,23 +24,43 @@ def shift_forward(df: DataFrame, calendar: DataFrame, date: str, n: int, fallbac
     """Replace date by the n-th calendar date after the first one on or after it.
 
     Beyond the calendar's end: fallback when the shift runs out, the date itself when no calendar date follows it.
-    The calendar becomes one sorted array, so each row needs a lookup and no range join; it has one entry per date.
+    The range search becomes two equality joins: every day of the calendar's span knows the first trading date on or
+    after it. Both tables have one row per day and are broadcast, so df is not shuffled.
     """
-    dates = calendar.agg(F.array_sort(F.collect_list("date")).alias("_dates"))
-    at_or_after = F.size(F.filter("_dates", lambda d: d < F.col(date))) + 1
-    target = F.when(at_or_after > F.size("_dates"), F.col(date)).otherwise(
-        F.coalesce(F.try_element_at("_dates", at_or_after + n), F.col(fallback))
+    gaps = calendar.select("date", "idx", F.lag("date").over(Window.orderBy("date")).alias("_previous"))
+    days = gaps.select(
+        F.explode(F.sequence(F.coalesce(F.date_add("_previous", 1), F.col("date")), F.col("date"))).alias("_day"),
+        (F.col("idx") + n).alias("_at"),
     )
-    return df.crossJoin(F.broadcast(dates)).withColumn(date, target).select(*df.columns)
+    targets = calendar.select(F.col("idx").alias("_at"), F.col("date").alias("_target"))
+    first = calendar.agg(F.min("date").alias("_first"))  # one row
+    placed = df.crossJoin(F.broadcast(first)).withColumn("_day", F.greatest(F.col(date), F.col("_first")))
+    found = placed.join(date_sized(days), "_day", "left").join(date_sized(targets), "_at", "left")
+    moved = F.when(F.col("_at").isNull(), F.col(date)).otherwise(F.coalesce("_target", fallback))
+    return found.withColumn(date, moved).select(*df.columns)
 
 
-def interval_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of closed intervals (id, start_date, end_date) that overlap: left_id, right_id, and the shared range."""
-    a = left.select(F.col("id").alias("left_id"), F.col("start_date").alias("_s1"), F.col("end_date").alias("_e1"))
-    b = right.select(F.col("id").alias("right_id"), F.col("start_date").alias("_s2"), F.col("end_date").alias("_e2"))
-    return a.join(b, (F.col("_s1") <= F.col("_e2")) & (F.col("_s2") <= F.col("_e1"))).select(
-        "left_id", "right_id", F.greatest("_s1", "_s2").alias("start_date"), F.least("_e1", "_e2").alias("end_date")
-    )
+OVERLAP_BUCKET_DAYS = 366
+
+
+def interval_overlap(left: DataFrame, right: DataFrame, bucket_days: int = OVERLAP_BUCKET_DAYS) -> DataFrame:
+    """Pairs of closed intervals (id, start_date, end_date) that overlap: left_id, right_id, and the shared range.
+
+    Both sides are spread over the time buckets they touch and meet by an equality join on the bucket. A pair is kept
+    only in the bucket where its shared range starts, so it appears once and no pair without a common bucket is formed.
+    """
+
+    def bucket(day) -> Column:
+        return F.floor(F.unix_date(day) / bucket_days)
+
+    def spread(df: DataFrame, name: str, start: str, end: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(name), F.col("start_date").alias(start), F.col("end_date").alias(end))
+        return rows.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+
+    pairs = spread(left, "left_id", "_s1", "_e1").join(spread(right, "right_id", "_s2", "_e2"), "_b")
+    begin = F.greatest("_s1", "_s2")
+    shared = (F.col("_s1") <= F.col("_e2")) & (F.col("_s2") <= F.col("_e1")) & (F.col("_b") == bucket(begin))
+    return pairs.where(shared).select("left_id", "right_id", begin.alias("start_date"), F.least("_e1", "_e2").alias("end_date"))
 
 
 def densify(panel: DataFrame, calendar: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ from factorframe.operators.ic import icir_summary, rank_ic
 
 
 def cumulative_share(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
-    """Add share (running share of the total, largest first) and place. For tables of one row per feature or entity."""
+    """Add share (running share of the total, largest first) and place. For tables of one row per feature or group."""
     whole = Window.partitionBy(*(list(by) or [F.lit(0)]))
     ordered = whole.orderBy(F.desc(value), tie)
     running = F.sum(value).over(ordered.rowsBetween(Window.unboundedPreceding, 0))

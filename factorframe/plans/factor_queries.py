@@ -160,15 +160,16 @@ def flat_runs(t):
 
 @query(
     "cumulative_share",
-    {"code": "int", "amount": 3, "share": 7, "place": "int"},
-    with_ctes("wk", extra="a AS (SELECT code, sum(amount) AS amount FROM wk GROUP BY code)")
-    + """SELECT code, amount, sum(amount) OVER (ORDER BY amount DESC, code) / sum(amount) OVER () AS share,
-                row_number() OVER (ORDER BY amount DESC, code) AS place FROM a""",
+    {"industry": "str", "amount": 3, "share": 7, "place": "int"},
+    with_ctes("wk", "industry", extra="a AS (SELECT industry, sum(amount) AS amount FROM wk JOIN industry USING (code) GROUP BY industry)")
+    + """SELECT industry, amount, sum(amount) OVER (ORDER BY amount DESC, industry) / sum(amount) OVER () AS share,
+                row_number() OVER (ORDER BY amount DESC, industry) AS place FROM a""",
 )
 def cumulative_share(t):
     from factorframe.operators.modelling import cumulative_share as share
 
-    return share(t.week.groupBy("code").agg(F.sum("amount").alias("amount")), "amount", "code")
+    totals = t.week.join(t.industry, "code").groupBy("industry").agg(F.sum("amount").alias("amount"))
+    return share(totals, "amount", "industry")
 
 
 @query(

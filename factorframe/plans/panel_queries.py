@@ -486,7 +486,7 @@ def interval_overlap(t):
     years = orders.select(F.year("d").alias("id")).distinct().select(
         "id", F.make_date("id", F.lit(1), F.lit(1)).alias("start_date"), F.make_date("id", F.lit(6), F.lit(30)).alias("end_date")
     )
-    return J.interval_overlap(terms, F.broadcast(years))  # one row per calendar year
+    return J.interval_overlap(terms, years)
 
 
 @query(

@@ -291,3 +291,35 @@ def test_experiment_log_round_trip(spark, tmp_path):
     writers.append_experiments(df, str(tmp_path / "log"))
     back = writers.read_experiments(spark, str(tmp_path / "log"))
     assert back.count() == 2 and back.first()["metrics"]["nw_p_value"] == 0.01
+
+
+def test_interval_overlap_against_all_pairs(spark):
+    from factorframe.operators.joins import interval_overlap
+
+    rng = random.Random(8)
+    calendar = days(1500, "2018-01-01")
+
+    def make(n):
+        out = []
+        for i in range(n):
+            a, b = sorted(rng.choices(range(1500), k=2))
+            out.append((i, calendar[a], calendar[min(b, a + rng.choice([0, 3, 40, 900]))]))
+        return out
+
+    a, b = make(40), make(25)
+    schema = "id int, start_date date, end_date date"
+    want = {(x[0], y[0]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2]}
+    for width in (30, 366):
+        out = interval_overlap(frame(spark, schema, a), frame(spark, schema, b), width).collect()
+        assert len(out) == len(want) and {(r["left_id"], r["right_id"]) for r in out} == want
+
+
+def test_forward_shift_edges(spark):
+    from factorframe.operators.joins import shift_forward
+
+    cal = frame(spark, "date date, idx bigint", [(d, i) for i, d in enumerate(["2020-01-02", "2020-01-03", "2020-01-06", "2020-01-07"])])
+    df = frame(spark, "id int, start date, stop date", [
+        (1, "2019-12-01", "2021-01-01"), (2, "2020-01-04", "2021-01-01"), (3, "2020-01-07", "2021-01-01"), (4, "2020-02-01", "2021-01-01"),
+    ])
+    got = {r["id"]: str(r["start"]) for r in shift_forward(df, cal, "start", 1, "stop").collect()}
+    assert got == {1: "2020-01-03", 2: "2020-01-07", 3: "2021-01-01", 4: "2020-02-01"}
