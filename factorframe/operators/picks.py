@@ -72,24 +72,27 @@ def date_positions(df: DataFrame) -> DataFrame:
     return df.select("date").distinct().select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("idx"))
 
 
-def rebalance_trades(targets: DataFrame) -> DataFrame:
+def rebalance_trades(targets: DataFrame, keep: bool = False) -> DataFrame:
     """BUY and SELL rows of a full rebalance into each date's targets (date, code, score).
 
     A name is bought when it was not a target one date earlier and sold on the first date it is no longer one. Each
-    name's target dates decide this alone, so no set is compared with another.
+    name's target dates decide this alone, so no set is compared with another. keep adds a KEEP row for every target.
     """
     dates = date_positions(targets)
-    indexed = targets.join(date_sized(dates), "date")
+    indexed = targets.select("date", "code").join(date_sized(dates), "date")
     mine = Window.partitionBy("code").orderBy("idx")
     marked = indexed.withColumns({"_before": F.lag("idx").over(mine), "_after": F.lead("idx").over(mine)})
-    buys = marked.where(F.col("_before").isNull() | (F.col("_before") < F.col("idx") - 1)).select(
-        "date", "code", F.lit("BUY").alias("action")
-    )
-    leaving = marked.where(F.col("_after").isNull() | (F.col("_after") > F.col("idx") + 1))
-    sells = leaving.select("code", (F.col("idx") + 1).alias("idx")).join(date_sized(dates), "idx").select(
-        "date", "code", F.lit("SELL").alias("action")
-    )
-    return buys.unionByName(sells)
+    entering = F.col("_before").isNull() | (F.col("_before") < F.col("idx") - 1)
+    leaving = F.col("_after").isNull() | (F.col("_after") > F.col("idx") + 1)
+
+    def event(at: Column, action: str, happens: Column) -> Column:
+        return F.struct(at.alias("idx"), F.when(happens, action).alias("action"))
+
+    events = [event(F.col("idx"), "BUY", entering), event(F.col("idx") + 1, "SELL", leaving)]
+    if keep:
+        events.append(event(F.col("idx"), "KEEP", F.lit(True)))
+    moves = marked.select("code", F.inline(F.array(*events))).where(F.col("action").isNotNull())
+    return moves.join(date_sized(dates), "idx").select("date", "code", "action")
 
 
 def position_values(targets: DataFrame, returns: DataFrame | None = None, initial: float = 1e8) -> DataFrame:

@@ -46,9 +46,7 @@ def portfolio_returns(
 
     Orders fill at the next open. A blocked buy leaves the holding out; a blocked sell keeps the name for that period.
     """
-    trades = rebalance_trades(targets)
-    moves = targets.select("date", "code", F.lit("KEEP").alias("action")).unionByName(trades)
-    orders = moves.groupBy("date", "code").agg(
+    orders = rebalance_trades(targets, keep=True).groupBy("date", "code").agg(
         F.max((F.col("action") == "BUY").cast("int")).alias("_buy"), F.max((F.col("action") == "SELL").cast("int")).alias("_sell")
     )
     # a few orders per date: they prune the panel-sized side without a shuffle before the outer join

@@ -21,10 +21,12 @@ def period_end(date: str | Column, freq: str) -> Column:
 def resample(panel: DataFrame, freq: str, code: str = "code", date: str = "date") -> DataFrame:
     """First open, highest high, lowest low, last close, summed volume and amount; incomplete periods dropped.
 
-    open and close skip nulls, as a first/last over present values does.
+    open and close skip nulls, as a first/last over present values does. Rows move once, by code: that serves the
+    grouping by (code, period) and every later window over a code, whose rows are bounded by the calendar.
     """
     return (
-        panel.groupBy(code, period_end(date, freq).alias("_end"))
+        panel.repartition(code)
+        .groupBy(code, period_end(date, freq).alias("_end"))
         .agg(
             F.min_by("open", F.when(F.col("open").isNotNull(), F.col(date))).alias("open"),
             F.max("high").alias("high"),
