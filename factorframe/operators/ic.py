@@ -17,6 +17,11 @@ MIN_POOLED = 10
 MIN_SERIES = 5
 
 
+def _rank_correlation(x: str, y: str) -> Column:
+    """Correlation of ranks without the last rounding noise, so that unrelated ranks give exactly zero."""
+    return F.round(correlation(x, y), 12)
+
+
 def align(scores: DataFrame, labels: DataFrame, on: Sequence[str] = ("date", "code")) -> DataFrame:
     """Rows present on both sides, with both values."""
     return scores.join(labels, list(on)).where(F.col("score").isNotNull() & F.col("label").isNotNull())
@@ -37,7 +42,7 @@ def rank_ic(
     rows = pairs.select(*by, score, label).where(F.col(score).isNotNull() & F.col(label).isNotNull())
     ranked = average_ranks(rows, list(by), {score: "_rank_score", label: "_rank_label"})
     n = F.count(F.lit(1))
-    out = ranked.groupBy(*by).agg(correlation("_rank_score", "_rank_label").alias("ic"), n.alias("n"))
+    out = ranked.groupBy(*by).agg(_rank_correlation("_rank_score", "_rank_label").alias("ic"), n.alias("n"))
     if legacy_scale:
         out = out.withColumn("ic", F.coalesce(F.col("ic") * (F.col("n") - 1) / F.col("n"), F.lit(0.0)))
     return out.where((F.col("n") >= min_names) & F.col("ic").isNotNull())
@@ -56,7 +61,7 @@ def pooled_rank_ic(pairs: DataFrame, by: Sequence[str] = (), min_rows: int = MIN
     if not keys:
         rows, keys = rows.withColumn("_pool", F.lit(0)), ["_pool"]
     ranked = average_ranks(rows.select(*keys, "score", "label"), keys, {"score": "_s", "label": "_l"})
-    out = ranked.groupBy(*keys).agg(correlation("_s", "_l").alias("ic"), F.count(F.lit(1)).alias("n"))
+    out = ranked.groupBy(*keys).agg(_rank_correlation("_s", "_l").alias("ic"), F.count(F.lit(1)).alias("n"))
     return out.withColumn("ic", F.when(F.col("n") >= min_rows, F.col("ic"))).select(*by, "ic", "n")
 
 

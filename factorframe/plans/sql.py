@@ -61,7 +61,7 @@ def sql_ranks(source: str, keys: str, columns: dict[str, str], keep: str) -> str
 
 def sql_rank_ic(source: str, keys: str, score: str = "score", label: str = "label", min_names: int = 3) -> str:
     ranked = sql_ranks(source, keys, {score: "rs", label: "rl"}, keys)
-    return f"""(SELECT {keys}, corr(rs, rl) AS ic, count(*) AS n FROM {ranked} r GROUP BY {keys}
+    return f"""(SELECT {keys}, round(corr(rs, rl), 12) AS ic, count(*) AS n FROM {ranked} r GROUP BY {keys}
                 HAVING count(*) >= {min_names} AND isfinite(corr(rs, rl)))"""
 
 

@@ -186,7 +186,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "industry": ((), """
         SELECT s_suppkey AS code, n_name AS industry FROM supplier JOIN nation ON s_nationkey = n_nationkey"""),
     "ic": (("sl",), """
-        SELECT date, corr(rs, rl) AS ic, count(*) AS n
+        SELECT date, round(corr(rs, rl), 12) AS ic, count(*) AS n
         FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY score)
                         + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS rs,
                      rank() OVER (PARTITION BY date ORDER BY label)
@@ -194,7 +194,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
               FROM sl) t
         GROUP BY date HAVING count(*) >= 3 AND isfinite(corr(rs, rl))"""),
     "ic2": (("sl2",), """
-        SELECT date, corr(rs, rl) AS ic, count(*) AS n
+        SELECT date, round(corr(rs, rl), 12) AS ic, count(*) AS n
         FROM (SELECT *, rank() OVER (PARTITION BY date ORDER BY score)
                         + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0 AS rs,
                      rank() OVER (PARTITION BY date ORDER BY label)
