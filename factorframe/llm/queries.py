@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorframe.llm import mixing, quality, sharding
+from factorframe.llm import mixing, packing, quality, scoring, sharding, similarity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,5 +24,18 @@ def op4_shard(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_quality": op2_quality, "op4_shard": op4_shard}
+def op6_similar(spark, sf_dir):
+    return similarity.components(table(spark, sf_dir, "documents"))
+
+
+def op8_score(spark, sf_dir):
+    return scoring.score(table(spark, sf_dir, "documents"))
+
+
+def op10_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_quality": op2_quality, "op4_shard": op4_shard, "op6_similar": op6_similar, "op8_score": op8_score,
+           "op10_pack": op10_pack}
 SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL}
