@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorframe.llm import mixing, packing, quality, scoring, sharding, similarity
+from factorframe.llm import language, mixing, packing, quality, scoring, sharding, similarity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,14 +28,23 @@ def op6_similar(spark, sf_dir):
     return similarity.components(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark, sf_dir):
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 def op8_score(spark, sf_dir):
     return scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op9_vectors(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_quality": op2_quality, "op4_shard": op4_shard, "op6_similar": op6_similar, "op8_score": op8_score,
+QUERIES = {"op1_mix": op1_mix, "op2_quality": op2_quality, "op4_shard": op4_shard, "op6_similar": op6_similar, "op7_language": op7_language,
+           "op8_score": op8_score, "op9_vectors": op9_vectors,
            "op10_pack": op10_pack}
 SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL}
