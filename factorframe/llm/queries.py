@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorframe.llm import language, mixing, packing, quality, scoring, sharding, similarity, vectors
+from factorframe.llm import chat, language, lines, mixing, packing, quality, scoring, sharding, similarity, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,18 @@ def op2_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_lines(spark, sf_dir):
+    return lines.repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_shard(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark, sf_dir):
+    return chat.chat_report(table(spark, sf_dir, "conversations"))
+
+
 def op6_similar(spark, sf_dir):
     return similarity.components(table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,6 @@ def op10_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_quality": op2_quality, "op4_shard": op4_shard, "op6_similar": op6_similar, "op7_language": op7_language,
-           "op8_score": op8_score, "op9_vectors": op9_vectors,
-           "op10_pack": op10_pack}
-SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL}
+QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lines, op4_shard, op5_chat, op6_similar, op7_language, op8_score,
+                                   op9_vectors, op10_pack)}
+SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL, "op5_chat": chat.SQL}
