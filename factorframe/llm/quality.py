@@ -5,7 +5,7 @@ EM needs only the pattern counts over all documents: one partial aggregate, then
 single row of higher-order functions. The posterior per pattern joins back to the documents. DataFrame functions only.
 
 Model: class y with prior p; a rule with accuracy a votes y with probability a when it votes, independently. Accuracies stay
-within [0.55, 0.99], so that rules never turn around; abstaining says nothing. A document without any vote has posterior p.
+within [0.55, 0.99], so that rules never turn around, under a Beta(9, 1) prior; abstaining says nothing. A document without any vote has posterior p.
 
 Defined cases: null or empty text has no words and fails the base rules; repeated rows are judged alike; an empty table gives
 no rows; other columns are ignored by the report and pass through `keep_good`.
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from factorframe.llm.shared import SPACES, WORD, stage, text_or_empty
 
 ROUNDS = 25
-PRIOR, START = 0.8, 0.8
+PRIOR, START = 0.8, 0.9
 SYMBOLS = "#*$%&|<>"
 
 # name -> (good vote, bad vote) as SQL over the counts, used by Spark and the SQL twin alike; neither: abstain
@@ -107,7 +107,7 @@ def posteriors(voted: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     def step(p, _):
         def renewed(g):
-            acc = [bounded((g["agree"][j] + 1) / (g["cast"][j] + 2), 0.55, 0.99) for j in rules]
+            acc = [bounded((g["agree"][j] + 9) / (g["cast"][j] + 10), 0.55, 0.99) for j in rules]
             prior = bounded(g["good"] / F.greatest(g["n"], F.lit(1.0)), 0.05, 0.95)
             return F.struct(prior.alias("prior"), F.array(*acc).alias("acc"))
         return F.transform(F.array(gathered(p)), renewed)[0]
@@ -140,7 +140,7 @@ def _em_sql() -> str:
     q = f"1 / (1 + exp(-(ln(prior / (1 - prior)) + {odds})))"
     for k in range(1, ROUNDS + 1):
         accuracy = ", ".join(
-            f"least(greatest((sum(n * CASE v{j} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + 1) / (sum(n * abs(v{j})) + 2), 0.55), 0.99) AS a{j}"
+            f"least(greatest((sum(n * CASE v{j} WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + 9) / (sum(n * abs(v{j})) + 10), 0.55), 0.99) AS a{j}"
             for j in rules)
         parts.append(f"p{k} AS MATERIALIZED (SELECT least(greatest(sum(n * q) / sum(n), 0.05), 0.95) AS prior, {accuracy} "
                      f"FROM (SELECT t.*, {q} AS q FROM t, {last}))")
