@@ -1,42 +1,26 @@
-"""Exact order statistics inside groups of any size.
+"""Exact order statistics inside groups of any size, by one plan for every size.
 
 ``rank() over (partition by date)`` sends a whole date to one task, and ``percentile`` keeps a whole group in
 one buffer. Neither holds when one date carries a third of all rows. The operators here
 
 1. collapse equal values with a partial aggregate (ties never travel as rows),
-2. cut each large group at approximate quantiles, so every piece has a bounded number of distinct values,
+2. cut groups of many distinct values into pieces, at cuts from a hash sample of those values,
 3. add the exact row counts of the earlier pieces to the positions inside a piece.
 
-The cuts only balance work. Positions are exact whatever the cuts are.
-
-All of this costs extra stages. When the sources behind the input (by the size statistics Catalyst also uses to choose
-broadcasts) are below ``SMALL_INPUT_BYTES`` together, no group can be large and one window or percentile is used instead.
+The cuts only balance work. Positions are exact whatever the cuts are, and any orderable type has them. Null keys are a group
+like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_PIECE = 1 << 20
-MAX_PIECES = 1024
-SKETCH_ACCURACY = 10_000
-SMALL_INPUT_BYTES = 256 << 20
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Summed size statistics of the sources the optimized plan reads, after column and file pruning. No job runs.
-
-    Sources without statistics count as huge.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame, limit: int | None = None) -> bool:
-    return estimated_bytes(df) < (SMALL_INPUT_BYTES if limit is None else limit)
+SAMPLES_PER_PIECE = 16
 
 
 def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -45,97 +29,75 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys))
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys where null equals null; the right keys go."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same, how).drop(*[f"_right_{k}" for k in keys])
 
 
-def group_positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    rows_per_piece: int = ROWS_PER_PIECE,
-    max_pieces: int = MAX_PIECES,
-) -> DataFrame:
+def _cuts(counts: DataFrame, group: Sequence[str], value: str, rows_per_piece: int) -> DataFrame:
+    """The cuts of each group above rows_per_piece distinct values; at most one row per rows_per_piece input rows.
+
+    A value is sampled by its hash, so a group gives about SAMPLES_PER_PIECE samples per piece, and every such sample that
+    is a multiple of that number in order is a cut.
+    """
+    step = min(SAMPLES_PER_PIECE, rows_per_piece)
+    rate = max(1, rows_per_piece // step)
+    sampled = F.when(F.pmod(F.xxhash64(value), F.lit(rate)) == 0, F.col(value))
+    found = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_distinct"), F.sort_array(F.collect_list(sampled)).alias("_sample"))
+    every = F.filter("_sample", lambda x, i: i % step == step - 1)
+    return found.where(F.col("_distinct") > rows_per_piece).select(*group, every.alias("_cuts"))
+
+
+def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """One row per distinct non-null value of a group: its copies, and how many rows are below it.
 
     Columns: keys, value, ``copies``, ``before`` (rows with a smaller value), ``total`` (rows of the group).
-    The two broadcast tables hold one row per group, and one row per piece (at most rows / rows_per_piece plus
-    one per group), so use it for few groups with many rows: dates, features, folds.
     """
     base, group = _with_group(df, keys)
-    counts = (
-        base.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"))
-    )
-    fractions = [i / max_pieces for i in range(1, max_pieces)]
-    pieces = F.least(F.lit(max_pieces), F.ceil(F.col("_distinct") / F.lit(rows_per_piece))).cast("int")
-    cuts = (
-        counts.groupBy(*group)
-        .agg(
-            F.percentile_approx(value, fractions, SKETCH_ACCURACY).alias("_fine"),
-            F.count(F.lit(1)).alias("_distinct"),
-        )
-        .withColumn("_pieces", pieces)
-        .select(
-            *group,
-            F.when(
-                F.col("_pieces") > 1,
-                F.transform(
-                    F.sequence(F.lit(1), F.col("_pieces") - 1),
-                    lambda i: F.element_at(
-                        F.col("_fine"), F.greatest(F.lit(1), F.floor(i * max_pieces / F.col("_pieces")).cast("int"))
-                    ),
-                ),
-            )
-            .otherwise(F.array().cast("array<double>"))
-            .alias("_cuts"),
-        )
+    counts = base.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"))
+    # groups with cuts have over rows_per_piece distinct values each, so these two tables stay a tiny share of the rows
+    placed = _match(counts, F.broadcast(_cuts(counts, group, value, rows_per_piece)), group).withColumn(
+        "_piece", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))), F.lit(0))
     )
-    placed = _same(counts, F.broadcast(cuts), group).withColumn(
-        "_piece", F.size(F.filter("_cuts", lambda cut: cut <= F.col(value)))
-    ).drop("_cuts")
     by_piece = Window.partitionBy(*group).orderBy("_piece")
     earlier = (
-        placed.groupBy(*group, "_piece")
+        placed.where(F.col("_cuts").isNotNull())
+        .groupBy(*group, "_piece")
         .agg(F.sum("copies").alias("_rows"))
         .select(
             *group,
             "_piece",
             (F.sum("_rows").over(by_piece.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")).alias("_offset"),
-            F.sum("_rows").over(Window.partitionBy(*group)).alias("total"),
+            F.sum("_rows").over(Window.partitionBy(*group)).alias("_rows_of_group"),
         )
     )
-    inside = Window.partitionBy(*group, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return _same(placed, F.broadcast(earlier), [*group, "_piece"]).select(
+    piece = Window.partitionBy(*group, "_piece")
+    inside = piece.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    counted = placed.drop("_cuts").withColumns({
+        "_upto": F.sum("copies").over(inside) - F.col("copies"), "_in_piece": F.sum("copies").over(piece)})
+    return _match(counted, F.broadcast(earlier), [*group, "_piece"]).select(
         *keys,
         value,
         "copies",
-        (F.col("_offset") + F.sum("copies").over(inside) - F.col("copies")).alias("before"),
-        "total",
+        (F.coalesce("_offset", F.lit(0)) + F.col("_upto")).alias("before"),
+        F.coalesce("_rows_of_group", "_in_piece").alias("total"),
     )
 
 
-def average_ranks(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, str], small_limit: int | None = None, **pieces: int
-) -> DataFrame:
-    """df plus one average-tie rank column per entry of values ({column: rank column name}).
+def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+    """df plus one average-tie rank column per entry of values ({column: rank column name}); null values have null ranks.
 
     Positions of different columns are independent of each other; each returns to the rows by an equi-join on
     (keys, value), where AQE splits a hot value on the row side.
     """
-    if is_small(df, small_limit):
-        group = list(keys) or [F.lit(0)]
-        ranks = {}
-        for value, name in values.items():
-            place = F.rank().over(Window.partitionBy(*group).orderBy(F.col(value).asc_nulls_last()))
-            copies = F.count(F.lit(1)).over(Window.partitionBy(*group, value))
-            ranks[name] = F.when(F.col(value).isNotNull(), place + (copies - 1) / 2)
-        return df.withColumns(ranks)
     out = df
     for value, name in values.items():
-        ranks = group_positions(df.select(*keys, value), keys, value, **pieces).select(
+        ranks = group_positions(df.select(*keys, value), keys, value, rows_per_piece).select(
             *keys, value, (F.col("before") + (F.col("copies") + 1) / 2).alias(name)
         )
-        out = out.join(ranks, [*keys, value], "left") if keys else out.join(ranks, value, "left")
+        out = _match(out, ranks, [*keys, value])
     return out
 
 
@@ -144,21 +106,14 @@ def group_quantiles(
     keys: Sequence[str],
     value: str,
     probabilities: Mapping[str, float],
-    small_limit: int | None = None,
-    **pieces: int,
+    rows_per_piece: int = ROWS_PER_PIECE,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles, one output column per entry of probabilities."""
-    if is_small(df, small_limit):
-        found = F.percentile(value, [float(p) for p in probabilities.values()]).alias("_found")
-        stats = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(found, F.count(value).alias("n_values"))
-        return stats.select(
-            *keys, *[F.col("_found")[i].alias(name) for i, name in enumerate(probabilities)], "n_values"
-        )
-    positions, group = _with_group(group_positions(df, keys, value, **pieces), keys)
+    """Exact linearly interpolated quantiles of a number column, one output column per entry of probabilities."""
+    positions, group = _with_group(group_positions(df, keys, value, rows_per_piece), keys)
 
     def order_stat(position: Column) -> Column:
         hit = (F.col("before") <= position) & (position < F.col("before") + F.col("copies"))
-        return F.max(F.when(hit, F.col(value)))
+        return F.max(F.when(hit, F.col(value).cast("double")))
 
     aggregates = [F.max("total").alias("_total")]
     for name, p in probabilities.items():
@@ -180,9 +135,22 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
     return group_quantiles(df, keys, value, {name: 0.5}, **options).drop("n_values")
 
 
+# Spark prunes row_number() <= k before the shuffle up to this k (spark.sql.optimizer.windowGroupLimitThreshold)
+PRUNED_K = 1000
+SALTS = 64
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The first k rows of each group. Spark keeps only k rows per group before the shuffle (WindowGroupLimit)."""
+    """The first k rows of each group, in two levels beyond PRUNED_K.
+
+    Up to PRUNED_K, Spark itself keeps k rows per group and task before the shuffle. Beyond, each of SALTS parts of a group finds
+    its own first k, so the last window sees at most SALTS * k rows of a group.
+    """
     group = list(keys) or [F.lit(0)]
+    if k > PRUNED_K:
+        part = Window.partitionBy(*group, "_salt").orderBy(*order)
+        df = (df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+              .withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= k).drop("_salt", "_place"))
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 

@@ -116,7 +116,7 @@ def cs_rank_avg(t):
 )
 def cs_rank_split(t):
     """The same ranks by the plan for large inputs: ties collapsed, groups cut into pieces of 20 distinct values."""
-    return average_ranks(t.week, ["date"], {"volume": "rank"}, small_limit=0, rows_per_piece=20, max_pieces=64)
+    return average_ranks(t.week, ["date"], {"volume": "rank"}, rows_per_piece=20)
 
 
 @query(
@@ -126,7 +126,7 @@ def cs_rank_split(t):
       FROM (SELECT volume, count(*) AS copies FROM wk GROUP BY volume) q""",
 )
 def positions(t):
-    return group_positions(t.week, [], "volume", rows_per_piece=20, max_pieces=64)
+    return group_positions(t.week, [], "volume", rows_per_piece=20)
 
 
 _GRADE_EDGES = """e AS (SELECT date, quantile_cont(volume, 0.2) a, quantile_cont(volume, 0.4) b, quantile_cont(volume, 0.6) c,

@@ -1,4 +1,4 @@
-"""The plan for large inputs against brute force: hot dates, hot ties, nulls."""
+"""Ranks and quantiles against brute force, with and without pieces: hot dates, hot ties, null keys and values, other types."""
 
 import numpy as np
 import pandas as pd
@@ -6,7 +6,7 @@ import pytest
 
 from factorframe.operators import ordering as O
 
-SPLIT = {"small_limit": 0, "rows_per_piece": 7, "max_pieces": 32}
+SPLIT = {"rows_per_piece": 7}
 
 
 @pytest.fixture(scope="module")
@@ -47,7 +47,7 @@ def test_quantiles(spark, skewed, options, keys):
 def test_positions_are_exact_for_any_cuts(spark, skewed):
     df = spark_frame(spark, skewed)
     for rows_per_piece in (1, 50, 10_000):
-        out = O.group_positions(df, ["date"], "x", rows_per_piece=rows_per_piece, max_pieces=16).toPandas()
+        out = O.group_positions(df, ["date"], "x", rows_per_piece=rows_per_piece).toPandas()
         for date, group in out.groupby("date"):
             xs = skewed.loc[skewed["date"] == date, "x"].dropna().values
             for _, row in group.iterrows():
@@ -56,9 +56,29 @@ def test_positions_are_exact_for_any_cuts(spark, skewed):
                 assert row["total"] == len(xs)
 
 
-def test_small_inputs_take_one_window_and_large_ones_split(spark, tmp_path, skewed):
-    path = str(tmp_path / "x")
-    spark_frame(spark, skewed).write.parquet(path)
-    df = spark.read.parquet(path)
-    assert O.is_small(df)
-    assert not O.is_small(df, 10)
+@pytest.mark.parametrize("rows_per_piece", [2, 1 << 20])
+def test_null_keys_and_other_types(spark, rows_per_piece):
+    import datetime
+
+    rows = [(k, f"v{i % 5}", datetime.date(2020, 1, 1 + i % 7), float(i % 4)) for k in (None, "a") for i in range(20)]
+    rows.append((None, None, None, None))
+    df = spark.createDataFrame(rows, "k string, s string, d date, x double")
+    for column in ("s", "d", "x"):
+        got = O.average_ranks(df, ["k"], {column: "r"}, rows_per_piece).toPandas()
+        assert len(got) == len(rows)
+        for key in (None, "a"):
+            part = got[got["k"].isna()] if key is None else got[got["k"] == key]
+            want = part[column].rank() if column == "x" else part[column].astype(str).where(part[column].notna()).rank()
+            np.testing.assert_allclose(part["r"].astype(float), want.astype(float))
+    medians = {r.k: r.median for r in O.group_median(df, ["k"], "x", rows_per_piece=rows_per_piece).collect()}
+    assert medians == {None: 1.5, "a": 1.5}
+
+
+def test_first_k_beyond_the_pruned_limit(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), ((F.col("id") * 7919) % 5003).alias("v"))
+    got = O.first_k(df, ["g"], [F.col("v")], 1500).toPandas()
+    for g, part in got.groupby("g"):
+        want = sorted((i * 7919) % 5003 for i in range(5000) if i % 2 == g)[:1500]
+        assert part.sort_values("rank")["v"].tolist() == want and part["rank"].max() == 1500
