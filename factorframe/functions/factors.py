@@ -1,7 +1,7 @@
 """Factor sets over a bar panel, as plain window expressions.
 
 Single factors are window expressions over a panel that already carries ret and move (with_returns). features() builds the
-whole set: returns first, then sums per window, then the factors as plain arithmetic. All windows share the same
+whole set: returns first, then moments per window, then the factors as plain arithmetic. All windows share the same
 partitioning and order, so Spark exchanges and sorts the panel once (twice with the market join for beta).
 """
 
@@ -105,126 +105,148 @@ def market_return(panel: DataFrame) -> DataFrame:
     return panel.groupBy("date").agg(F.avg("ret").alias("market"))
 
 
-# Columns summed over every window of a factor set, and the input columns they are powers or products of.
-POWERS = {
-    "_r1": ("ret",), "_r2": ("ret", "ret"), "_r3": ("ret", "ret", "ret"), "_r4": ("ret", "ret", "ret", "ret"),
-    "_c1": ("close",), "_c2": ("close", "close"), "_v1": ("volume",), "_v2": ("volume", "volume"),
-    "_vc": ("volume", "close"), "_a1": ("amount",),
-}
-MARKET_POWERS = {"_m1": ("market",), "_m2": ("market", "market"), "_rm": ("ret", "market")}
-# A second moment below this share of the mean square is rounding noise of a constant window.
-FLAT = 1e-13
+# Inputs of the window moments: how many central moments each needs, and the pairs whose products count.
+MOMENTS = {"ret": 4, "close": 2, "volume": 2, "amount": 1}
+PAIRS = (("volume", "close"),)
+MARKET_MOMENTS = {"market": 2}
+MARKET_PAIRS = (("ret", "market"),)
+# A spread below the last bits of the values themselves is rounding noise of a constant window.
+NOISE = 1e-15
 
 
-EXTREMES = {"_hi": F.greatest, "_lo": F.least}
+def _names(moments: dict[str, int], pairs) -> list[str]:
+    """Statistics of a window: mean and central sums per input, central product sums per pair."""
+    return [f"_m{k}_{x}" for x, most in moments.items() for k in range(1, most + 1)] + [f"_c_{x}_{y}" for x, y in pairs]
 
 
-def _first_sums(powers: Sequence[str], n: int) -> dict[str, Column]:
-    """Sums of a sliding frame of n rows."""
-    frame = R.trailing(n)
-    return {f"{p}_{n}": F.sum(p).over(frame) for p in powers} | {
-        f"_rows_{n}": F.count("_c1").over(frame),
-        f"_rets_{n}": F.count("_r1").over(frame),
-        f"_hi_{n}": F.max("close").over(frame),
-        f"_lo_{n}": F.min("close").over(frame),
-    }
+def _first_moments(df: DataFrame, n: int, moments: dict[str, int], pairs) -> DataFrame:
+    """Moments of the last n rows from the rows themselves; null unless all n values are there."""
+    rows = R.ordered()
+    values = {x: [F.col(x), *[F.col(f"_lag{i}_{x}") for i in range(1, n)]] for x in moments}
+    df = df.withColumns({f"_lag{i}_{x}": F.lag(x, i).over(rows) for x in moments for i in range(1, n)})
+    df = df.withColumns({f"_m1_{x}_{n}": _total(v) / n for x, v in values.items()})
+    out = {}
+    for x, most in moments.items():
+        away = [v - F.col(f"_m1_{x}_{n}") for v in values[x]]
+        for k in range(2, most + 1):
+            out[f"_m{k}_{x}_{n}"] = _total([_power(d, k) for d in away])
+    for x, y in pairs:
+        out[f"_c_{x}_{y}_{n}"] = _total([(v - F.col(f"_m1_{x}_{n}")) * (w - F.col(f"_m1_{y}_{n}")) for v, w in zip(values[x], values[y])])
+    return df.withColumns(out).drop(*[f"_lag{i}_{x}" for x in moments for i in range(1, n)])
+
+
+def _total(parts: list[Column]) -> Column:
+    total = parts[0]
+    for part in parts[1:]:
+        total = total + part
+    return total
+
+
+def _power(x: Column, k: int) -> Column:
+    power = x
+    for _ in range(k - 1):
+        power = power * x
+    return power
+
+
+def _joined_moments(df: DataFrame, n: int, near: int, far: int, moments: dict[str, int], pairs) -> DataFrame:
+    """Moments of n = near + far rows: the near window and the far one that ended near rows ago, by the update formulas for
+    central moments of joined samples. Nothing but the difference of the two means enters, so large levels do not cancel."""
+    rows = R.ordered()
+    df = df.withColumns({f"_far{name}": F.lag(f"{name}_{far}", near).over(rows) for name in _names(moments, pairs)})
+    df = df.withColumns({f"_d_{x}": F.col(f"_far_m1_{x}") - F.col(f"_m1_{x}_{near}") for x in moments})
+    out = {}
+    for x, most in moments.items():
+        d = F.col(f"_d_{x}")
+        a = {k: F.col(f"_m{k}_{x}_{near}") for k in range(1, most + 1)}
+        b = {k: F.col(f"_far_m{k}_{x}") for k in range(1, most + 1)}
+        out[f"_m1_{x}_{n}"] = a[1] + d * (far / n)
+        if most >= 2:
+            out[f"_m2_{x}_{n}"] = a[2] + b[2] + d * d * (near * far / n)
+        if most >= 4:
+            out[f"_m3_{x}_{n}"] = (a[3] + b[3] + _power(d, 3) * (near * far * (near - far) / n**2)
+                                   + 3 * d * (near * b[2] - far * a[2]) / n)
+            out[f"_m4_{x}_{n}"] = (a[4] + b[4] + _power(d, 4) * (near * far * (near * near - near * far + far * far) / n**3)
+                                   + 6 * d * d * (near * near * b[2] + far * far * a[2]) / n**2
+                                   + 4 * d * (near * b[3] - far * a[3]) / n)
+    for x, y in pairs:
+        out[f"_c_{x}_{y}_{n}"] = (F.col(f"_c_{x}_{y}_{near}") + F.col(f"_far_c_{x}_{y}")
+                                  + F.col(f"_d_{x}") * F.col(f"_d_{y}") * (near * far / n))
+    used = [f"_far{name}" for name in _names(moments, pairs)] + [f"_d_{x}" for x in moments]
+    return df.withColumns(out).drop(*used)
 
 
-def _joined_sums(powers: Sequence[str], n: int, near: int, far: int) -> dict[str, Column]:
-    """Sums of n = near + far rows: the near frame plus the far frame that ended near rows ago."""
-    earlier = R.ordered()
-    out = {}
-    for name in (*powers, "_rows", "_rets"):
-        out[f"{name}_{n}"] = F.col(f"{name}_{near}") + F.lag(f"{name}_{far}", near).over(earlier)
-    for name, combine in EXTREMES.items():
-        past = F.lag(f"{name}_{far}", near).over(earlier)
-        out[f"{name}_{n}"] = F.when(past.isNotNull(), combine(F.col(f"{name}_{near}"), past))
-    return out
+EXTREMES = {"_hi": F.greatest, "_lo": F.least}
 
 
-def _with_window_sums(df: DataFrame, powers: Sequence[str], windows: Sequence[int]) -> DataFrame:
-    """Add the sums of every window, longer ones built from shorter ones where two of them add up."""
-    done: list[int] = []
+def _with_windows(df: DataFrame, windows: Sequence[int], moments: dict[str, int], pairs) -> DataFrame:
+    """Moments and extremes of every window, longer ones built from shorter ones where two of them add up."""
+    rows, done = R.ordered(), []
     for n in sorted(windows):
         split = next(((near, n - near) for near in reversed(done) if n - near in done), None)
-        df = df.withColumns(_joined_sums(powers, n, *split) if split else _first_sums(powers, n))
+        if split:
+            near, far = split
+            past = {name: F.lag(f"{name}_{far}", near).over(rows) for name in EXTREMES}
+            df = df.withColumns({f"{name}_{n}": F.when(past[name].isNotNull(), join(F.col(f"{name}_{near}"), past[name]))
+                                 for name, join in EXTREMES.items()})
+            df = _joined_moments(df, n, near, far, moments, pairs)
+        else:
+            df = df.withColumns({f"_hi_{n}": F.max("close").over(R.trailing(n)), f"_lo_{n}": F.min("close").over(R.trailing(n))})
+            df = _first_moments(df, n, moments, pairs)
         done.append(n)
     return df
 
 
-def _spreads(n: int, with_beta: bool) -> dict[str, Column]:
-    """Sums of squared deviations per window, zero where only rounding noise is left."""
-    squares = {"_dr": ("_r2", "_r1"), "_dv": ("_v2", "_v1"), "_dc": ("_c2", "_c1")}
-    if with_beta:
-        squares["_dm"] = ("_m2", "_m1")
-    out = {}
-    for name, (square, plain) in squares.items():
-        total, first = F.col(f"{square}_{n}"), F.col(f"{plain}_{n}")
-        centred = total - first * first / n
-        out[f"{name}_{n}"] = F.when(centred > FLAT * total, centred).otherwise(0.0)
-    return out
-
-
 def _window_factors(n: int, with_beta: bool) -> dict[str, Column]:
-    """Every factor of one window from its sums."""
+    """Every factor of one window from its moments; null moments of incomplete windows give null factors."""
 
-    def s(name: str) -> Column:
-        return F.col(f"{name}_{n}")
+    def m(k: int, x: str) -> Column:
+        return F.col(f"_m{k}_{x}_{n}")
 
-    def full(value: Column, rows: str = "_rows") -> Column:
-        return F.when(s(rows) >= n, value)
+    def spread(x: str) -> Column:
+        floor = NOISE * F.abs(m(1, x))
+        return F.when(m(2, x) > n * floor * floor, m(2, x)).when(m(2, x).isNotNull(), 0.0)
 
     close, volume = F.col("close"), F.col("volume")
-    mean = s("_r1") / n
-    second = s("_dr") / n
-    third = s("_r3") / n - 3 * mean * s("_r2") / n + 2 * mean * mean * mean
-    fourth = s("_r4") / n - 4 * mean * s("_r3") / n + 6 * mean * mean * s("_r2") / n - 3 * mean * mean * mean * mean
-    product = s("_vc") - s("_v1") * s("_c1") / n
+    second = spread("ret") / n
+    complete = m(1, "close").isNotNull()
     out = {
-        f"roc_{n}": F.try_divide(close, s("_close")) - 1,
-        f"ma_{n}": full(F.try_divide(s("_c1") / n, close)),
-        f"std_{n}": full(F.sqrt(s("_dr") / (n - 1)), "_rets"),
-        f"high_{n}": full(F.try_divide(s("_hi"), close) - 1),
-        f"low_{n}": full(F.try_divide(s("_lo"), close) - 1),
-        f"vroc_{n}": F.try_divide(volume, s("_volume")) - 1,
-        f"vma_{n}": full(s("_v1") / n),
-        f"vstd_{n}": full(F.sqrt(s("_dv") / (n - 1))),
-        f"corr_{n}": full(F.try_divide(product, F.sqrt(s("_dv")) * F.sqrt(s("_dc")))),
-        f"skew_{n}": full(F.try_divide(third, F.pow(second, F.lit(1.5))), "_rets"),
-        f"kurt_{n}": full(F.try_divide(fourth, second * second) - 3, "_rets"),
-        f"vwap_{n}": full(F.try_divide(F.try_divide(s("_a1"), s("_v1")), close) - 1),
+        f"roc_{n}": F.try_divide(close, F.col(f"_close_{n}")) - 1,
+        f"ma_{n}": F.try_divide(m(1, "close"), close),
+        f"std_{n}": F.sqrt(spread("ret") / (n - 1)),
+        f"high_{n}": F.when(complete, F.try_divide(F.col(f"_hi_{n}"), close) - 1),
+        f"low_{n}": F.when(complete, F.try_divide(F.col(f"_lo_{n}"), close) - 1),
+        f"vroc_{n}": F.try_divide(volume, F.col(f"_volume_{n}")) - 1,
+        f"vma_{n}": m(1, "volume"),
+        f"vstd_{n}": F.sqrt(spread("volume") / (n - 1)),
+        f"corr_{n}": F.try_divide(F.col(f"_c_volume_close_{n}"), F.sqrt(spread("volume")) * F.sqrt(spread("close"))),
+        f"skew_{n}": F.try_divide(m(3, "ret") / n, F.pow(second, F.lit(1.5))),
+        f"kurt_{n}": F.try_divide(m(4, "ret") / n, second * second) - 3,
+        f"vwap_{n}": F.try_divide(F.try_divide(m(1, "amount"), m(1, "volume")), close) - 1,
     }
     if with_beta:
-        shared = s("_rm") - s("_r1") * s("_m1") / n
-        out[f"beta_{n}"] = full(F.try_divide(shared, s("_dm")), "_rets")
+        out[f"beta_{n}"] = F.try_divide(F.col(f"_c_ret_market_{n}"), spread("market"))
     return out
 
 
 def features(panel: DataFrame, windows: Sequence[int] = SHORT_WINDOWS, with_beta: bool = True) -> DataFrame:
-    """code, date and one column per factor and window.
+    """code, date and one column per factor and window; a factor is null unless its window holds all its inputs.
 
-    A sliding frame visits each of its rows for every aggregate, so the set shares one group of plain sums instead of one
-    moment aggregate per factor, and only the shortest frame slides: 10 = 5 + 5, 20 = 10 + 10, 30 = 20 + 10 and so on, each
-    from a lagged shorter sum. Sums stay inside the window, so nothing cancels against older rows.
+    A sliding frame visits each of its rows for every aggregate, so the set shares one group of central moments, and only the
+    shortest window looks at rows: 10 = 5 + 5, 20 = 10 + 10, 30 = 20 + 10 and so on, each from a lagged shorter one.
     """
     base = with_returns(panel)
-    powers = dict(POWERS)
+    moments, pairs = dict(MOMENTS), PAIRS
     if with_beta:
         base = base.join(date_sized(market_return(base)), "date", "left")
-        powers |= MARKET_POWERS
-    raised = {}
-    for name, inputs in powers.items():
-        product = F.col(inputs[0])
-        for column in inputs[1:]:
-            product = product * F.col(column)
-        raised[name] = product
-    staged = base.withColumns(raised)
+        moments |= MARKET_MOMENTS
+        pairs = (*PAIRS, *MARKET_PAIRS)
+    numbers = base.withColumns({x: F.col(x).cast("double") for x in moments})
     past = {"_rsi": rsi()}
     for n in windows:
         past |= {f"_close_{n}": R.ref("close", n), f"_volume_{n}": R.ref("volume", n)}
-    summed = _with_window_sums(staged.withColumns(past), list(powers), windows)
-    spreads = {name: c for n in windows for name, c in _spreads(n, with_beta).items()}
+    ready = _with_windows(numbers.withColumns(past), windows, moments, pairs)
     out = {**kbar(), "illiq": illiquidity(), f"rsi_{RSI_WINDOW}": F.col("_rsi")}
     for n in windows:
         out |= _window_factors(n, with_beta)
-    return summed.withColumns(spreads).select("code", "date", *[c.alias(name) for name, c in out.items()])
+    return ready.select("code", "date", *[c.alias(name) for name, c in out.items()])
