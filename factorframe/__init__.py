@@ -1,5 +1,5 @@
 """factorframe: panel and factor analytics as PySpark DataFrame operators."""
 
-from factorframe.session import build_session, cut_lineage
+from factorframe.session import build_session
 
-__all__ = ["build_session", "cut_lineage"]
+__all__ = ["build_session"]

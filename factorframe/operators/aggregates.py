@@ -85,15 +85,16 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], probabilities: Sequenc
 def market_snapshot(
     panel: DataFrame, date: str, top_n: int = 50, sort_by: str = "pct_chg", order: str = "DESC"
 ) -> DataFrame:
-    """First rows of a day by one of the allowed columns, without ST and suspended names."""
+    """First rows of a day by one of the allowed columns, without ST and suspended names; top_n is 1 to 10000."""
+    if not isinstance(top_n, int) or not 0 < top_n <= 10000:
+        raise ValueError(f"top_n must be between 1 and 10000, not {top_n!r}")
     column = sort_by if sort_by in SNAPSHOT_COLUMNS else "pct_chg"
-    n = top_n if isinstance(top_n, int) and 0 < top_n <= 10000 else 50
     rows = panel.where(F.col("date") == F.lit(date).cast("date"))
     for flag in ("is_suspended", "is_st"):
         if flag in panel.columns:
             rows = rows.where(~F.coalesce(F.col(flag), F.lit(False)))
     key = F.asc_nulls_last(column) if str(order).upper() == "ASC" else F.desc_nulls_last(column)
-    return rows.orderBy(key, "code").limit(n)
+    return rows.orderBy(key, "code").limit(top_n)
 
 
 def hit_rate(returns: DataFrame, horizons: Mapping[str, str], by: Sequence[str] = (), threshold: float = 0.0) -> DataFrame:
@@ -124,7 +125,8 @@ RANK_BANDS = ((1, 10), (11, 20), (21, 30))
 def validation_report(returns: DataFrame, horizons: Mapping[str, str], main: str) -> DataFrame:
     """Hit rates by horizon, by rank band and by industry: scope, bucket and the measures.
 
-    Each row is spread to the buckets it belongs to, then one aggregate serves all three scopes.
+    Each row is spread to the buckets it belongs to, then one aggregate serves all three scopes. Ranks beyond the bands count
+    in the other scopes only.
     """
     per_horizon = [
         F.struct(F.lit("horizon").alias("scope"), F.lit(name).alias("bucket"), F.col(column).alias("ret"))

@@ -74,10 +74,12 @@ def with_flags(panel: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], order: str | Column, keep: str = "last") -> DataFrame:
-    """One row per key: the first or last by order. An aggregate, so copies of a hot key combine before the shuffle."""
+    """One row per key: the first or last by order, ties by the other columns. An aggregate, so copies of a hot key combine
+    before the shuffle. Columns that cannot be ordered (maps) break no ties."""
     pick = F.max_by if keep == "last" else F.min_by
     rest = [c for c in df.columns if c not in keys]
-    packed = pick(F.struct(*rest), order).alias("_row")
+    ordered = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
+    packed = pick(F.struct(*rest), F.struct(F.col(order) if isinstance(order, str) else order, *ordered)).alias("_row")
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
@@ -128,7 +130,7 @@ def segment_split(df: DataFrame, segments: Mapping[str, tuple[str, str]], date:
 
 def keep_dates(df: DataFrame, dates: DataFrame) -> DataFrame:
     """Rows on a discrete set of dates (for example the train dates around a purged test block)."""
-    return df.join(F.broadcast(dates.select("date")), "date", "left_semi")
+    return df.join(dates.select("date"), "date", "left_semi")
 
 
 def range_check(calendar: DataFrame, ranges: DataFrame) -> DataFrame:

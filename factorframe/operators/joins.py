@@ -40,27 +40,45 @@ def shift_forward(df: DataFrame, calendar: DataFrame, date: str, n: int, fallbac
     return found.withColumn(date, moved).select(*df.columns)
 
 
-OVERLAP_BUCKET_DAYS = 366
+LEVELS = 22  # blocks of up to 2^21 days
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, bucket_days: int = OVERLAP_BUCKET_DAYS) -> DataFrame:
+def interval_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of closed intervals (id, start_date, end_date) that overlap: left_id, right_id, and the shared range.
 
-    Both sides are spread over the time buckets they touch and meet by an equality join on the bucket. A pair is kept
-    only in the bucket where its shared range starts, so it appears once and no pair without a common bucket is formed.
+    Two intervals overlap when one starts inside the other. An interval is split into at most two aligned blocks of days per
+    power of two; a start lies in exactly one block per power, so an equality join on blocks forms each overlapping pair once
+    and no other pair, however busy a time is.
     """
-
-    def bucket(day) -> Column:
-        return F.floor(F.unix_date(day) / bucket_days)
-
-    def spread(df: DataFrame, name: str, start: str, end: str) -> DataFrame:
-        rows = df.select(F.col("id").alias(name), F.col("start_date").alias(start), F.col("end_date").alias(end))
-        return rows.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-
-    pairs = spread(left, "left_id", "_s1", "_e1").join(spread(right, "right_id", "_s2", "_e2"), "_b")
-    begin = F.greatest("_s1", "_s2")
-    shared = (F.col("_s1") <= F.col("_e2")) & (F.col("_s2") <= F.col("_e1")) & (F.col("_b") == bucket(begin))
-    return pairs.where(shared).select("left_id", "right_id", begin.alias("start_date"), F.least("_e1", "_e2").alias("end_date"))
+    def named(df: DataFrame, side: str) -> DataFrame:
+        rows = df.select(F.col("id").alias(f"{side}_id"), F.unix_date("start_date").alias(f"{side}_s"), F.unix_date("end_date").alias(f"{side}_e"))
+        return rows.where(F.col(f"{side}_s") <= F.col(f"{side}_e"))
+
+    def blocks(rows: DataFrame, side: str) -> DataFrame:
+        """The largest aligned blocks that tile each interval."""
+        s, e = F.col(f"{side}_s"), F.col(f"{side}_e")
+        parts = []
+        for level in range(LEVELS):
+            width = 1 << level
+            first, last = F.ceil(s / width), F.floor((e + 1) / width) - 1
+            for block in (first, last):
+                parent = F.floor(block / 2) * 2 * width
+                whole = (block * width >= s) & (block * width + (width - 1) <= e)
+                top = F.lit(level == LEVELS - 1) | (parent < s) | (parent + (2 * width - 1) > e)
+                parts.append(F.when(whole & top, F.struct(F.lit(level).alias("level"), block.cast("long").alias("block"))))
+        return rows.withColumn("_at", F.explode(F.array_distinct(F.array_compact(F.array(*parts))))).select("*", "_at.*").drop("_at")
+
+    def starts(rows: DataFrame, side: str) -> DataFrame:
+        s = F.col(f"{side}_s")
+        at = [F.struct(F.lit(level).alias("level"), F.floor(s / (1 << level)).cast("long").alias("block")) for level in range(LEVELS)]
+        return rows.withColumn("_at", F.explode(F.array(*at))).select("*", "_at.*").drop("_at")
+
+    a, b = named(left, "left"), named(right, "right")
+    inside_left = blocks(a, "left").join(starts(b, "right"), ["level", "block"])
+    inside_right = blocks(b, "right").join(starts(a, "left"), ["level", "block"]).where("left_s > right_s")
+    return inside_left.unionByName(inside_right).select(
+        "left_id", "right_id", F.date_from_unix_date(F.greatest("left_s", "right_s")).alias("start_date"),
+        F.date_from_unix_date(F.least("left_e", "right_e")).alias("end_date"))
 
 
 def densify(panel: DataFrame, calendar: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -68,19 +86,14 @@ def densify(panel: DataFrame, calendar: DataFrame, columns: Sequence[str]) -> Da
 
     Only the gaps are generated: each row and the calendar positions up to the code's next row. No grid is joined back.
     """
-    dates = calendar.agg(F.array_sort(F.collect_list("date")).alias("_dates"))  # one entry per calendar date
-    indexed = calendar_index(panel.select("code", "date", *columns), calendar)
-    following = F.lead("idx").over(Window.partitionBy("code").orderBy("date"))
+    indexed = calendar_index(panel.select("code", "date", *columns), calendar).drop("date")
+    following = F.lead("idx").over(Window.partitionBy("code").orderBy("idx"))
     spread = indexed.withColumn("_to", F.coalesce(following - 1, F.col("idx"))).withColumn(
         "_at", F.explode(F.sequence("idx", "_to"))
     )
     real = F.col("_at") == F.col("idx")
-    return spread.crossJoin(F.broadcast(dates)).select(
-        "code",
-        F.element_at("_dates", (F.col("_at") + 1).cast("int")).alias("date"),
-        *[F.when(real, F.col(c)).alias(c) for c in columns],
-        real.alias("traded"),
-    )
+    dates = calendar.select(F.col("idx").alias("_at"), "date")
+    return spread.join(date_sized(dates), "_at").select("code", "date", *[F.when(real, F.col(c)).alias(c) for c in columns], real.alias("traded"))
 
 
 def later_prices(panel: DataFrame, offsets: dict[str, int], price: str = "open") -> DataFrame:

@@ -90,7 +90,7 @@ def quantile_grades(
     edges = group_quantiles(df, keys, value, names).select(
         *keys, F.array_sort(F.array_distinct(F.array(*names))).alias("_edges"), "n_values"
     )
-    joined = df.join(F.broadcast(edges), keys, "left") if keys else df.crossJoin(F.broadcast(edges))
+    joined = df.join(edges, keys, "left") if keys else df.crossJoin(F.broadcast(edges))
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     grade = F.size(F.filter(inner, lambda edge: edge < F.col(value)))
     if small_group is not None:

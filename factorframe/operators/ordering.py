@@ -29,7 +29,7 @@ def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str
     return df.withColumn("_all", F.lit(0)), ["_all"]
 
 
-def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on keys where null equals null; the right keys go."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
@@ -58,7 +58,7 @@ def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_pie
     base, group = _with_group(df, keys)
     counts = base.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"))
     # groups with cuts have over rows_per_piece distinct values each, so these two tables stay a tiny share of the rows
-    placed = _match(counts, F.broadcast(_cuts(counts, group, value, rows_per_piece)), group).withColumn(
+    placed = match(counts, F.broadcast(_cuts(counts, group, value, rows_per_piece)), group).withColumn(
         "_piece", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))), F.lit(0))
     )
     by_piece = Window.partitionBy(*group).orderBy("_piece")
@@ -77,7 +77,7 @@ def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_pie
     inside = piece.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     counted = placed.drop("_cuts").withColumns({
         "_upto": F.sum("copies").over(inside) - F.col("copies"), "_in_piece": F.sum("copies").over(piece)})
-    return _match(counted, F.broadcast(earlier), [*group, "_piece"]).select(
+    return match(counted, F.broadcast(earlier), [*group, "_piece"]).select(
         *keys,
         value,
         "copies",
@@ -97,7 +97,7 @@ def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str],
         ranks = group_positions(df.select(*keys, value), keys, value, rows_per_piece).select(
             *keys, value, (F.col("before") + (F.col("copies") + 1) / 2).alias(name)
         )
-        out = _match(out, ranks, [*keys, value])
+        out = match(out, ranks, [*keys, value])
     return out
 
 
@@ -140,6 +140,13 @@ PRUNED_K = 1000
 SALTS = 64
 
 
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
+    """df with each row's place in its group by order, for groups of any size; rows equal in all of order share the first place."""
+    marked = df.withColumn("_order", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    places = group_positions(marked.select(*keys, "_order"), keys, "_order", rows_per_piece)
+    return match(marked, places.select(*keys, "_order", (F.col("before") + 1).alias(name)), [*keys, "_order"]).drop("_order")
+
+
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each group, in two levels beyond PRUNED_K.
 

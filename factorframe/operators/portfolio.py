@@ -49,9 +49,8 @@ def portfolio_returns(
     orders = rebalance_trades(targets, keep=True).groupBy("date", "code").agg(
         F.max((F.col("action") == "BUY").cast("int")).alias("_buy"), F.max((F.col("action") == "SELL").cast("int")).alias("_sell")
     )
-    # a few orders per date: they prune the panel-sized side without a shuffle before the outer join
-    needed = execution.join(date_sized(orders.select("date", "code")), ["date", "code"], "left_semi")
-    filled = orders.join(needed, ["date", "code"], "left")
+    # Spark broadcasts the orders where their size allows
+    filled = orders.join(execution, ["date", "code"], "left")
     no_buy, no_sell = F.coalesce("no_buy", F.lit(True)), F.coalesce("no_sell", F.lit(False))
     bought = (F.col("_buy") == 1) & ~no_buy
     sold = (F.col("_sell") == 1) & ~no_sell
@@ -79,13 +78,13 @@ def pick_forward_returns(
 ) -> DataFrame:
     """Entry price `lag` rows after the pick and the return over each horizon; picks that cannot be entered are dropped.
 
-    picks holds a few rows per date, so it is broadcast and the panel keeps its partitioning.
+    picks holds a few rows per date; Spark broadcasts it where its size allows.
     """
     prices = panel.select(
         "code", "date", (R.ref(price, -lag) if lag else F.col(price)).alias("rec_price"),
         *[R.ref(price, -(lag + h)).alias(f"_p{h}") for h in horizons],
     )
-    joined = prices.join(date_sized(picks), ["code", "date"]).where(F.col("rec_price").isNotNull())
+    joined = prices.join(picks, ["code", "date"]).where(F.col("rec_price").isNotNull())
     returns = {f"ret_{h}d": F.try_divide(F.col(f"_p{h}") - F.col("rec_price"), F.col("rec_price")) for h in horizons}
     return joined.withColumns(returns).drop(*[f"_p{h}" for h in horizons])
 

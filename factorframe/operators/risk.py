@@ -118,13 +118,13 @@ def industry_constraint(exposures: DataFrame, limit: float = MAX_ACTIVE_WEIGHT)
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _solve(gram: pd.Series, moment: pd.Series, size: pd.Series) -> pd.Series:
     """Least-squares coefficients from the normal equations of each row."""
-    out = []
-    for g, m, k in zip(gram, moment, size):
-        matrix, right = np.asarray(g, dtype=float).reshape(int(k), int(k)), np.asarray(m, dtype=float)
-        scale = np.sqrt(np.maximum(np.diag(matrix), 1e-300))
-        beta = np.linalg.lstsq(matrix / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale
-        out.append(beta.tolist())
-    return pd.Series(out)
+    if not len(gram):
+        return pd.Series([], dtype=object)
+    k = int(size.iloc[0])  # one model per call
+    matrix, right = np.stack(gram.to_numpy()).astype(float).reshape(-1, k, k), np.stack(moment.to_numpy()).astype(float)
+    scale = np.sqrt(np.maximum(np.diagonal(matrix, axis1=1, axis2=2), 1e-300))
+    inverse = np.linalg.pinv(matrix / (scale[:, :, None] * scale[:, None, :]), rcond=1e-12, hermitian=True)
+    return pd.Series(list(np.einsum("nij,nj->ni", inverse, right / scale) / scale))
 
 
 def fama_macbeth(rows: DataFrame, factors: Sequence[str], ret: str = "ret", min_names: int = MIN_NAMES) -> DataFrame:

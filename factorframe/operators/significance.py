@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorframe.operators.ordering import group_positions, match
+
 # Abramowitz-Stegun 7.1.26 coefficients of the error function (absolute error below 1.5e-7).
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -41,13 +43,15 @@ def newey_west(
     """Bartlett-kernel mean test of many series at once.
 
     max_lags: a number, a column of per-series lags, or None for floor(n ** 0.25). Lags are clamped to [1, n-1].
+    lag_bound is the most lags a series may want (else 60 for a column, 14 for None: enough for 50 000 rows); a series that
+    wants more raises an error.
     One window pass carries every lag, one aggregate sums them. A series has one row per date, so a window partition
     is bounded by the calendar.
     """
     if isinstance(max_lags, int):
         bound = max(1, max_lags)
     elif max_lags is None:
-        bound = DEFAULT_LAG_BOUND
+        bound = lag_bound or DEFAULT_LAG_BOUND
     else:
         bound = lag_bound or 60
     keys = list(by)
@@ -74,6 +78,7 @@ def newey_west(
     n = F.col("n_samples")
     wanted = F.col("_lags") if lag_column else F.lit(max_lags) if max_lags is not None else F.floor(F.pow(n, F.lit(0.25)))
     lags = F.greatest(F.lit(1), F.least(wanted, n - 1)).cast("int")
+    lags = F.when(lags > bound, F.raise_error(F.lit(f"newey_west: a series wants more than {bound} lags; pass lag_bound"))).otherwise(lags)
     # Bartlett weights vanish beyond the wanted lag, so the unused sums drop out
     weighted = F.transform("_s", lambda s, i: 2 * s * F.greatest(F.lit(0.0), 1 - (i + 1) / (F.col("lags") + 1)))
     variance = F.col("_s0") + F.aggregate(weighted, F.lit(0.0), lambda total, s: total + s)
@@ -100,31 +105,42 @@ def newey_west(
     )
 
 
+def _with_count(tests: DataFrame, p: str, by: list[str] | None) -> DataFrame:
+    """Tests with a p value, and the size of their family; counted by a partial aggregate, whatever the family holds."""
+    rows, keys = tests.where(F.col(p).isNotNull()), list(by or [])
+    if not keys:
+        return rows.crossJoin(F.broadcast(rows.agg(F.count(p).alias("_m"))))  # one row
+    return match(rows, rows.groupBy(*keys).agg(F.count(p).alias("_m")), keys)
+
+
 def bonferroni(tests: DataFrame, p: str = "p", alpha: float = 0.05, by: list[str] | None = None) -> DataFrame:
     """Adjusted p values within each family of tests (a family holds one row per tried configuration)."""
-    count = F.count(p).over(Window.partitionBy(*(by or [F.lit(0)])))
-    adjusted = F.least(F.col(p) * count, F.lit(1.0))
-    return tests.where(F.col(p).isNotNull()).select(
-        "*", adjusted.alias("p_adjusted"), (F.lit(alpha) / count).alias("threshold"), (adjusted < alpha).alias("significant")
+    adjusted = F.least(F.col(p) * F.col("_m"), F.lit(1.0))
+    return _with_count(tests, p, by).select(
+        *tests.columns, adjusted.alias("p_adjusted"), (F.lit(alpha) / F.col("_m")).alias("threshold"), (adjusted < alpha).alias("significant")
     )
 
 
 def benjamini_hochberg(
-    tests: DataFrame, p: str = "p", tie: str = "id", alpha: float = 0.05, by: list[str] | None = None
+    tests: DataFrame, p: str = "p", tie: str = "id", alpha: float = 0.05, by: list[str] | None = None, run: int = 1 << 18
 ) -> DataFrame:
-    """Step-up adjusted p values: the running minimum of p * m / rank from the largest p down."""
-    family = Window.partitionBy(*(by or [F.lit(0)]))
-    ordered = family.orderBy(p, tie)
-    ranked = tests.where(F.col(p).isNotNull()).select(
-        "*", (F.col(p) * F.count(p).over(family) / F.row_number().over(ordered)).alias("_scaled")
-    )
-    adjusted = F.least(F.min("_scaled").over(ordered.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))
-    return (
-        ranked.withColumn("p_adjusted", adjusted)
-        .drop("_scaled")
-        .withColumn("threshold", F.lit(alpha))
-        .withColumn("significant", F.col("p_adjusted") < alpha)
-    )
+    """Step-up adjusted p values: the running minimum of p * m / rank from the largest p down.
+
+    Ranks come from group_positions, and the minimum is taken inside runs of neighbouring ranks and then over the runs
+    behind, so no window sees a whole family.
+    """
+    keys = list(by or [])
+    placed = _with_count(tests, p, by).withColumn("_order", F.struct(F.col(p), F.col(tie)))
+    ranks = group_positions(placed.select(*keys, "_order"), keys, "_order").select(*keys, "_order", (F.col("before") + 1).alias("_rank"))
+    scaled = match(placed, ranks, [*keys, "_order"]).withColumns({
+        "_scaled": F.col(p) * F.col("_m") / F.col("_rank"), "_run": F.floor((F.col("_rank") - 1) / run)})
+    family = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_run")
+    behind = scaled.groupBy(*keys, "_run").agg(F.min("_scaled").alias("_least")).select(
+        *keys, "_run", F.min("_least").over(family.rowsBetween(1, Window.unboundedFollowing)).alias("_behind"))
+    inside = Window.partitionBy(*keys, "_run").orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
+    adjusted = F.least(F.min("_scaled").over(inside), "_behind", F.lit(1.0))
+    return match(scaled, behind, [*keys, "_run"]).withColumn("p_adjusted", adjusted).select(
+        *tests.columns, "p_adjusted", F.lit(alpha).alias("threshold"), (F.col("p_adjusted") < alpha).alias("significant"))
 
 
 def paired_test(

@@ -9,7 +9,7 @@ from factorframe.functions import rolling as R
 from factorframe.operators import filters as FL
 from factorframe.operators import labels as L
 from factorframe.operators import normalize as N
-from factorframe.operators.ordering import average_ranks, first_k, group_positions
+from factorframe.operators.ordering import average_ranks, group_positions, row_numbers
 from factorframe.plans.registry import query
 from factorframe.plans.testbed import with_ctes
 
@@ -175,10 +175,10 @@ def cumulative_share(t):
 @query(
     "row_rank",
     {**KEY, "rank": "int"},
-    with_ctes("score") + "SELECT code, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rank FROM score QUALIFY rank <= 25",
+    with_ctes("score") + "SELECT code, date, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rank FROM score",
 )
 def row_rank(t):
-    return first_k(t.score, ["date"], [F.desc("score"), F.col("code")], 25)
+    return row_numbers(t.score, ["date"], [-F.col("score"), F.col("code")])
 
 
 @query(

@@ -349,15 +349,14 @@ def universe_filter(t):
 @query(
     "index_members",
     {"code": "int", "present": "bool"},
-    """SELECT s_suppkey AS code, s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01') AS present
-       FROM supplier WHERE s_nationkey < 10""",
+    "SELECT c_custkey AS code, c_custkey IN (SELECT l_suppkey FROM lineitem) AS present FROM customer",
 )
 def index_members(t):
-    """Constituents split into those with early bars and those missing from the panel."""
-    early = SRC.instruments(t.day.where(F.col("date") < F.lit("1995-06-01").cast("date")))
-    members = t.read("supplier").where(F.col("s_nationkey") < 10).select(F.col("s_suppkey").alias("code"))
-    have = FL.index_members(early, members).select("code", F.lit(True).alias("present"))
-    return have.unionByName(FL.missing_members(early, members).select("code", F.lit(False).alias("present")))
+    """Constituents (here the customer keys) split into those with bars and those missing from the panel."""
+    traded = SRC.instruments(t.day)
+    members = t.read("customer").select(F.col("c_custkey").alias("code"))
+    have = FL.index_members(traded, members).select("code", F.lit(True).alias("present"))
+    return have.unionByName(FL.missing_members(traded, members).select("code", F.lit(False).alias("present")))
 
 
 _SEGMENTS = {"train": ("1995-01-01", "1997-12-31"), "valid": ("1998-01-01", "1998-12-31"), "test": ("1999-01-01", "2000-12-31")}
@@ -503,11 +502,10 @@ def densify(t):
     {"code": "int", "date": "date", "score": 7, "entry": 9, "exit": 9},
     with_ctes("score", extra="""later AS (SELECT code, date, lead(open, 1) OVER w AS entry, lead(open, 6) OVER w AS exit FROM wk
       WINDOW w AS (PARTITION BY code ORDER BY date))""")
-    + "SELECT code, date, score, entry, exit FROM score JOIN later USING (code, date) WHERE score > 0.2",
+    + "SELECT code, date, score, entry, exit FROM score JOIN later USING (code, date)",
 )
 def offset_row_join(t):
-    picks = t.score.where(F.col("score") > 0.2)
-    return picks.join(J.later_prices(t.week, {"entry": 1, "exit": 6}), ["code", "date"])
+    return t.score.join(J.later_prices(t.week, {"entry": 1, "exit": 6}), ["code", "date"])
 
 
 @query(
@@ -621,23 +619,23 @@ def market_snapshot(t):
 @query(
     "sort_multi",
     {"code": "int", "date": "date", "amount": 3},
-    with_ctes("wk") + "SELECT code, date, amount FROM wk ORDER BY amount DESC, code, date LIMIT 100",
+    with_ctes("wk") + "SELECT code, date, amount FROM wk ",
 )
 def sort_multi(t):
-    return t.week.select("code", "date", "amount").orderBy(F.desc("amount"), "code", "date").limit(100)
+    return t.week.select("code", "date", "amount").orderBy(F.desc("amount"), "code", "date")
 
 
 @query(
     "rank_sort_nulls",
     {"code": "int", "date": "date", "pct_chg": 6, "place": "int"},
     with_ctes("quoted") + """SELECT code, date, pct_chg, row_number() OVER (PARTITION BY date ORDER BY pct_chg DESC NULLS LAST, code) AS place
-      FROM quoted QUALIFY place <= 10""",
+      FROM quoted""",
 )
 def rank_sort_nulls(t):
-    from factorframe.operators.ordering import first_k
+    from factorframe.operators.ordering import row_numbers
 
     rows = t.quoted.select("code", "date", "pct_chg")
-    return first_k(rows, ["date"], [F.desc_nulls_last("pct_chg"), F.col("code")], 10, "place")
+    return row_numbers(rows, ["date"], [F.col("pct_chg").isNull(), -F.col("pct_chg"), F.col("code")], "place")
 
 
 @query(

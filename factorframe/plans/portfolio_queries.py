@@ -21,6 +21,8 @@ CTES["tgt"] = (("score",), """
       (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rank FROM score) t
       JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS idx FROM (SELECT DISTINCT date FROM score) d) i ON i.date = t.date
     WHERE rank <= 10""")
+CTES["tgt30"] = (("score",), """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rank FROM score) t
+    WHERE rank <= 30""")
 CTES["trades"] = (("tgt",), """
     SELECT date, code, 'BUY' AS action FROM tgt t
     WHERE NOT EXISTS (SELECT 1 FROM tgt p WHERE p.code = t.code AND p.idx = t.idx - 1)
@@ -184,8 +186,8 @@ _FWD = """fwd AS MATERIALIZED (SELECT tgt.date, tgt.code, rank, rec_price, (p5 -
   WHERE rec_price IS NOT NULL)"""
 
 
-def forward(t):
-    return P.pick_forward_returns(targets(t).select("date", "code", "rank"), t.week)
+def forward(t, k: int = 10):
+    return P.pick_forward_returns(targets(t, k).select("date", "code", "rank"), t.week)
 
 
 @query(
@@ -216,14 +218,14 @@ def hit_rate(t):
 @query(
     "validation_report",
     {"scope": "str", "bucket": "str", **HIT},
-    with_ctes("tgt", "industry", extra=_FWD) + f"""SELECT scope, bucket, {_HIT} FROM (
+    with_ctes("tgt30", "industry", extra=_FWD.replace("tgt", "tgt30")) + f"""SELECT scope, bucket, {_HIT} FROM (
       SELECT 'horizon' AS scope, '5d' AS bucket, ret_5d AS ret FROM fwd UNION ALL SELECT 'horizon', '10d', ret_10d FROM fwd
       UNION ALL SELECT 'horizon', '20d', ret_20d FROM fwd
-      UNION ALL SELECT 'rank', CASE WHEN rank <= 10 THEN 'rank_1_10' WHEN rank <= 20 THEN 'rank_11_20' ELSE 'rank_21_30' END, ret_5d FROM fwd
-      UNION ALL SELECT 'industry', industry, ret_5d FROM fwd JOIN industry USING (code)) q WHERE ret IS NOT NULL GROUP BY scope, bucket""",
+      UNION ALL SELECT 'rank', CASE WHEN rank <= 10 THEN 'rank_1_10' WHEN rank <= 20 THEN 'rank_11_20' WHEN rank <= 30 THEN 'rank_21_30' END, ret_5d FROM fwd
+      UNION ALL SELECT 'industry', industry, ret_5d FROM fwd JOIN industry USING (code)) q WHERE ret IS NOT NULL AND bucket IS NOT NULL GROUP BY scope, bucket""",
 )
 def validation_report(t):
-    return A.validation_report(forward(t).join(t.industry, "code", "left"), _H3, "ret_5d")
+    return A.validation_report(forward(t, 30).join(t.industry, "code", "left"), _H3, "ret_5d")
 
 
 @query(

@@ -1,10 +1,10 @@
-"""Session defaults and lineage cutting."""
+"""Session defaults and the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # Only settings the operators rely on. Shuffle width, memory and executor counts belong to the cluster.
 DEFAULT_CONF = {
@@ -28,18 +28,12 @@ def build_session(app: str = "factorframe", master: str | None = None, **conf: s
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is configured."""
+    """The folder driver and executors share, from spark.checkpoint.dir; only a single-machine session may go without."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        single = context.master == "local" or context.master.startswith("local[")
+        if not configured and not single:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="factorframe-ckpt-"))
     return configured or context.getCheckpointDir()
-
-
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to the reliable checkpoint folder and continue from the files.
-
-    Executors may vanish; the files survive them, so what follows never replays the upstream plan.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
