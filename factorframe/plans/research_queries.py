@@ -208,17 +208,29 @@ def explain_row(t):
 # ---- streaming -------------------------------------------------------------------------------------------------------
 
 
-@query("stream_upsert_bars", BAR, with_ctes("panel_day") + "SELECT * FROM panel_day")
-def stream_upsert_bars(t):
+def upserted(t) -> str:
     """A first load with stale recent closes, then an update of the recent dates: the stream ends at the true panel."""
     folder = scratch(t.spark)
     recent = F.col("date") >= F.lit("2001-01-01").cast("date")
     first = t.day.withColumns({"close": F.when(recent, F.col("close") * 2).otherwise(F.col("close")), "ingest": F.lit(1)})
-    first.repartition(2, "code").write.parquet(f"{folder}/in/load=1")
-    t.day.where(recent).withColumn("ingest", F.lit(2)).repartition(1).write.parquet(f"{folder}/in/load=2")
-    stream = Z.stream_files(t.spark, f"{folder}/in/*", first.schema, files_per_batch=2)
-    Z.start_upsert(stream, f"{folder}/bars", f"{folder}/ckpt").awaitTermination()
-    return Z.current_bars(t.spark, f"{folder}/bars")
+    for load in (first, t.day.where(recent).withColumn("ingest", F.lit(2))):
+        load.write.mode("append").parquet(f"{folder}/in")
+        Z.start_upsert(Z.stream_files(t.spark, f"{folder}/in", first.schema), f"{folder}/bars", f"{folder}/ckpt").awaitTermination()
+    return folder + "/bars"
+
+
+@query("stream_upsert_bars", BAR, with_ctes("panel_day") + "SELECT * FROM panel_day")
+def stream_upsert_bars(t):
+    return Z.current_bars(t.spark, upserted(t))
+
+
+@query("stream_refresh_instruments", {"code": "int", "start_date": "date", "end_date": "date"},
+       with_ctes("panel_day") + "SELECT code, min(date) AS start_date, max(date) AS end_date FROM panel_day GROUP BY code")
+def stream_refresh_instruments(t):
+    """Instrument ranges after the upsert and a compaction."""
+    target = upserted(t)
+    Z.compact_bars(t.spark, target)
+    return Z.refresh_dimensions(t.spark, target)[1]
 
 
 @query(
@@ -232,12 +244,11 @@ def stream_adjust_events(t):
     folder = scratch(t.spark)
     cut = F.lit("1998-06-01").cast("date")
     bars = t.day.select("code", "date", "close")
-    bars.where(F.col("date") < cut).repartition(1).write.parquet(f"{folder}/in/load=1")
-    bars.where(F.col("date") >= cut).repartition(1).write.parquet(f"{folder}/in/load=2")
-    stream = Z.stream_files(t.spark, f"{folder}/in/*", bars.schema, files_per_batch=1)
-    events = Z.adjust_events(stream)
-    writer = events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    for load in (bars.where(F.col("date") < cut), bars.where(F.col("date") >= cut)):
+        load.write.mode("append").parquet(f"{folder}/in")
+        events = Z.adjust_events(Z.stream_files(t.spark, f"{folder}/in", bars.schema))
+        writer = events.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt")
+        writer.trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(f"{folder}/out")
 
 
@@ -254,18 +265,19 @@ def ticks(t, rows):
 @query(
     "stream_ohlcv_bars",
     {"code": "int", "day": "date", "open": 4, "high": 4, "low": 4, "close": 4, "n_ticks": "int"},
-    f"""SELECT code, CAST(start AS DATE) AS day, open, high, low, close, n_ticks FROM ({_TICK_BARS}) b
-        WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
+    f"SELECT code, CAST(start AS DATE) AS day, open, high, low, close, n_ticks FROM ({_TICK_BARS}) b",
 )
 def stream_ohlcv_bars(t):
-    """Daily bars from the event stream; the append sink holds the windows the watermark has passed."""
+    """Daily bars from the event stream: the append sink holds the windows the watermark has passed, the rest are closed after it."""
     folder = scratch(t.spark)
     schema = t.read("events").schema
     stream = Z.stream_files(t.spark, f"{t.folder}/event*.parquet", schema)
     bars = Z.ohlcv(ticks(t, stream.withColumn("ts", Z.utc_instant(F.col("ts")))))
     writer = bars.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/ckpt")
     writer.trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").withColumn("day", Z.utc_wall(F.col("start")).cast("date"))
+    every = ticks(t, t.read("events").withColumn("ts", Z.utc_instant(F.col("ts"))))
+    done = Z.closed_windows(t.spark.read.schema(bars.schema).parquet(f"{folder}/out"), every)
+    return done.withColumn("day", Z.utc_wall(F.col("start")).cast("date"))
 
 
 @query(
@@ -294,7 +306,7 @@ def stream_validate(t):
     bars = faulty_bars(t)
     bars.write.parquet(f"{folder}/in")
     stream = Z.stream_files(t.spark, f"{folder}/in", bars.schema)
-    for running in Z.start_validation(stream, f"{folder}/good", f"{folder}/rejected", f"{folder}/ckpt", watermark="10000 days"):
+    for running in Z.start_validation(stream, f"{folder}/good", f"{folder}/rejected", f"{folder}/ckpt"):
         running.awaitTermination()
-    sides = [t.spark.read.parquet(f"{folder}/{s}").select(F.lit(s).alias("side"), "code") for s in ("good", "rejected")]
+    sides = [t.spark.read.parquet(f"{folder}/{s}/batch=*").select(F.lit(s).alias("side"), "code") for s in ("good", "rejected")]
     return sides[0].unionByName(sides[1]).groupBy("side", "code").agg(F.count(F.lit(1)).alias("n"))

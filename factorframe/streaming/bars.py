@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +15,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from factorframe.operators.filters import dedupe
 from factorframe.operators.quality import ADJUST_EVENT
+from factorframe.sources.panel import instruments, trade_calendar
 
 
 def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -32,8 +32,8 @@ def _trigger(writer, interval: str | None):
 # ---- upsert ----------------------------------------------------------------------------------------------------------
 
 
-def committed_batches(spark: SparkSession, target: str) -> list[int]:
-    """Batch folders whose write has finished."""
+def _folders(spark: SparkSession, target: str, kind: str) -> list[int]:
+    """Numbers of the finished folders kind=<number> under target."""
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
@@ -41,41 +41,79 @@ def committed_batches(spark: SparkSession, target: str) -> list[int]:
     found = []
     for status in fs.listStatus(path):
         name = status.getPath().getName()
-        if name.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.removeprefix("batch=")))
+        if name.startswith(f"{kind}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            found.append(int(name.removeprefix(f"{kind}=")))
     return sorted(found)
 
 
+def committed_batches(spark: SparkSession, target: str) -> list[int]:
+    """Batch folders whose write has finished."""
+    return _folders(spark, target, "batch")
+
+
+def _parts(spark: SparkSession, folder: str) -> bool:
+    """Whether a finished folder has any rows, by the partition folders that its write made."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return any(s.getPath().getName().startswith("month=") for s in fs.listStatus(path))
+
+
 def current_bars(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The upserted panel: for every year the newest finished batch that wrote it."""
-    batches = [b for b in committed_batches(spark, target) if before is None or b < before]
-    if not batches:
-        return None
-    try:
-        rows = spark.read.option("basePath", target).parquet(*[f"{target}/batch={b}" for b in batches])
-    except AnalysisException:  # batches without any rows hold no files
+    """The upserted panel: for every month the newest finished batch that wrote it, None before the first row.
+
+    Reading starts at the newest compacted base, if there is one. A folder that cannot be read raises.
+    """
+    base = [b for b in _folders(spark, target, "base") if before is None or b < before][-1:]
+    batches = [b for b in committed_batches(spark, target) if (before is None or b < before) and (not base or b > base[0])]
+    folders = [(n, f"{target}/{kind}={n}") for kind, numbers in (("base", base), ("batch", batches)) for n in numbers]
+    frames = [spark.read.option("basePath", folder).parquet(folder).withColumn("batch", F.lit(n)) for n, folder in folders if _parts(spark, folder)]
+    if not frames:
         return None
-    newest = rows.groupBy("year").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), ["year", "batch"], "left_semi")  # one row per year
+    rows = frames[0]
+    for frame in frames[1:]:
+        rows = rows.unionByName(frame)
+    newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(newest), ["month", "batch"], "left_semi")  # one row per calendar month
+
+
+def _write_months(rows: DataFrame, folder: str) -> None:
+    # the rebalance hint sizes files by their bytes, splitting a large month and joining small ones
+    rows.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(folder)
 
 
 def upsert_batch(batch: DataFrame, batch_id: int, target: str, order: str = "ingest") -> None:
-    """Merge new bars into the years they touch; per (code, date) the largest ingest mark wins.
+    """Merge new bars into the months they touch; per (code, date) the largest ingest mark wins.
 
-    Nothing is overwritten: a batch writes the merged years to its own folder, from batches before it. A replayed batch
+    Nothing is overwritten: a batch writes the merged months to its own folder, from batches before it. A replayed batch
     reads the same input and replaces only its own folder, so a lost driver or executor never loses bars.
     """
     spark = batch.sparkSession
-    fresh = batch.withColumn("year", F.year("date"))
+    fresh = batch.withColumn("month", F.date_format("date", "yyyyMM").cast("int"))
     old = current_bars(spark, target, before=batch_id)
     if old is not None:
-        years = fresh.select("year").distinct()
-        kept = old.join(F.broadcast(years), "year", "left_semi").drop("batch").select(*fresh.columns)
+        months = fresh.select("month").distinct()
+        kept = old.join(F.broadcast(months), "month", "left_semi").drop("batch").select(*fresh.columns)
         fresh = kept.unionByName(fresh)
-    merged = dedupe(fresh, ["code", "date"], order, "last")
-    merged.repartition("year", F.pmod(F.xxhash64("code"), F.lit(64))).write.mode("overwrite").partitionBy("year").parquet(
-        f"{target}/batch={batch_id}"
-    )
+    _write_months(dedupe(fresh, ["code", "date"], order, "last"), f"{target}/batch={batch_id}")
+
+
+def compact_bars(spark: SparkSession, target: str) -> int | None:
+    """Write the current panel as one base up to the newest batch, and return its number; later reads begin there.
+
+    Folders at or below that number are no longer read by anyone who starts afterwards; removing them is left to the operator.
+    """
+    batches = committed_batches(spark, target)
+    rows = current_bars(spark, target)
+    if rows is None:
+        return None
+    _write_months(rows.drop("batch"), f"{target}/base={batches[-1]}")
+    return batches[-1]
+
+
+def refresh_dimensions(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame] | None:
+    """Trading calendar (date, idx) and instrument ranges (code, start_date, end_date) of the panel as it stands now."""
+    rows = current_bars(spark, target)
+    return None if rows is None else (trade_calendar(rows), instruments(rows))
 
 
 def start_upsert(stream: DataFrame, target: str, checkpoint: str, interval: str | None = None):
@@ -100,8 +138,12 @@ def adjust_events(stream: DataFrame, threshold: float = ADJUST_EVENT) -> DataFra
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_date, last_close = state.get if state.exists else (None, None)
-        bars = pd.concat(list(frames)).dropna(subset=["close"]).sort_values("date")
-        bars = bars.drop_duplicates("date", keep="last")
+        # one close per date, frame by frame: what is held is bounded by the calendar, whatever the batch repeats
+        closes: dict = {}
+        for part in frames:
+            part = part.dropna(subset=["close"])
+            closes.update(zip(part["date"], part["close"]))
+        bars = pd.DataFrame({"date": list(closes), "close": list(closes.values())}, columns=["date", "close"]).sort_values("date")
         if last_date is not None:
             bars = bars[bars["date"] > last_date]
         if bars.empty:
@@ -159,22 +201,31 @@ def bad_bar():
     return F.coalesce(broken, F.lit(True))
 
 
-def start_validation(stream: DataFrame, good: str, rejected: str, checkpoint: str, watermark: str = "30 days", interval: str | None = None):
-    """Route inconsistent bars to a reject folder and the first copy of each valid bar to the good one.
+def start_validation(stream: DataFrame, good: str, rejected: str, checkpoint: str, interval: str | None = None):
+    """Route inconsistent bars to a reject folder and the first copy of each valid bar to the good one, however late it comes.
 
-    Each query writes one file sink with its own log, so a replayed batch is written once.
+    The memory of earlier copies is the good sink itself: a batch leaves out the (code, date) pairs that batches before it wrote,
+    looking only at its own range of dates. Each batch writes folders of its own, so a replay replaces them.
     """
-    marked = stream.withColumn("_bad", bad_bar())
-    valid = (
-        marked.where(~F.col("_bad"))
-        .drop("_bad")
-        .withColumn("_ts", F.col("date").cast("timestamp"))
-        .withWatermark("_ts", watermark)
-        .dropDuplicatesWithinWatermark(["code", "date"])
-        .drop("_ts")
-    )
-    sinks = ((valid, good, "good"), (marked.where("_bad").drop("_bad"), rejected, "rejected"))
-    return [
-        _trigger(rows.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{name}").option("path", path), interval).start()
-        for rows, path, name in sinks
-    ]
+    def route(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        marked = batch.withColumn("_bad", bad_bar())
+        marked.where("_bad").drop("_bad").write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+        valid = dedupe(marked.where(~F.col("_bad")).drop("_bad"), ["code", "date"], F.lit(0), "first")
+        earlier = [f"{good}/batch={b}" for b in committed_batches(spark, good) if b < batch_id]
+        if earlier:
+            first, last = batch.agg(F.min("date"), F.max("date")).first()
+            seen = spark.read.schema(batch.schema).parquet(*earlier).where(F.col("date").between(first, last)).select("code", "date")
+            valid = valid.join(seen, ["code", "date"], "left_anti").select(*batch.columns)
+        valid.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+
+    return [_trigger(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(route), interval).start()]
+
+
+def closed_windows(done: DataFrame, ticks: DataFrame, width: str = "1 day", slide: str | None = None, watermark: str = "1 day") -> DataFrame:
+    """What a finished stream wrote, and the windows its watermark had not passed, from the ticks that can still be in them."""
+    last = ticks.agg((F.max("ts") - F.expr(f"INTERVAL {watermark}")).alias("_mark"))  # one row
+    marked = ticks.crossJoin(F.broadcast(last))
+    late = ohlcv(marked.where(F.col("ts") > F.col("_mark") - F.expr(f"INTERVAL {width}")), width, slide)
+    still_open = late.crossJoin(F.broadcast(last)).where(F.col("end") > F.col("_mark")).drop("_mark")
+    return done.unionByName(still_open.join(done.select("code", "start"), ["code", "start"], "left_anti").select(*done.columns))

@@ -40,3 +40,48 @@ def test_adjust_events_keep_state_and_ignore_late_bars(spark, tmp_path):
     timely = frame(spark, schema, [r for load in loads for r in load if r[2] != 99.0])
     want = {(r["code"], str(r["date"]), r["prev_close"], r["close"]) for r in adjust_events(timely).collect()}
     assert got == want == {("a", d[3], 10.5, 20.0)}
+
+
+def test_unreadable_batch_fails_loudly(spark, tmp_path):
+    import glob
+    import pytest
+
+    folder = str(tmp_path)
+    frame(spark, SCHEMA, [("a", "2020-01-01", 2.0, 1), ("b", "2020-02-01", 3.0, 1)]).write.parquet(f"{folder}/in")
+    run_upsert(spark, folder)
+    for path in glob.glob(f"{folder}/bars/batch=0/month=*/*.parquet"):
+        open(path, "wb").write(b"broken")
+    for path in glob.glob(f"{folder}/bars/batch=0/month=*/.*.crc"):
+        open(path, "wb").write(b"")
+    with pytest.raises(Exception):
+        Z.upsert_batch(frame(spark, SCHEMA, [("a", "2020-01-02", 4.0, 2)]), 1, f"{folder}/bars")
+    assert Z.committed_batches(spark, f"{folder}/bars") == [0]
+
+
+def test_empty_batches_and_compaction(spark, tmp_path):
+    target = f"{tmp_path}/bars"
+    Z.upsert_batch(frame(spark, SCHEMA, []), 0, target)
+    assert Z.current_bars(spark, target) is None
+    Z.upsert_batch(frame(spark, SCHEMA, [("a", "2020-01-01", 2.0, 1), ("b", "2020-03-01", 5.0, 1)]), 1, target)
+    Z.upsert_batch(frame(spark, SCHEMA, [("a", "2020-01-01", 7.0, 2)]), 2, target)
+    assert Z.compact_bars(spark, target) == 2
+    Z.upsert_batch(frame(spark, SCHEMA, [("a", "2020-01-02", 8.0, 3)]), 3, target)
+    got = {(r["code"], str(r["date"])): r["close"] for r in Z.current_bars(spark, target).collect()}
+    assert got == {("a", "2020-01-01"): 7.0, ("a", "2020-01-02"): 8.0, ("b", "2020-03-01"): 5.0}
+    calendar, listed = Z.refresh_dimensions(spark, target)
+    assert calendar.count() == 3 and {r["code"]: str(r["end_date"]) for r in listed.collect()} == {"a": "2020-01-02", "b": "2020-03-01"}
+
+
+def test_validation_keeps_late_bars(spark, tmp_path):
+    schema = "code string, date date, open double, high double, low double, close double, volume double"
+    folder = str(tmp_path)
+    loads = [[("a", "2020-06-01", 1.0, 2.0, 1.0, 1.5, 1.0), ("a", "2020-06-01", 1.0, 2.0, 1.0, 1.6, 1.0)],
+             [("a", "2010-01-01", 1.0, 2.0, 1.0, 1.5, 1.0), ("a", "2020-06-01", 1.0, 2.0, 1.0, 1.7, 1.0), ("b", "2020-06-01", 9.0, 2.0, 1.0, 1.5, 1.0)]]
+    for load in loads:
+        frame(spark, schema, load).write.mode("append").parquet(f"{folder}/in")
+        stream = Z.stream_files(spark, f"{folder}/in", frame(spark, schema, []).schema)
+        for q in Z.start_validation(stream, f"{folder}/good", f"{folder}/bad", f"{folder}/ckpt"):
+            q.awaitTermination()
+    good = spark.read.parquet(f"{folder}/good/batch=*").collect()
+    assert sorted((r.code, str(r.date)) for r in good) == [("a", "2010-01-01"), ("a", "2020-06-01")]
+    assert [r.code for r in spark.read.parquet(f"{folder}/bad/batch=*").collect()] == ["b"]
