@@ -40,10 +40,12 @@ def execution_view(panel: DataFrame, listed: DataFrame | None = None) -> DataFra
 
 def portfolio_returns(
     targets: DataFrame, execution: DataFrame, benchmark: DataFrame | None = None, open_cost: float = OPEN_COST,
-    close_cost: float = CLOSE_COST,
+    close_cost: float = CLOSE_COST, min_cost: float = 0.0, account: float = 1e8,
 ) -> DataFrame:
     """Equal-weight return, turnover and cost per date of a full rebalance into the targets.
 
+    An order costs its rate, but at least min_cost of an account worth account.
+
     Orders fill at the next open. A blocked buy leaves the holding out; a blocked sell keeps the name for that period.
     """
     orders = rebalance_trades(targets, keep=True).groupBy("date", "code").agg(
@@ -63,10 +65,14 @@ def portfolio_returns(
         F.count_if(F.col("_sell") == 0).alias("_n"),
     )
     size = F.greatest(F.col("_n"), F.lit(1))
+
+    def fee(rate: float):
+        return F.greatest(F.lit(rate) / size, F.lit(min_cost / account))
+
     out = daily.select(
         "date", F.coalesce("return", F.lit(0.0)).alias("return"), "n_held",
         ((F.col("_buys") + F.col("_sells")) / size / 2).alias("turnover"),
-        (F.col("_buys") / size * open_cost + F.col("_sells") / size * close_cost).alias("cost"),
+        (F.col("_buys") * fee(open_cost) + F.col("_sells") * fee(close_cost)).alias("cost"),
     )
     if benchmark is None:
         return out

@@ -43,6 +43,17 @@ def canonical_columns(t):
     return SRC.normalize_columns(messy)
 
 
+@query("scan_csv_panel", BAR, with_ctes("panel_day") + "SELECT * FROM panel_day")
+def scan_csv_panel(t):
+    """One folder of CSV files per code, with foreign headers."""
+    folder = scratch(t.spark)
+    names = {"date": "日期", "open": "开盘", "high": "最高", "low": "最低", "close": "收盘", "volume": "成交量", "amount": "成交额"}
+    rows = t.day.select(F.lpad(F.col("code").cast("string"), 6, "0").alias("symbol"), F.col("code").alias("股票代码"),
+                        *[F.col(c).alias(n) for c, n in names.items()])
+    rows.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(folder)
+    return SRC.read_csv_panel(t.spark, folder, code_folder="symbol")
+
+
 @query("write_panel", BAR, with_ctes("panel_day") + "SELECT * FROM panel_day")
 def write_panel(t):
     folder = scratch(t.spark)

@@ -48,6 +48,10 @@ CTES["rep0"] = (("trades", "exe", "bench"), """
                    UNION ALL SELECT date, code, CASE WHEN action = 'BUY' THEN 1 ELSE 0 END, CASE WHEN action = 'SELL' THEN 1 ELSE 0 END, 0
                    FROM trades) u GROUP BY date, code) m LEFT JOIN exe ON exe.code = m.code AND exe.date = m.date) f
     GROUP BY date""")
+_least = "* greatest({rate} / CAST(greatest(sum(t), 1) AS DOUBLE), 5.0 / 1e4)"
+_parts = CTES["rep0"][1].replace("/ CAST(greatest(sum(t), 1) AS DOUBLE) * 0.0005", _least.format(rate="0.0005")).replace(
+    "/ CAST(greatest(sum(t), 1) AS DOUBLE) * 0.0015", _least.format(rate="0.0015"))
+CTES["rep_min_fee"] = (CTES["rep0"][0], _parts)
 CTES["rep"] = (("rep0", "bench"), """SELECT r.*, coalesce(b.bench, 0) / 100 AS bench FROM rep0 r LEFT JOIN bench b USING (date)""")
 
 
@@ -190,6 +194,12 @@ def forward(t, k: int = 10):
     return P.pick_forward_returns(targets(t, k).select("date", "code", "rank"), t.week)
 
 
+@query("portfolio_min_fee", {"date": "date", "turnover": 7, "cost": 8}, with_ctes("rep_min_fee") + "SELECT date, turnover, cost FROM rep_min_fee")
+def portfolio_min_fee(t):
+    """Every order costs at least 5 of an account of 10 000."""
+    return P.portfolio_returns(targets(t), P.execution_view(t.week, t.names.select("code", "listed")), min_cost=5.0, account=1e4)
+
+
 @query(
     "pick_forward_returns",
     {"date": "date", "code": "int", "rank": "int", "rec_price": 9, "ret_5d": 7, "ret_10d": 7, "ret_20d": 7},
@@ -382,6 +392,25 @@ def style_constraint(t):
     return Q.style_constraint(Q.style_exposure(weights(t), styles(t)))
 
 
+_HELD_BENCH = ("SELECT w.date, w.weight, k.amount AS bw, '{f}' AS style, {f} AS x FROM wts w JOIN sty s ON s.date = w.date AND s.code = w.code "
+               "LEFT JOIN wk k ON k.date = w.date AND k.code = w.code")
+_EXP_BENCH = "hl AS (" + " UNION ALL ".join(_HELD_BENCH.format(f=f) for f in Q.STYLES) + """),
+hz AS (SELECT *, weight / sum(weight) OVER p AS wn, bw / sum(bw) OVER p AS bn, avg(x) OVER p AS mu, stddev_samp(x) OVER p AS sd, count(x) OVER p AS n
+  FROM hl WINDOW p AS (PARTITION BY date, style)),
+ex AS MATERIALIZED (SELECT date, style, sum(CASE WHEN x IS NULL OR sd < 1e-12 THEN 0 ELSE wn * (x - mu) / sd END) AS portfolio_exposure,
+    sum(CASE WHEN x IS NULL OR sd < 1e-12 THEN 0 ELSE bn * (x - mu) / sd END) AS benchmark_exposure FROM hz WHERE n >= 10 GROUP BY date, style)"""
+
+
+@query(
+    "style_exposure_benchmark",
+    {"date": "date", "style": "str", "portfolio_exposure": 6, "benchmark_exposure": 6, "active_exposure": 6},
+    with_ctes("sty", "wts", "wk", extra=_EXP_BENCH) + "SELECT *, portfolio_exposure - benchmark_exposure AS active_exposure FROM ex",
+)
+def style_exposure_benchmark(t):
+    """Against a benchmark that weighs names by traded amount."""
+    return Q.style_exposure(weights(t), styles(t), benchmark=t.week.select("date", "code", F.col("amount").alias("weight")))
+
+
 _IND = """iw AS (SELECT date, industry, sum(weight) AS w FROM wts JOIN industry USING (code) GROUP BY date, industry),
 ie AS MATERIALIZED (SELECT d.date, n.industry, coalesce(w / sum(w) OVER (PARTITION BY d.date), 0) AS portfolio_weight,
     1.0 / (SELECT count(DISTINCT industry) FROM industry) AS benchmark_weight
@@ -398,6 +427,18 @@ def industry_exposure(t):
     return Q.industry_exposure(weights(t), t.industry)
 
 
+@query(
+    "industry_exposure_benchmark",
+    {"date": "date", "industry": "str", "portfolio_weight": 7, "benchmark_weight": 7, "active_weight": 7},
+    with_ctes("wts", "industry", "wk", extra=_IND) + """SELECT ie.date, ie.industry, portfolio_weight, coalesce(b, 0) AS benchmark_weight,
+      portfolio_weight - coalesce(b, 0) AS active_weight FROM ie LEFT JOIN
+      (SELECT date, industry, sum(amount) / sum(sum(amount)) OVER (PARTITION BY date) AS b FROM wk JOIN industry USING (code) GROUP BY date, industry) bw
+      ON bw.date = ie.date AND bw.industry = ie.industry""",
+)
+def industry_exposure_benchmark(t):
+    return Q.industry_exposure(weights(t), t.industry, t.week.select("date", "code", F.col("amount").alias("weight")))
+
+
 @query(
     "industry_constraint",
     {"date": "date", "industry": "str", "constraint_ok": "bool", "all_ok": "bool"},
@@ -489,6 +530,16 @@ def avg_daily_amount(t):
     return Q.average_amount(t.week)
 
 
+@query(
+    "capacity_all_ok",
+    {"date": "date", "all_ok": "bool", "max_usage": 6},
+    with_ctes("wts", "wk", extra=_ADV) + """SELECT date, bool_and(coalesce(adv0, 0) > 0 AND weight * 1e5 / adv0 <= 0.05) AS all_ok,
+      max(CASE WHEN coalesce(adv0, 0) <= 0 THEN 1.0 ELSE weight * 1e5 / adv0 END) AS max_usage FROM wts LEFT JOIN adv USING (code) GROUP BY date""",
+)
+def capacity_all_ok(t):
+    return Q.capacity_passes(Q.capacity_check(weights(t), Q.average_amount(t.week), 1e5), ["date"])
+
+
 @query(
     "capacity_check",
     {"date": "date", "code": "int", "position_value": 3, "usage_pct": 6, "acceptable": "bool"},

@@ -196,6 +196,17 @@ def contribution_importance(t):
     return M.contribution_importance(contributions(t))
 
 
+@query(
+    "features_for_share",
+    {"n_features": "int"},
+    with_ctes("sty", "label", extra=_CONTRIB) + """SELECT count(CASE WHEN share < 0.9 THEN 1 END) + 1 AS n_features FROM
+      (SELECT sum(mean_abs) OVER (ORDER BY mean_abs DESC, feature) / sum(mean_abs) OVER () AS share
+       FROM (SELECT feature, avg(abs(contribution)) AS mean_abs FROM cc GROUP BY feature) q) z""",
+)
+def features_for_share(t):
+    return M.features_for_share(M.contribution_importance(contributions(t)))
+
+
 @query(
     "explain_row",
     {"feature": "str", "value": 6, "contribution": 6},

@@ -21,13 +21,14 @@ COLUMN_ALIASES = {
     "pct_chg": "pct_chg", "涨跌幅": "pct_chg", "pctChange": "pct_chg", "change": "pct_chg",
     "preclose": "preclose", "前收盘": "preclose", "PreClose": "preclose",
     "amplitude": "amplitude", "振幅": "amplitude",
-    "code": "code", "代码": "code", "name": "name", "名称": "name",
+    "code": "code", "代码": "code", "股票代码": "code", "name": "name", "名称": "name", "股票名称": "name",
 }
 
+# Columns a panel must have, and those read as numbers.
 REQUIRED = ("date", "open", "high", "low", "close", "volume")
 NUMERIC = ("open", "high", "low", "close", "volume", "amount", "turnover_rate", "pct_chg", "preclose", "amplitude")
 
-# Columns a projection may name; anything else in a request is ignored.
+# Columns a projection may name; anything else in a request is ignored.
 SELECTABLE = (
     "date", "code", "open", "high", "low", "close", "volume", "amount", "pct_chg", "turnover_rate", "amplitude", "is_st",
     "is_suspended", "name",
@@ -70,8 +71,9 @@ def read_csv_panel(
     end: str | None = None,
     aliases: Mapping[str, str] = COLUMN_ALIASES,
     header: Sequence[str] | None = None,
+    code_folder: str | None = None,
 ) -> DataFrame:
-    """All per-entity CSV files under path as one panel; the code comes from the file name.
+    """All per-entity CSV files under path as one panel; the code comes from the file name, or from the folder code_folder=<code>.
 
     header gives the columns of the files when it is known, which skips the header scan. Files sharing a
     folder must share one header order.
@@ -80,9 +82,10 @@ def read_csv_panel(
     if header:
         reader = reader.schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
     raw = reader.csv(path)
-    columns = [F.col(f"`{c}`") for c in raw.columns if c.strip().lstrip("﻿") != "code"]
-    df = raw.select(*columns, code_from_file(F.col("_metadata.file_name")).alias("code"))
-    df = coerce_types(normalize_columns(df, aliases))
+    columns = [F.col(f"`{c}`") for c in raw.columns if c != code_folder and aliases.get(c.strip().lstrip("﻿")) != "code"]
+    # a folder's code may have been read as a number
+    code = F.lpad(F.col(code_folder).cast("string"), 6, "0") if code_folder else code_from_file(F.col("_metadata.file_name"))
+    df = coerce_types(normalize_columns(raw.select(*columns, code.alias("code")), aliases))
     missing = [c for c in REQUIRED if c not in df.columns]
     if missing:
         raise ValueError(f"missing required columns: {missing}")
