@@ -1,5 +1,5 @@
 """factorframe: panel and factor analytics as PySpark DataFrame operators."""
 
-from factorframe.session import build_session
+from factorframe.session import build_session, materialize
 
-__all__ = ["build_session"]
+__all__ = ["build_session", "materialize"]

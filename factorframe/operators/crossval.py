@@ -107,11 +107,15 @@ def min_train_guard(splits: DataFrame, min_days: int = MIN_TRAIN_DAYS) -> DataFr
 def cv_evaluate(pairs: DataFrame, splits: DataFrame, label_horizon: int, role: str = "test") -> DataFrame:
     """IC summary per fold on its test dates. pairs: (date, score, label), plus fold when each fold has its own scores.
 
-    splits has at most one row per fold and date, so it is the side that is broadcast.
+    Scores common to all folds are ranked once per date; only the date-sized IC meets the folds. splits has at most one row per
+    fold and date, so it is the side that is broadcast.
     """
     dates = F.broadcast(splits.where(F.col("role") == role).select("fold", "date"))
-    rows = pairs.join(dates, ["fold", "date"] if "fold" in pairs.columns else "date")
-    return icir_summary(rank_ic(rows, ["fold", "date"]), ["fold"], max_lags=label_horizon)
+    if "fold" in pairs.columns:
+        ic = rank_ic(pairs.join(dates, ["fold", "date"]), ["fold", "date"])
+    else:
+        ic = rank_ic(pairs, ["date"]).join(dates, "date")
+    return icir_summary(ic, ["fold"], max_lags=label_horizon)
 
 
 def fit_range_end(splits: DataFrame) -> DataFrame:

@@ -417,7 +417,7 @@ def fill_null(t):
     + "SELECT code, date, v - beta * s AS residual FROM d JOIN k USING (date)",
 )
 def neutralize(t):
-    rows = t.week.select(
+    rows = t.keep("week").week.select(
         "code", "date", (-R.pct_change("close", 4)).alias("score"), F.log("amount").alias("size")
     ).join(t.industry, "code")
     return N.neutralize(rows, "score", "industry", "size")

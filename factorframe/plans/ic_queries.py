@@ -11,6 +11,7 @@ from factorframe.operators.labels import forward_return, quantile_grades
 from factorframe.plans.registry import query
 from factorframe.plans.sql import ICIR_COLUMNS, sql_icir, sql_newey_west, sql_normal_cdf, sql_rank_ic
 from factorframe.plans.testbed import with_ctes
+from factorframe.session import materialize
 
 FACTORS = ("roc_5", "ma_5", "std_5", "vroc_5", "illiq", "klen", "kmid", "max_10", "min_10", "vma_10")
 
@@ -33,9 +34,9 @@ fl AS MATERIALIZED (
 
 
 def factor_frame(t):
-    """The ten factors and the label: two window passes over one exchange."""
+    """The ten factors and the label: two window passes over one exchange, written once for the branches that read them."""
     base = t.week.withColumn("ret", R.pct_change("close", 1))
-    return base.select(
+    return materialize(base.select(
         "code",
         "date",
         R.pct_change("close", 5).alias("roc_5"),
@@ -49,7 +50,7 @@ def factor_frame(t):
         (R.lowest("close", 10) / F.col("close") - 1).alias("min_10"),
         R.mean("volume", 10).alias("vma_10"),
         forward_return("close", 4).alias("label"),
-    )
+    ))
 
 
 @query("daily_rank_ic", {"date": "date", "ic": 8, "n": "int"}, with_ctes("ic") + "SELECT * FROM ic")

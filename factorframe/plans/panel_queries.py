@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from factorframe.functions import flags
@@ -15,16 +13,14 @@ from factorframe.operators.labels import parse_label_columns
 from factorframe.operators.resample import resample
 from factorframe.plans.registry import query
 from factorframe.plans.testbed import with_ctes
-from factorframe.session import ensure_checkpoint_dir
+from factorframe.session import fresh_folder
 from factorframe.sources import panel as SRC
 from factorframe.sources import writers as OUT
 
 BAR = {"code": "int", "date": "date", "open": 9, "high": 9, "low": 9, "close": 9, "volume": 4, "amount": 3}
 
 
-def scratch(spark) -> str:
-    """A fresh folder in the cluster's shared checkpoint area."""
-    return f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/factorframe-{uuid.uuid4().hex}"
+scratch = fresh_folder
 
 
 # ---- scans, sources, sinks -------------------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from factorframe.operators import risk as Q
 from factorframe.plans.panel_queries import _BOARD
 from factorframe.plans.registry import query
 from factorframe.plans.sql import sql_newey_west
+from factorframe.session import materialize
 from factorframe.plans.testbed import CTES, with_ctes
 
 # ---- selection -------------------------------------------------------------------------------------------------------
@@ -60,8 +61,9 @@ def targets(t, k: int = 10):
 
 
 def report(t):
+    t.keep("week")
     rows = P.portfolio_returns(targets(t), P.execution_view(t.week, t.names.select("code", "listed")), t.benchmark)
-    return rows.withColumns({"return": F.col("return") / 100, "bench": F.col("bench") / 100})
+    return materialize(rows.withColumns({"return": F.col("return") / 100, "bench": F.col("bench") / 100}))
 
 
 PICK = {"date": "date", "code": "int", "score": 7, "rank": "int", "strength": "str"}
@@ -459,9 +461,9 @@ fm AS MATERIALIZED (SELECT date, n, 'size' AS factor, (ay * bb - byy * ab) / (aa
 _TWO = ("size", "volatility")
 
 
-def factor_returns(t, factors=_TWO):
+def factor_returns(t, factors=_TWO, style_rows=None):
     forward_ret = t.week.select("code", "date", (R.ref("close", -1) / F.col("close") - 1).alias("ret"))
-    return Q.fama_macbeth(styles(t).join(forward_ret, ["code", "date"]), factors)
+    return Q.fama_macbeth((styles(t) if style_rows is None else style_rows).join(forward_ret, ["code", "date"]), factors)
 
 
 @query(
@@ -496,8 +498,10 @@ dec AS MATERIALIZED (SELECT r.date, "return" - bench AS total_excess, sum(CASE W
 
 
 def decomposition(t):
-    exposures = Q.style_exposure(weights(t), styles(t), _TWO).select("date", F.col("style").alias("factor"), F.col("active_exposure").alias("exposure"))
-    return Q.decompose_excess(report(t), exposures, factor_returns(t), _TWO)
+    """Report first, since it keeps the weekly panel; styles are kept for exposures and factor returns."""
+    rows, kept = report(t), materialize(styles(t))
+    exposures = Q.style_exposure(weights(t), kept, _TWO).select("date", F.col("style").alias("factor"), F.col("active_exposure").alias("exposure"))
+    return materialize(Q.decompose_excess(rows, exposures, factor_returns(t, _TWO, kept), _TWO))
 
 
 @query(

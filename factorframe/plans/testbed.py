@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 from factorframe.functions import rolling as R
 from factorframe.operators.labels import forward_return
 from factorframe.operators.resample import resample
+from factorframe.session import materialize
 from factorframe.sources.panel import trade_calendar
 
 
 class Tables:
-    """Lazy DataFrames over one data folder. Nothing runs until the caller acts on a result."""
+    """DataFrames over one data folder, lazy but for those that several branches of a plan read: these are written once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
 
+    def keep(self, *names: str) -> Tables:
+        """Write the named tables once, so that everything derived from them afterwards starts at the files."""
+        for name in names:
+            self.__dict__[name] = materialize(getattr(self, name))
+        return self
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -71,18 +78,18 @@ class Tables:
     @cached_property
     def scored(self) -> DataFrame:
         """score and label (4 rows ahead) of each code and date, where both exist. One window pass, no join."""
-        return self.week.select(
+        return materialize(self.week.select(
             "code", "date", (-R.pct_change("close", 4)).alias("score"), forward_return("close", 4).alias("label")
-        ).where(F.col("score").isNotNull() & F.col("label").isNotNull())
+        ).where(F.col("score").isNotNull() & F.col("label").isNotNull()))
 
     @cached_property
     def scored2(self) -> DataFrame:
-        return self.week.select(
+        return materialize(self.week.select(
             "code",
             "date",
             F.try_divide(R.mean("volume", 8), F.col("volume")).alias("score"),
             forward_return("close", 4).alias("label"),
-        ).where(F.col("score").isNotNull() & F.col("label").isNotNull())
+        ).where(F.col("score").isNotNull() & F.col("label").isNotNull()))
 
     @cached_property
     def benchmark(self) -> DataFrame:

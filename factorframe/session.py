@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Only settings the operators rely on. Shuffle width, memory and executor counts belong to the cluster.
 DEFAULT_CONF = {
@@ -37,3 +38,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="factorframe-ckpt-"))
     return configured or context.getCheckpointDir()
+
+
+def fresh_folder(spark: SparkSession) -> str:
+    """A new folder name in the shared checkpoint area."""
+    return f"{ensure_checkpoint_dir(spark).removeprefix('file:').rstrip('/')}/factorframe-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder once and go on from the files, for what several branches of a plan read.
+
+    The files outlive lost executors and carry true sizes, by which Spark chooses broadcasts.
+    """
+    folder = fresh_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
