@@ -148,26 +148,25 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
 
 
 def identified(docs: DataFrame, model: Languages | None) -> DataFrame:
-    """docs with lang_pred and score."""
-    inner = docs.select(F.struct(*docs.columns).alias("row_"), F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("text"))
+    """docs with lang_pred and score. Only the texts go to Python."""
     model = docs.sparkSession.sparkContext.broadcast(model)
-    fields = docs.schema
 
-    def run(batches):
-        for batch in batches:
-            for part in spans.slices(batch):
-                missing = part.column("text").is_null().to_numpy(zero_copy_only=False)
-                names, score = ["und"] * len(missing), np.zeros(len(missing))
-                if model.value is not None:
-                    names, score = model.value.predict(features(part.column("text")))
-                    names = ["und" if m else n for m, n in zip(missing, names)]
-                    score[missing] = 0
-                yield pa.RecordBatch.from_arrays([part.column("row_"), pa.array(names, pa.string()), pa.array(score)], names=["row_", "lang_pred", "score"])
-    from pyspark.sql import types as T
+    @F.arrow_udf("lang_pred string, score double")
+    def told(texts: pa.Array) -> pa.Array:
+        names, scores = [], []
+        for part in spans.slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
+            missing = part.column("text").is_null().to_numpy(zero_copy_only=False)
+            some, score = ["und"] * len(missing), np.zeros(len(missing))
+            if model.value is not None:
+                some, score = model.value.predict(features(part.column("text")))
+                score[missing] = 0
+            names += ["und" if m else n for m, n in zip(missing, some)]
+            scores.append(score)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], names=["lang_pred", "score"])
 
-    out = T.StructType([T.StructField("row_", fields), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    done = inner.mapInArrow(run, out)
-    return done.select(*[F.col("row_")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")], "lang_pred", "score")
+    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
+    return docs.select(*others, told(lettered).alias("told_")).select(*others, "told_.lang_pred", "told_.score")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
@@ -178,5 +177,6 @@ def language_report(docs: DataFrame) -> DataFrame:
 
 def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
     """The rows of docs in a language told with at least that score, columns unchanged."""
-    kept = identified(docs.select(F.struct(*docs.columns).alias("doc_"), "doc_id", "text"), fit(docs))
-    return kept.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*[F.col("doc_")[c].alias(c) for c in docs.columns])
+    named = docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    kept = identified(named, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return kept.select(*[F.col(f"own_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorframe.llm import spans
-from factorframe.llm.shared import SPACES, stage
+from factorframe.llm.shared import SPACES, release, stage
 from factorframe.llm.similarity import small_side
 
 MIN_WORDS = 5
@@ -97,7 +97,9 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     The spans of a document are at most its own units, so they fit wherever its text does.
     """
-    removed = stage(repeats(docs, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts_")))
+    found = repeats(docs, min_words)
+    removed = stage(found.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("cuts_")))
+    release(found)
     schema = docs.schema
 
     def run(batches):

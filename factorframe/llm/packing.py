@@ -29,8 +29,8 @@ from factorframe.llm.shared import stage, text_or_empty
 
 WINDOW = 2048
 END = 1
-CACHE_TOKENS = 1_500_000  # about 60 MB in a worker
-BATCH_BYTES = 1 << 21
+CACHE_TOKENS = 800_000  # about 30 MB in a worker
+CUT_ROWS = 1000
 LETTER, NUMBER, BLANK, OTHER = range(4)
 BEYOND = re.compile("[\U00010000-\U0010ffff]")
 _workers: dict[str, "PieceTokenizer"] = {}
@@ -152,7 +152,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         part, place = TaskContext.get().partitionId(), 0
         tokenizer = worker_tokenizer(path)
         for batch in batches:
-            for piece in spans.slices(batch, limit=BATCH_BYTES):
+            for piece in spans.slices(batch):
                 ids = [np.append(x, end) for x in tokenizer.encode(piece.column("text").to_pylist())]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 places = place + np.cumsum(sizes) - sizes
@@ -168,7 +168,7 @@ def tokenised(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 def cut(placed: DataFrame, window: int) -> DataFrame:
     """placed (doc_id, ids, tokens, at) -> pieces at fixed windows, with their ids."""
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(a, CUT_ROWS) for b in batches for a in range(0, b.num_rows, CUT_ROWS)):
             out = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
             for doc, blob, tokens, at in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "tokens", "at"))):
                 ids = np.frombuffer(blob, "<u2" if len(blob) == 2 * tokens else "<u4").astype("<u4")

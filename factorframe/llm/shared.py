@@ -29,10 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and continue from the files, which outlive lost executors."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*frames: DataFrame) -> None:
+    """Remove the tables of `stage` that these frames read. Only for frames whose results are themselves staged by now."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("llm-"):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -56,6 +66,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
         near = both.join(old.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("m"))
         hooked = old.join(near, "id").select("id", F.col("label").alias("before"), F.least("label", "m").alias("label"))
         roots = hooked.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        labels = stage(hooked.join(roots, "label").select(
+        after = stage(hooked.join(roots, "label").select(
             "id", F.col("root").alias("label"), (F.col("root") < F.col("before")).alias("moved")))
+        release(labels)
+        labels = after
+    release(both)
     return labels.select("id", "label")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorframe.llm import spans
-from factorframe.llm.shared import connected_components, stage
+from factorframe.llm.shared import connected_components, release, stage
 
 TREES, DEPTH, POOL = 16, 5, 96
 LIMIT = 2_000_000  # shingles of one task's block (16 MB)
@@ -247,6 +247,7 @@ def components(docs: DataFrame, k: int = 3, percent: int = 85, limit: int = LIMI
     # v is the smallest id of u's component; classes of one row and no link need no lookup
     named = stage(classes.join(links.withColumnRenamed("u", "rep"), "rep", "left").where("copies > 1 OR v IS NOT NULL")
                   .select("digest", F.least("rep", "v").alias("component")))
+    release(classes, blocks, members, sets, weights, links)
     out = signed.select("doc_id", "n_shingles", "digest").join(small_side(named), "digest", "left")
     own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"),
@@ -255,5 +256,7 @@ def components(docs: DataFrame, k: int = 3, percent: int = 85, limit: int = LIMI
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose doc_id stands for its group, all columns."""
-    gone = stage(components(docs, k, percent).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    found = components(docs, k, percent)
+    gone = stage(found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    release(found)
     return docs.join(small_side(gone, 24), "doc_id", "left_anti").select(*docs.columns)
