@@ -73,7 +73,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = seen.groupBy("high", "low").agg(
         F.min(F.struct(F.coalesce("doc_id", low).alias("rank"), F.col("begin"), F.col("doc_id"))).alias("first"), F.count("*").alias("n")).where("n > 1")
     shared = stage(first.select("high", "low", "first.rank", F.col("first.begin").alias("keep_begin"), F.col("first.doc_id").alias("keep_doc_id")))
-    again = seen.join(small_side(shared, 64), ["high", "low"]).where(
+    # repeated digests grow with the corpus, so both sides are dealt by digest at every size
+    again = seen.join(shared, ["high", "low"]).where(
         ~((F.coalesce("doc_id", low) == F.col("rank")) & (F.col("begin") == F.col("keep_begin"))))
     return again.select("doc_id", "begin", "end", "words", "keep_doc_id", "keep_begin")
 
