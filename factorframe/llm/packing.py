@@ -14,6 +14,7 @@ rows; a text of any length is cut into as many pieces as needed; other columns a
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -60,6 +61,7 @@ class PieceTokenizer:
     """Token ids of many texts, by one call of the tokenizer per distinct pre-token."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads only cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send 1000 whole texts to Python at once instead of 10 000, unless its user chose another number."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and continue from the files, which outlive lost executors."""
     path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
