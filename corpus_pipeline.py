@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorframe.llm import language, lines, mixing, packing, similarity
-from factorframe.llm.shared import stage
+from factorframe.llm.shared import small_batches, stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that the model is at all sure of, go."""
+    small_batches(spark)
     return language.keep_known(docs)
 
 
