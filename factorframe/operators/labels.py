@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorframe.functions import rolling as R
-from factorframe.operators.ordering import date_sized, group_median, group_quantiles
+from factorframe.operators.ordering import date_sized, group_median, group_quantiles, match
 
 # Label kinds and the horizon used when a name does not parse.
 LABEL_PATTERN = r"^(ret|xs_ret|alpha|up_down)_(\d+)d$"
@@ -90,7 +90,7 @@ def quantile_grades(
     edges = group_quantiles(df, keys, value, names).select(
         *keys, F.array_sort(F.array_distinct(F.array(*names))).alias("_edges"), "n_values"
     )
-    joined = df.join(edges, keys, "left") if keys else df.crossJoin(F.broadcast(edges))
+    joined = match(df, edges, keys) if keys else df.crossJoin(F.broadcast(edges))
     inner = F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0)))
     grade = F.size(F.filter(inner, lambda edge: edge < F.col(value)))
     if small_group is not None:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from factorframe.functions import flags
-from factorframe.functions import rolling as R
 from factorframe.operators import aggregates as A
 from factorframe.operators import filters as FL
 from factorframe.operators import joins as J

@@ -9,7 +9,7 @@ from factorframe.operators import experiments as E
 from factorframe.operators import modelling as M
 from factorframe.operators.ic import icir_summary, daily_rank_ic
 from factorframe.operators.labels import forward_return
-from factorframe.plans.ic_queries import ADJUSTED, FACTOR_CTE, FACTORS, _BH, _FAMILY, factor_frame, test_family
+from factorframe.plans.ic_queries import ADJUSTED, _BH, _FAMILY, factor_frame, test_family
 from factorframe.plans.monitor_queries import _RAW, faulty_bars
 from factorframe.plans.panel_queries import BAR, scratch
 from factorframe.plans.portfolio_queries import styles, targets
