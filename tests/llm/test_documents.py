@@ -245,6 +245,43 @@ def test_score(docs, rows):
     assert sum(g.score for g in held) > 1.05 * sum(g.base_score for g in held)
 
 
+def test_spelling_keeps_every_gram(spark, docs):
+    """Word scores from ranges are those of one trie over all n-grams, with no bound on their number and none broadcast."""
+    from factorframe.llm import trie
+
+    assert not hasattr(scoring, "MODEL_GRAMS")
+    r = np.random.default_rng(3)
+    spelled = sorted({bytes(r.integers(97, 110, r.integers(1, 12)).astype(np.uint8)) for _ in range(900)})
+    data = np.frombuffer(b" ".join(spelled) + b" ", np.uint8)
+    end = np.flatnonzero(data == 32)
+    start = np.concatenate([[0], end[:-1] + 1])
+    keys, n = trie.ngrams(data, start, end, np.ones(len(start)), 6)
+    grams = spark.createDataFrame([(int(k), int(c)) for k, c in zip(keys.view(np.int64), n)], "gram long, n long")
+    tables = trie.short_tables(keys[(keys & np.uint64(7)) < 3], n[(keys & np.uint64(7)) < 3])
+    got = scoring.window_scores(grams, tables[1], 6, 5).toPandas().sort_values("gram")
+    whole = got["gram"].to_numpy().view(np.uint64)
+    by = np.argsort(whole)
+    mine = scoring.spellings(data, start, end, 6, tables, whole[by], got["value"].to_numpy()[by])
+    # brute force, interpolated from the uniform distribution up
+    count = collections.Counter()
+    for w in spelled:
+        text = b" " + w + b" "
+        count.update(text[i:i + k] for k in range(1, 7) for i in range(len(text) - k + 1) if (i, k) != (0, 1))
+    after = collections.defaultdict(list)
+    for g, c in count.items():
+        after[g[:-1]].append(c)
+
+    def chance(g):
+        if not g:
+            return 1 / 256
+        seen = after[g[:-1]]
+        return (count[g] + len(seen) * chance(g[1:])) / (sum(seen) + len(seen))
+    want = [sum(np.log10(chance((b" " + w + b" ")[max(0, i - 5): i + 1])) for i in range(1, len(w) + 2)) for w in spelled]
+    assert np.abs(mine - want).max() < 1e-9
+    # a trie holds the same values, rounded to a byte
+    assert np.abs(trie.WordModel(trie.build(keys, n, 6)).score(data, start, end) - want).max() < 0.5
+
+
 @pytest.mark.parametrize("window", [2048, 50])
 def test_pack(docs, rows, window):
     got = packing.pack(docs, window=window).collect()
