@@ -282,6 +282,42 @@ def test_spelling_keeps_every_gram(spark, docs):
     assert np.abs(trie.WordModel(trie.build(keys, n, 6)).score(data, start, end) - want).max() < 0.5
 
 
+def test_score_reads_preceding_words(docs, rows, spark):
+    """Every document's score from counts of words and of pairs of neighbours, by brute force, spelling by single bytes."""
+    train = [["", *words(t), ""] for d, t, _, _ in rows if zlib.crc32(("" if d is None else str(d)).encode()) % 5 != 1]
+    one = collections.Counter(w for t in train for w in t[1:])
+    two = collections.Counter(p for t in train for p in zip(t, t[1:]))
+    vocabulary, tokens = [w for w in one if w], sum(one[w] for w in one if w)
+    letters = collections.Counter(b for w in vocabulary for b in w.encode() + b" ")
+    bottom = sum(letters.values()) + len(letters)
+    spelled = {w: np.prod([(letters[b] + len(letters) / 256) / bottom for b in w.encode() + b" "]) for w in vocabulary}
+    once, twice = (sum(one[w] == k for w in vocabulary) for k in (1, 2))
+    discount = (once + 0.5) / (once + 2 * twice + 1)
+    free, stop = discount * len(vocabulary) / tokens, (len(train) + 0.5) / (tokens + len(train) + 1)
+
+    def alone(w):
+        if not w:
+            return stop
+        return (1 - stop) * (max(one[w] - discount, 0) / tokens + free * spelled[w] if one[w] else free * (1 - sum(spelled.values())))
+
+    def log_score(text):
+        t, mass = ["", *words(text), ""], scoring.CONTEXT_MASS
+        return sum(np.log10((two[v, w] + mass * alone(w)) / (one[v] + mass)) for v, w in zip(t, t[1:]))
+    want = sorted((d if d is not None else -1, round(log_score(t), 3)) for d, t, _, _ in rows)
+    got = sorted((g.doc_id if g.doc_id is not None else -1, round(g.score, 3)) for g in scoring.score(docs, order=1).collect())
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 0.002 + 1e-6 * abs(b[1]) for a, b in zip(got, want)) and len(got) == len(want)
+    # the probabilities after any word sum to one
+    for v in ["", *vocabulary[:5]]:
+        known = sum((two[v, w] + scoring.CONTEXT_MASS * alone(w)) / (one[v] + scoring.CONTEXT_MASS) for w in one)
+        assert abs(known + scoring.CONTEXT_MASS * alone("never seen") / (one[v] + scoring.CONTEXT_MASS) - 1) < 1e-9
+    # the same words in another order, both held out
+    texts = ["to be or not to be that is the question"] * 30
+    held = [i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    table = [(i, t, "a", "s") for i, t in enumerate(texts)] + [(held[0], texts[0], "a", "s"), (held[1], " ".join(texts[0].split()[::-1]), "a", "s")]
+    score = {g.doc_id: g.score for g in scoring.score(documents(spark, table)).collect()}
+    assert score[held[0]] > score[held[1]] + 0.5
+
+
 @pytest.mark.parametrize("window", [2048, 50])
 def test_pack(docs, rows, window):
     got = packing.pack(docs, window=window).collect()
