@@ -1,10 +1,13 @@
 """Substring dedup by hashing lines and the sentences inside them.
 
-A unit is a line, or a sentence of a line (up to . ! or ? before white space), of at least MIN_WORDS words. Units are normalised
+A unit is a line, a sentence of a line (up to . ! or ? before white space), or a piece of a line between two cuts that its words
+choose: a cut stands before a word whose hash with the next word is the least of REACH words on each side, so that equal passages are
+cut alike wherever their sentences begin. Units have at least MIN_WORDS words, pieces between cuts more than REACH. Units are normalised
 (A-Z in lower case, white space as one space) and hashed to 128 bits. Digests are grouped over the whole corpus with a partial
 aggregate that keeps the earliest occurrence, by (doc_id, place), so a line that stands in every document costs one row per
 task. Only digests seen twice join back to their occurrences; all but the earliest are removed, with their offsets in the
-original text kept. Sentences catch repeated passages whose ends fall inside lines.
+original text kept. Sentences and pieces catch repeated passages whose ends fall inside lines; what lies between an end of a passage
+and its nearest cut stays.
 
 Defined cases: null or empty text has no units and stays as it is; units repeated in one document keep their first place; rows
 that share a doc_id are one document for the order, so of their equal units at equal places all stay; an empty table gives
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import re
 from hashlib import blake2b
+from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,14 +29,32 @@ from factorframe.llm.shared import SPACES, release, stage
 from factorframe.llm.similarity import small_side
 
 MIN_WORDS = 5
+REACH = 7
 LINE = re.compile(r"[^\n]+")
 STOP = re.compile(r"[.!?](?=[\x20\x09-\x0D]|$)")
+WORD_AT = re.compile(r"[^\x20\x09-\x0D]+")
 GAP = re.compile(r"[\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 
 
+def pieces(line: str) -> list[tuple[int, int]]:
+    """Begin and end of the pieces between neighbouring cuts of a line."""
+    if line.count(" ") < 2 * REACH and len(WORD_AT.findall(line)) <= 2 * REACH:
+        return []
+    lowered = line.translate(LOWER)
+    spans_ = [m.span() for m in WORD_AT.finditer(lowered)]
+    raw = [crc32(lowered[a:b].encode()) for a, b in spans_]
+    mark = [(x * 0x9E3779B1 ^ y * 0x85EBCA77) * 0xC2B2AE35 >> 7 & 0xFFFFFFFF for x, y in zip(raw, raw[1:])]
+    cuts = []
+    for i in range(REACH, len(mark) - REACH):
+        x = mark[i]
+        if x < mark[i - 1] and x <= mark[i + 1] and x < min(mark[i - REACH: i]) and x <= min(mark[i + 1: i + REACH + 1]):
+            cuts.append(i)
+    return [(spans_[i][0], spans_[j - 1][1]) for i, j in zip(cuts, cuts[1:])]
+
+
 def units(text: str, min_words: int = MIN_WORDS):
-    """(begin, end, words, digest) of each unit, in code points; lines and their sentences."""
+    """(begin, end, words, digest) of each unit, in code points; lines, their sentences and pieces."""
     for line in LINE.finditer(text):
         whole, base = line[0], line.start()
         found = [(base, line.end())]
@@ -44,6 +66,8 @@ def units(text: str, min_words: int = MIN_WORDS):
                 if b > a:
                     found.append((base + a, base + b))
                 a = b
+        known = set(found)
+        found += [(base + a, base + b) for a, b in pieces(whole) if (base + a, base + b) not in known]
         for a, b in found:
             words = GAP.sub(" ", text[a:b]).strip(" ")
             n = words.count(" ") + 1 if words else 0

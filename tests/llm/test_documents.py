@@ -125,6 +125,18 @@ def test_passage_inside_lines(spark):
     assert sum(r.words for r in found) >= 48
 
 
+def test_passage_without_sentences(spark):
+    """A passage that begins and ends inside sentences, without a sentence of its own."""
+    passage = prose(70, 200, 9000)
+    table = documents(spark, [(1, f"{prose(71, 33, 9000)} {passage} {prose(72, 21, 9000)}.", "a", "s"),
+                              (2, f"{prose(73, 18, 9000)}. {prose(74, 9, 9000)} {passage} {prose(75, 40, 9000)}", "a", "s")])
+    found = lines.repeats(table).collect()
+    assert {(r.doc_id, r.keep_doc_id) for r in found} == {(2, 1)}
+    text = {r.doc_id: r.text for r in lines.without_repeats(table).collect()}
+    assert len(words(text[2])) < 67 + 70 and text[1].count(passage) == 1
+    assert all(w in words(text[2]) for w in words(f"{prose(74, 9, 9000)} {prose(75, 40, 9000)}"))
+
+
 def test_shard(docs, rows):
     got = sharding.shard(docs, shards=6).collect()
     assert len(got) == len(rows)
