@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorframe.llm import chat, language, lines, mixing, packing, quality, scoring, sharding, similarity, vectors
+from factorframe.llm import (
+    chat, collocations, decontaminate, language, lines, mixing, packing, quality, scoring, sharding, similarity, spelling, vectors,
+)
 from factorframe.llm.shared import small_batches
 
 
@@ -54,6 +56,19 @@ def op10_pack(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op11_phrases(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_leaks(spark, sf_dir):
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lines, op4_shard, op5_chat, op6_similar, op7_language, op8_score,
-                                   op9_vectors, op10_pack)}
-SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL, "op5_chat": chat.SQL}
+                                   op9_vectors, op10_pack, op11_phrases, op12_leaks, op13_spelling)}
+SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL, "op5_chat": chat.SQL, "op11_phrases": collocations.SQL,
+       "op12_leaks": decontaminate.SQL}

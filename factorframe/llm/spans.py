@@ -105,3 +105,26 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of the maximal runs of true bytes; a run never crosses the border of two texts."""
+    full = offsets[1:] > offsets[:-1]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    heads = offsets[:-1][full]
+    opens[heads] = inside[heads]
+    closes = inside.copy()
+    closes[:-1] &= ~inside[1:]
+    tails = offsets[1:][full] - 1
+    closes[tails] = inside[tails]
+    start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return start, end, text
+
+
+def strings(data: np.ndarray, inside: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStringArray:
+    """The runs as an Arrow column; the runs must be all of inside, which starts and ends at whole characters."""
+    ends = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=ends[1:])
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(data[inside]))
