@@ -245,15 +245,15 @@ def variants(docs: DataFrame, letters: int = LETTERS, times: int = TIMES, ratio:
 # The hash is the table-driven crc32 of 0xEDB88320; near words meet in a string with one letter left out or open.
 SQL = r"""
 WITH RECURSIVE steps AS (
-  SELECT list_transform(range(256), x -> list_reduce([x::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
-    (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  SELECT list_transform(range(256), lambda x: list_reduce([x::BIGINT, 1, 1, 1, 1, 1, 1, 1, 1],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
 runs AS (
   SELECT coalesce(doc_id::VARCHAR, '') AS d, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n
   FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
 bytes AS (SELECT w, n, hex(encode(d || ':' || w)) AS x FROM runs WHERE length(w) >= 5),
 hashed AS (
-  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), i -> ('0x' || substr(x, i, 2))::BIGINT)),
-    (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, steps),
+  SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, steps),
 words AS (
   SELECT w, sum(n)::BIGINT AS n
   FROM (SELECT CASE WHEN h % 97 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, n FROM hashed)
