@@ -2,8 +2,8 @@
 
 1. One pass over the texts cuts each task's documents into blocks of some MB per language. A block is staged as its distinct words
    with their counts and its texts as numbers of those words, so later steps read no text.
-2. Words are counted per language. Only words with `least` occurrences can stand in a candidate; they are put in order
-   (language, word) by ranges and numbered in that order, so the order of the numbers is the order of the words.
+2. Words are counted per language. Only words with `least` occurrences can stand in a candidate; they are numbered where they are
+   counted, and all orders below go by these numbers.
 3. Blocks get the numbers of their words back and send their distinct phrases of such words with counts; a sum gives each phrase's
    count. Phrases below `least` are no candidates and no parts of one, since a part is at least as frequent as the whole.
 4. Words, pairs and triples are laid out as one stream twice, in prefix order (first word first, a part just before its
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorframe.llm import spans
-from factorframe.llm.shared import release, stage
+from factorframe.llm.shared import stage
 
 LEAST, HALF, TOP = 10, 50, 2000
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 SALTS = 64
 _BREAK = np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
@@ -85,15 +85,19 @@ def blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
 
 def numbered_words(cut: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(id, lang, word, f) of the words with least occurrences, ids in the order of (lang, word); (block, places, ids)."""
+    """(id, lang, word, f) of the words with least occurrences; (block, known: places of such words in the block, and their ids).
+
+    The words of all blocks are dealt once, by (lang, word). There each word gets its count, and the number of its first row as its id.
+    """
     each = cut.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
-        "block", "lang", "place", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    frequent = stage(each.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-    ids = stage(frequent.repartitionByRange("lang", "word").sortWithinPartitions("lang", "word").select(
-        (F.monotonically_increasing_id() + 1).alias("id"), "lang", "word", "f"))
-    release(frequent)
-    back = each.select("block", "lang", "place", "word").join(ids.select("lang", "word", "id"), ["lang", "word"])
-    return ids, back.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known"))
+        "lang", F.col("w.words").alias("word"), "block", "place", F.col("w.counts").alias("n"))
+    same = Window.partitionBy("lang", "word")
+    met = each.repartition("lang", "word").withColumn("at", F.monotonically_increasing_id() + 1).select(
+        "lang", "word", "block", "place", "at", F.min("at").over(same).alias("id"), F.sum("n").over(same).alias("f")).where(F.col("f") >= least)
+    spelled = F.when(F.col("at") == F.col("id"), F.struct("lang", "word", "f"))
+    placed = stage(met.select("block", "place", "id", spelled.alias("w")))
+    return (placed.where("w IS NOT NULL").select("id", "w.*"),
+            placed.groupBy("block").agg(F.collect_list(F.struct("place", "id")).alias("known")))
 
 
 def counted(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
