@@ -179,13 +179,39 @@ def _joined_moments(df: DataFrame, n: int, near: int, far: int, moments: dict[st
 EXTREMES = {"_hi": F.greatest, "_lo": F.least}
 
 
-def _with_windows(df: DataFrame, windows: Sequence[int], moments: dict[str, int], pairs) -> DataFrame:
-    """Moments and extremes of every window, longer ones built from shorter ones where two of them add up."""
-    rows, done = R.ordered(), []
+DIRECT = 8  # windows up to this length may look at rows
+
+
+def window_steps(windows: Sequence[int]) -> list[tuple[int, int, int]]:
+    """(n, near, far) in the order of building, far 0 for windows built from rows.
+
+    A window is the sum of two earlier ones where possible; otherwise of the longest earlier one of at least its half, or its half, and the
+    rest, which are built first. So any length takes a logarithmic number of steps.
+    """
+    steps: list[tuple[int, int, int]] = []
+    done: list[int] = []
+
+    def build(n: int) -> None:
+        if n in done:
+            return
+        near = next((d for d in sorted(done, reverse=True) if n - d in done), None)
+        if near is None and n > DIRECT:
+            near = next((d for d in sorted(done, reverse=True) if n // 2 <= d < n), n - n // 2)
+            build(near)
+            build(n - near)
+        steps.append((n, near, n - near) if near is not None else (n, n, 0))
+        done.append(n)
+
     for n in sorted(windows):
-        split = next(((near, n - near) for near in reversed(done) if n - near in done), None)
-        if split:
-            near, far = split
+        build(n)
+    return steps
+
+
+def _with_windows(df: DataFrame, windows: Sequence[int], moments: dict[str, int], pairs) -> DataFrame:
+    """Moments and extremes of every window, and of those that longer ones are built from."""
+    rows = R.ordered()
+    for n, near, far in window_steps(windows):
+        if far:
             past = {name: F.lag(f"{name}_{far}", near).over(rows) for name in EXTREMES}
             df = df.withColumns({f"{name}_{n}": F.when(past[name].isNotNull(), join(F.col(f"{name}_{near}"), past[name]))
                                  for name, join in EXTREMES.items()})
@@ -193,7 +219,6 @@ def _with_windows(df: DataFrame, windows: Sequence[int], moments: dict[str, int]
         else:
             df = df.withColumns({f"_hi_{n}": F.max("close").over(R.trailing(n)), f"_lo_{n}": F.min("close").over(R.trailing(n))})
             df = _first_moments(df, n, moments, pairs)
-        done.append(n)
     return df
 
 
@@ -232,8 +257,9 @@ def _window_factors(n: int, with_beta: bool) -> dict[str, Column]:
 def features(panel: DataFrame, windows: Sequence[int] = SHORT_WINDOWS, with_beta: bool = True) -> DataFrame:
     """code, date and one column per factor and window; a factor is null unless its window holds all its inputs.
 
-    A sliding frame visits each of its rows for every aggregate, so the set shares one group of central moments, and only the
-    shortest window looks at rows: 10 = 5 + 5, 20 = 10 + 10, 30 = 20 + 10 and so on, each from a lagged shorter one.
+    A sliding frame visits each of its rows for every aggregate, so the set shares one group of central moments, and only windows of
+    at most DIRECT rows look at rows: 10 = 5 + 5, 20 = 10 + 10, 30 = 20 + 10 and so on, each from a lagged shorter one. Any other length
+    is built from halves.
     """
     base = with_returns(panel)
     moments, pairs = dict(MOMENTS), PAIRS

@@ -82,15 +82,11 @@ slope = _paired(F.regr_slope)  # slope(y, x, n): dependent value first
 
 
 def quantile(x, n: int, p: float, min_periods: int | None = None, by: str = ENTITY, order: str = TIME) -> Column:
+    """For short windows; operators.order_windows walks long and growing ones."""
     x, w = _col(x), trailing(n, by, order)
     return _guard(F.percentile(x, F.lit(p)).over(w), x, n, w, min_periods)
 
 
-def expanding_median(x, min_periods: int, by: str = ENTITY, order: str = TIME) -> Column:
-    x, w = _col(x), so_far(by, order)
-    return _guard(F.percentile(x, F.lit(0.5)).over(w), x, min_periods, w, None)
-
-
 def pct_change(x, n: int = 1, by: str = ENTITY, order: str = TIME) -> Column:
     x = _col(x)
     return F.try_divide(x, ref(x, n, by, order)) - 1

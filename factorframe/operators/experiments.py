@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +67,20 @@ def compare_variants(df: DataFrame, variants: Sequence[str], label: str = "label
     return table.withColumn("winner", F.col("variant") == best)
 
 
+def compare_experiments(df: DataFrame, experiments: Mapping[str, Sequence[str]], label: str = "label", max_lags: int | None = None) -> DataFrame:
+    """One table of several experiments, each a set of variants (score columns): experiment, the IC summary of each variant, and its winner.
+
+    A variant that several experiments share is ranked once. The winner has the largest ICIR of its experiment; ties go to the first name.
+    """
+    variants = sorted({v for group in experiments.values() for v in group})
+    long = unpivot_features(df.where(F.col(label).isNotNull()), variants, ["date", label])
+    table = icir_summary(rank_ic(long, ["feature", "date"], "value", label), ["feature"], max_lags).withColumnRenamed("feature", "variant")
+    members = [(e, v) for e, group in experiments.items() for v in group]
+    both = table.join(F.broadcast(df.sparkSession.createDataFrame(members, "experiment string, variant string")), "variant")  # a row per member
+    place = F.row_number().over(Window.partitionBy("experiment").orderBy(F.desc_nulls_last("icir"), "variant"))
+    return both.withColumn("winner", place == 1).select("experiment", *table.columns, "winner")
+
+
 def param_sweep(rows: DataFrame, parameter: str, values: Sequence, metric: Column, name: str = "metric") -> DataFrame:
     """Metric per parameter value and the best value. rows carries the parameter as a column."""
     grid = rows.where(F.col(parameter).isin(list(values))).groupBy(parameter).agg(metric.alias(name))
@@ -83,3 +97,29 @@ def sweep_top_k(scores: DataFrame, returns: DataFrame, ks: Sequence[int]) -> Dat
     return param_sweep(daily, "k", ks, F.avg("ret"), "mean_return")
 
 
+
+
+def sweep_windows(panel: DataFrame, column: str, windows: Sequence[int], label: Column, max_lags: int | None = None) -> DataFrame:
+    """IC summary of the deviation from the trailing mean, -(x / mean of n rows - 1), for each window length n, the best ICIR marked.
+
+    All means come from one running sum per code: the sum up to a row less the sum n rows before. Sums are of distances from the
+    code's own level, so long series keep their digits. One exchange serves every window.
+    """
+    ordered = Window.partitionBy("code").orderBy("date")
+    whole = Window.partitionBy("code")
+    x = F.col(column)
+    centred = panel.select("code", "date", x.alias("_x"), label.alias("label"), F.avg(x).over(whole).alias("_level"))
+    upto = centred.select(
+        "*", F.sum(F.col("_x") - F.col("_level")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"),
+        F.count("_x").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_count"))
+
+    def score(n: int) -> Column:
+        before, known = F.lag("_sum", n, 0.0).over(ordered), F.col("_count") - F.lag("_count", n, 0).over(ordered)
+        mean = (F.col("_sum") - F.coalesce(before, F.lit(0.0))) / n + F.col("_level")
+        return F.when(known == n, -(F.col("_x") / mean - 1))
+
+    wide = upto.select("date", "label", *[score(n).alias(str(n)) for n in windows]).where(F.col("label").isNotNull())
+    long = wide.unpivot(["date", "label"], [F.col(f"`{n}`") for n in windows], "_length", "score").withColumn("length", F.col("_length").cast("int"))
+    table = icir_summary(rank_ic(long, ["length", "date"]), ["length"], max_lags)
+    best = F.max_by("length", "icir").over(Window.partitionBy(F.lit(0)))  # one row per window
+    return table.withColumn("best", F.col("length") == best)

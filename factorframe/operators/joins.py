@@ -48,7 +48,8 @@ def interval_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Two intervals overlap when one starts inside the other. An interval is split into at most two aligned blocks of days per
     power of two; a start lies in exactly one block per power, so an equality join on blocks forms each overlapping pair once
-    and no other pair, however busy a time is.
+    and no other pair, however busy a time is. Starts are sent only to the powers that the other side's intervals have, so a block that
+    spans the calendar exists only if some interval does.
     """
     def named(df: DataFrame, side: str) -> DataFrame:
         rows = df.select(F.col("id").alias(f"{side}_id"), F.unix_date("start_date").alias(f"{side}_s"), F.unix_date("end_date").alias(f"{side}_e"))
@@ -68,14 +69,14 @@ def interval_overlap(left: DataFrame, right: DataFrame) -> DataFrame:
                 parts.append(F.when(whole & top, F.struct(F.lit(level).alias("level"), block.cast("long").alias("block"))))
         return rows.withColumn("_at", F.explode(F.array_distinct(F.array_compact(F.array(*parts))))).select("*", "_at.*").drop("_at")
 
-    def starts(rows: DataFrame, side: str) -> DataFrame:
-        s = F.col(f"{side}_s")
-        at = [F.struct(F.lit(level).alias("level"), F.floor(s / (1 << level)).cast("long").alias("block")) for level in range(LEVELS)]
-        return rows.withColumn("_at", F.explode(F.array(*at))).select("*", "_at.*").drop("_at")
+    def starts(rows: DataFrame, side: str, tiles: DataFrame) -> DataFrame:
+        levels = F.broadcast(tiles.select("level").distinct())  # at most LEVELS rows
+        return rows.crossJoin(levels).withColumn("block", F.expr(f"CAST(shiftright({side}_s, level) AS BIGINT)"))
 
     a, b = named(left, "left"), named(right, "right")
-    inside_left = blocks(a, "left").join(starts(b, "right"), ["level", "block"])
-    inside_right = blocks(b, "right").join(starts(a, "left"), ["level", "block"]).where("left_s > right_s")
+    tiles_a, tiles_b = blocks(a, "left"), blocks(b, "right")
+    inside_left = tiles_a.join(starts(b, "right", tiles_a), ["level", "block"])
+    inside_right = tiles_b.join(starts(a, "left", tiles_b), ["level", "block"]).where("left_s > right_s")
     return inside_left.unionByName(inside_right).select(
         "left_id", "right_id", F.date_from_unix_date(F.greatest("left_s", "right_s")).alias("start_date"),
         F.date_from_unix_date(F.least("left_e", "right_e")).alias("end_date"))

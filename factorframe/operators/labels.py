@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorframe.functions import rolling as R
+from factorframe.operators.normalize import cs_zscore
 from factorframe.operators.ordering import date_sized, group_median, group_quantiles, match
 
 # Label kinds and the horizon used when a name does not parse.
@@ -66,12 +67,15 @@ def up_down(label: str = "label") -> Column:
     return F.when(F.col(label) > 0, 1).when(F.col(label).isNotNull(), 0)
 
 
-def make_label(panel: DataFrame, name: str, benchmark: DataFrame | None = None) -> DataFrame:
-    """Label column for names such as ret_20d, xs_ret_60d, alpha_20d, up_down_60d."""
+def make_label(panel: DataFrame, name: str, benchmark: DataFrame | None = None, zscore_first: bool = False) -> DataFrame:
+    """Label column for names such as ret_20d, xs_ret_60d, alpha_20d, up_down_60d.
+
+    zscore_first: an xs_ret label is standardised within each date before the median of the date goes, not left in units of return.
+    """
     kind, horizon = parse_label(name)
     base = label_returns(panel, horizon)
     if kind == "xs_ret":
-        return subtract_date_median(base, "label")
+        return subtract_date_median(cs_zscore(base, ["label"]) if zscore_first else base, "label")
     if kind == "alpha" and benchmark is not None:
         return subtract_benchmark(base, benchmark, horizon)
     if kind == "up_down":

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorframe.operators.ic import icir_summary, rank_ic
+from factorframe.session import materialize
 
 
 def cumulative_share(df: DataFrame, value: str, tie: str, by: Sequence[str] = ()) -> DataFrame:
@@ -57,10 +58,10 @@ def grid_search(
 ) -> DataFrame:
     """Mean and ratio of the validation rank IC per parameter set; test rows never take part.
 
-    Each entry holds kind and its parameters. Fits run one after the other, each distributed; the train rows are cached
-    once for all of them.
+    Each entry holds kind and its parameters. Fits run one after the other, each distributed, from rows written once; linear.ridge_search
+    judges linear models from one pass.
     """
-    train_rows, valid_rows = rows.where(train).cache(), rows.where(valid).cache()
+    train_rows, valid_rows = materialize(rows.where(train)), materialize(rows.where(valid))
     scored = None
     for i, entry in enumerate(grid):
         params = dict(entry)

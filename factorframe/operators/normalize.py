@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorframe.operators.ordering import date_sized, group_quantiles
+from factorframe.session import materialize
 
 # Fixed value: median absolute deviation to standard deviation under normality.
 MAD_SCALE = 1.4826
@@ -68,11 +69,14 @@ def neutralize(df: DataFrame, value: str, industry: str, size: str, date: str =
 
     Only rows with all three present take part; the output column is ``residual``.
     """
-    rows = df.where(F.col(value).isNotNull() & F.col(size).isNotNull() & F.col(industry).isNotNull())
-    means = rows.groupBy(date, industry).agg(F.avg(value).alias("_mv"), F.avg(size).alias("_ms"))
-    demeaned = rows.join(means, [date, industry]).withColumns(
-        {"_v": F.col(value) - F.col("_mv"), "_s": F.col(size) - F.col("_ms")}
-    )
-    slopes = demeaned.groupBy(date).agg(F.sum(F.col("_v") * F.col("_s")).alias("_vs"), F.sum(F.col("_s") * F.col("_s")).alias("_ss"))
-    beta = F.when(F.col("_ss") > 1e-12, F.col("_vs") / F.col("_ss")).otherwise(0.0)
-    return demeaned.join(date_sized(slopes), date).select(*df.columns, (F.col("_v") - beta * F.col("_s")).alias("residual"))
+    present = F.col(value).isNotNull() & F.col(size).isNotNull() & F.col(industry).isNotNull()
+    n = F.count(F.lit(1))
+    # centred sums per date and industry add up to those of the date; the table has dates x industries rows
+    cells = df.where(present).groupBy(date, industry).agg(
+        F.avg(value).alias("_mv"), F.avg(size).alias("_ms"), (F.covar_pop(value, size) * n).alias("_vs"), (F.var_pop(size) * n).alias("_ss"))
+    day = Window.partitionBy(date)
+    total = F.sum("_ss").over(day)
+    beta = F.when(total > 1e-12, F.sum("_vs").over(day) / total).otherwise(0.0)
+    known = materialize(cells.select(date, industry, "_mv", "_ms", beta.alias("_beta")))
+    residual = (F.col(value) - F.col("_mv")) - F.col("_beta") * (F.col(size) - F.col("_ms"))
+    return df.where(present).join(known, [date, industry]).select(*df.columns, residual.alias("residual"))

@@ -3,11 +3,12 @@
 ``rank() over (partition by date)`` sends a whole date to one task, and ``percentile`` keeps a whole group in
 one buffer. Neither holds when one date carries a third of all rows. The operators here
 
-1. collapse equal values with a partial aggregate (ties never travel as rows),
-2. cut groups of many distinct values into pieces, at cuts from a hash sample of those values,
-3. add the exact row counts of the earlier pieces to the positions inside a piece.
+1. cut large groups into pieces, at cuts from a sample of their values,
+2. find positions inside a piece,
+3. add the exact row counts of the earlier pieces.
 
-The cuts only balance work. Positions are exact whatever the cuts are, and any orderable type has them. Null keys are a group
+Positions of values (`group_positions`) collapse equal values with a partial aggregate first, so ties never travel as rows; ranks of
+rows (`average_ranks`) deal the rows themselves, and those of a frequent value freely, since they all tie. The cuts only balance work. Positions are exact whatever the cuts are, and any orderable type has them. Null keys are a group
 like any other.
 """
 
@@ -19,8 +20,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorframe.session import materialize
+
 ROWS_PER_PIECE = 1 << 20
 SAMPLES_PER_PIECE = 16
+SALTS = 64
 
 
 def _with_group(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -59,7 +63,7 @@ def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_pie
     counts = base.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("copies"))
     # groups with cuts have over rows_per_piece distinct values each, so these two tables stay a tiny share of the rows
     placed = match(counts, F.broadcast(_cuts(counts, group, value, rows_per_piece)), group).withColumn(
-        "_piece", F.coalesce(F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))), F.lit(0))
+        "_piece", F.when(F.col("_cuts").isNull(), 0).otherwise(_below(F.col("_cuts"), F.col(value)))
     )
     by_piece = Window.partitionBy(*group).orderBy("_piece")
     earlier = (
@@ -86,19 +90,79 @@ def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_pie
     )
 
 
+def _below(cuts: Column, value: Column) -> Column:
+    """How many of the sorted cuts are below value, by bisection."""
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        lower = F.get(cuts, middle) < value
+        return F.when(s["low"] < s["high"], F.struct(
+            F.when(lower, middle + 1).otherwise(s["low"]).alias("low"), F.when(lower, s["high"]).otherwise(middle).alias("high"))).otherwise(s)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high")), halve, lambda s: s["low"])
+
+
+def _row_cuts(df: DataFrame, group: Sequence[str], columns: Sequence[str], rows_per_piece: int) -> DataFrame | None:
+    """Per group of over rows_per_piece rows and per column i of them, cuts _cut{i} from a sample of its rows; None without such groups.
+
+    A frequent value is sampled often and so becomes a cut itself. The table has at most one row per rows_per_piece input rows, and
+    one cut per that many. It is written, so that all later steps see the same cuts.
+    """
+    n = [F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)]
+    sizes = df.groupBy(*group).agg(*n)
+    is_large = reduce(lambda x, y: x | y, [F.col(f"_n{i}") > rows_per_piece for i in range(len(columns))])
+    large = materialize(sizes.where(is_large))
+    if large.isEmpty():
+        return None
+    step = min(SAMPLES_PER_PIECE, rows_per_piece)
+    rate = max(1, rows_per_piece // step)
+    inside = match(df.select(*group, *columns), F.broadcast(large), group, "inner").withColumn("_chosen", F.rand(5) * rate < 1)
+
+    def cut(i: int, c: str) -> Column:
+        sample = F.sort_array(F.collect_list(F.when(F.col("_chosen") & (F.col(f"_n{i}") > rows_per_piece), F.col(c))))
+        return F.array_distinct(F.filter(sample, lambda x, at: at % step == step - 1)).alias(f"_cut{i}")
+
+    return materialize(inside.groupBy(*group).agg(*[cut(i, c) for i, c in enumerate(columns)]))
+
+
 def average_ranks(df: DataFrame, keys: Sequence[str], values: Mapping[str, str], rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:
     """df plus one average-tie rank column per entry of values ({column: rank column name}); null values have null ranks.
 
-    Positions of different columns are independent of each other; each returns to the rows by an equi-join on
-    (keys, value), where AQE splits a hot value on the row side.
+    Rows are dealt once per column, by (group, piece), and ranked inside the piece. Groups of over rows_per_piece rows have several
+    pieces: a piece between each two neighbouring cuts, and one for each cut, whose rows all tie and are dealt freely. Counts of the
+    earlier pieces, from a table of a few rows per large group, are added.
     """
-    out = df
-    for value, name in values.items():
-        ranks = group_positions(df.select(*keys, value), keys, value, rows_per_piece).select(
-            *keys, value, (F.col("before") + (F.col("copies") + 1) / 2).alias(name)
-        )
-        out = match(out, ranks, [*keys, value])
-    return out
+    base, group = _with_group(df, keys)
+    columns = list(values)
+    cuts = _row_cuts(base, group, columns, rows_per_piece)
+    free = F.pmod(F.xxhash64(*[f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(SALTS)).cast("int")
+    placed = base if cuts is None else match(base, F.broadcast(cuts), group)
+    for i, c in enumerate(columns):
+        piece = F.when(F.col(c).isNull(), -1)
+        if cuts is not None:
+            at = _below(F.col(f"_cut{i}"), F.col(c))
+            several = F.col(f"_cut{i}").isNotNull()
+            piece = piece.when(several, 2 * at + F.coalesce(F.get(F.col(f"_cut{i}"), at) == F.col(c), F.lit(False)).cast("int"))
+        placed = placed.withColumn(f"_piece{i}", piece.otherwise(0))
+    if cuts is not None:
+        pieces = F.explode(F.array(*[F.struct(F.lit(i).alias("_column"), F.col(f"_piece{i}").alias("_piece")) for i in range(len(columns))]))
+        counted = placed.where(F.col("_cut0").isNotNull()).select(*group, pieces.alias("_p")).where("_p._piece >= 0").groupBy(
+            *group, "_p._column", "_p._piece").agg(F.count(F.lit(1)).alias("_copies"))
+        earlier = Window.partitionBy(*group, "_column").orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)  # pieces, not rows
+        offsets = materialize(counted.withColumn("_offset", F.sum("_copies").over(earlier) - F.col("_copies")))
+    for i, c in enumerate(columns):
+        piece = F.col(f"_piece{i}")
+        ties = (piece < 0) | (piece % 2 == 1)
+        inside = Window.partitionBy(*group, piece, F.when(ties, free).otherwise(0)).orderBy(c)
+        # rank is one more than the rows below, the running count takes in the ties
+        rank = (F.rank().over(inside) + F.count(F.lit(1)).over(inside)) / 2
+        placed = placed.withColumn(f"_rank{i}", F.when(F.col(c).isNotNull(), rank))
+        if cuts is not None:
+            mine = F.broadcast(offsets.where(F.col("_column") == i).drop("_column").withColumnRenamed("_piece", f"_piece{i}"))
+            inner = F.when(ties, (F.col("_copies") + 1) / 2).otherwise(F.col(f"_rank{i}"))
+            placed = match(placed, mine, [*group, f"_piece{i}"]).withColumn(
+                f"_rank{i}", F.when(F.col(c).isNotNull(), F.coalesce("_offset", F.lit(0)) + inner)).drop("_copies", "_offset")
+    return placed.select(*df.columns, *[F.col(f"_rank{i}").alias(values[c]) for i, c in enumerate(columns)])
 
 
 def group_quantiles(
@@ -137,7 +201,6 @@ def group_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "me
 
 # Spark prunes row_number() <= k before the shuffle up to this k (spark.sql.optimizer.windowGroupLimitThreshold)
 PRUNED_K = 1000
-SALTS = 64
 
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank", rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:

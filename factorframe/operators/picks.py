@@ -110,6 +110,33 @@ def position_values(targets: DataFrame, returns: DataFrame | None = None, initia
     return out.withColumns({"weight": 1 / F.col("n_hold"), "position_value": F.col("_value") / F.col("n_hold")}).drop("_value")
 
 
+def trade_amounts(trades: DataFrame, positions: DataFrame) -> DataFrame:
+    """trades (date, code, action) with amount: what is bought is the position of that date, what is sold the one of the date before.
+
+    positions: (date, code, position_value), one row per held name and date, as `position_values` gives them. KEEP rows carry their position.
+    """
+    dates = date_positions(positions)
+    held = positions.select("date", "code", "position_value").join(date_sized(dates), "date").select("idx", "code", F.col("position_value").alias("amount"))
+    at = trades.join(date_sized(dates), "date").withColumn("idx", F.col("idx") - (F.col("action") == "SELL").cast("int"))
+    return at.join(held, ["idx", "code"], "left").select("date", "code", "action", "amount")
+
+
+def cap_buys(
+    trades: DataFrame, scores: DataFrame, industry: DataFrame | None, k: int, max_weight: float = 0.25
+) -> DataFrame:
+    """trades with at most max(1, int(k * max_weight)) BUY rows of one industry per date, best scores first; all other rows stay.
+
+    The cap is relative to the k names held, and sees the buys of a date only. Unknown industry is 'Other'; a name without a score comes last.
+    """
+    if industry is None:
+        return trades
+    buys = trades.where(F.col("action") == "BUY").join(scores.select("date", "code", "score"), ["date", "code"], "left").join(industry, "code", "left")
+    known = buys.withColumn("industry", F.coalesce("industry", F.lit("Other")))
+    order = [F.desc_nulls_last("score"), F.col("code")]
+    kept = first_k(known, ["date", "industry"], order, max(1, int(k * max_weight)), "_rank")
+    return kept.select(*trades.columns).unionByName(trades.where(F.col("action") != "BUY"))
+
+
 def trade_summary(trades: DataFrame, amount: str = "amount", by: Sequence[str] = ()) -> DataFrame:
     return trades.groupBy(*by, "action").agg(F.count(F.lit(1)).alias("n_trades"), F.sum(amount).alias("total_amount"))
 

@@ -58,9 +58,18 @@ def _conditions() -> dict[str, Column]:
 
 
 def check_ohlc(df: DataFrame) -> DataFrame:
-    """Inconsistent bars per code and kind: code, type, n."""
-    counts = df.groupBy("code").agg(*[F.count_if(c).alias(name) for name, c in _conditions().items()])
-    return counts.unpivot(["code"], list(_conditions()), "type", "n").where(F.col("n") > 0)
+    """Inconsistent bars per code and kind: code, type, n, sample_dates (the first five dates, comma separated)."""
+    # one row per code and date first, so that a code's list of dates is bounded by the calendar
+    daily = df.groupBy("code", "date").agg(*[F.count_if(c).alias(name) for name, c in _conditions().items()])
+
+    def found(name: str) -> Column:
+        dates = F.slice(F.array_sort(F.collect_list(F.when(F.col(name) > 0, F.col("date")))), 1, SAMPLES)
+        text = F.array_join(F.transform(dates, lambda d: d.cast("string")), ",")
+        return F.struct(F.lit(name).alias("type"), F.sum(name).alias("n"), text.alias("sample_dates")).alias(name)
+
+    kinds = list(_conditions())
+    packed = daily.groupBy("code").agg(*[found(name) for name in kinds])
+    return packed.select("code", F.inline(F.array(*kinds))).where(F.col("n") > 0)
 
 
 def first_bars(df: DataFrame) -> DataFrame:

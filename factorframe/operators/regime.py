@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factorframe.functions import rolling as R
 from factorframe.operators.filters import flat_runs
+from factorframe.operators.order_windows import window_quantile
 from factorframe.operators.ordering import date_sized
 
 REGIMES = ("bull", "strong_bull", "bear", "strong_bear")
@@ -25,7 +26,7 @@ def classify_regime(index: DataFrame, ma_window: int = 60, vol_window: int = 60,
     rows = index if by else index.withColumn(series, F.lit(0))
     past = rows.select(series, "date", F.col(price).alias("price"), R.pct_change(price, 1, by=series).alias("_ret"))
     staged = past.withColumns({"ma": R.mean("price", ma_window, by=series), "vol": R.std("_ret", vol_window, by=series)})
-    judged = staged.withColumn("_median", R.expanding_median("vol", 2 * vol_window, by=series))
+    judged = window_quantile(staged, "vol", "_median", min_periods=2 * vol_window, by=series)
     calm = F.col("vol") < F.col("_median")
     above = F.col("price") > F.col("ma")
     regime = (

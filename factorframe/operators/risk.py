@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from factorframe.functions import rolling as R
 from factorframe.functions.factors import momentum_12_1
+from factorframe.operators.linear import moments, solve, systems
 from factorframe.operators.ordering import date_sized
 from factorframe.operators.significance import newey_west
 
@@ -115,39 +113,16 @@ def industry_constraint(exposures: DataFrame, limit: float = MAX_ACTIVE_WEIGHT)
     return check_constraint(exposures, "active_weight", limit)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _solve(gram: pd.Series, moment: pd.Series, size: pd.Series) -> pd.Series:
-    """Least-squares coefficients from the normal equations of each row."""
-    if not len(gram):
-        return pd.Series([], dtype=object)
-    k = int(size.iloc[0])  # one model per call
-    matrix, right = np.stack(gram.to_numpy()).astype(float).reshape(-1, k, k), np.stack(moment.to_numpy()).astype(float)
-    scale = np.sqrt(np.maximum(np.diagonal(matrix, axis1=1, axis2=2), 1e-300))
-    inverse = np.linalg.pinv(matrix / (scale[:, :, None] * scale[:, None, :]), rcond=1e-12, hermitian=True)
-    return pd.Series(list(np.einsum("nij,nj->ni", inverse, right / scale) / scale))
-
-
 def fama_macbeth(rows: DataFrame, factors: Sequence[str], ret: str = "ret", min_names: int = MIN_NAMES) -> DataFrame:
     """Daily cross-sectional OLS with intercept: date, factor, factor_return, n.
 
-    Spark sums the centred normal equations of each date; only a k x k system per date reaches the solver.
+    Spark sums the centred products of each date and solves its system by elimination. A factor that is flat on a date, or a
+    combination of factors before it in the list, cannot be told apart there: its return is null and the others are solved without it.
     """
     need = max(min_names, 5 * len(factors))
-    finite = F.lit(True)
-    for c in (*factors, ret):
-        finite = finite & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    clean = rows.where(finite).select("date", *factors, ret)
-    means = clean.groupBy("date").agg(
-        *[F.avg(f).alias(f"_m_{f}") for f in factors], F.avg(ret).alias("_m_ret"), F.count(F.lit(1)).alias("n")
-    ).where(F.col("n") >= need)
-    centred = clean.join(date_sized(means), "date").select(
-        "date", "n", *[(F.col(f) - F.col(f"_m_{f}")).alias(f) for f in factors], (F.col(ret) - F.col("_m_ret")).alias(ret)
-    )
-    gram = F.array(*[F.sum(F.col(a) * F.col(b)) for a in factors for b in factors])
-    moment = F.array(*[F.sum(F.col(a) * F.col(ret)) for a in factors])
-    systems = centred.groupBy("date").agg(gram.alias("_g"), moment.alias("_m"), F.max("n").alias("n"))
-    solved = systems.withColumn("_b", _solve("_g", "_m", F.lit(len(factors))))
-    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col("_b")[i].alias("factor_return")) for i, f in enumerate(factors)])
+    daily = moments(rows, ["date"], [*factors, ret]).where(F.col("n") >= need)
+    solved = solve(systems(daily, ["date"], len(factors)), len(factors))
+    pairs = F.array(*[F.struct(F.lit(f).alias("factor"), F.col("coefficients")[i].alias("factor_return")) for i, f in enumerate(factors)])
     return solved.select("date", "n", F.inline(pairs))
 
 

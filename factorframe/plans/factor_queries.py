@@ -9,6 +9,7 @@ from factorframe.functions import rolling as R
 from factorframe.operators import filters as FL
 from factorframe.operators import labels as L
 from factorframe.operators import normalize as N
+from factorframe.operators.order_windows import window_quantile
 from factorframe.operators.ordering import average_ranks, group_positions, row_numbers
 from factorframe.plans.registry import query
 from factorframe.plans.testbed import with_ctes
@@ -84,7 +85,16 @@ def w_slope(t):
 )
 def expanding_median(t):
     series = t.benchmark.withColumn("series", F.lit("market"))
-    return series.select("date", R.expanding_median("bench", 24, by="series").alias("value"))
+    return window_quantile(series, "bench", "value", min_periods=24, by="series").select("date", "value")
+
+
+@query(
+    "w_quantile_long",
+    {**KEY, "value": 9},
+    with_ctes("wk") + f"SELECT code, date, {_strict('quantile_cont(close, 0.8) OVER w60', 'close', 60)} AS value FROM wk {_frames(60)}",
+)
+def w_quantile_long(t):
+    return window_quantile(t.week, "close", "value", 0.8, 60).select("code", "date", "value")
 
 
 @query(
@@ -323,6 +333,13 @@ def label_xs_ret(t):
     return L.make_label(t.week, "xs_ret_4d")
 
 
+@query("label_xs_ret_zscore", LABEL, with_ctes("label", extra="""z AS (SELECT code, date, (label - avg(label) OVER p) / nullif(stddev_samp(label) OVER p, 0) AS z
+    FROM label WINDOW p AS (PARTITION BY date)), m AS (SELECT date, median(z) AS med FROM z GROUP BY date)""")
+       + "SELECT code, date, z - med AS label FROM wk LEFT JOIN z USING (code, date) LEFT JOIN m USING (date)")
+def label_xs_ret_zscore(t):
+    return L.make_label(t.week, "xs_ret_4d", zscore_first=True)
+
+
 _INDEX = """ix AS (SELECT date, exp(sum(ln(1 + bench / 100)) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS close FROM bench)"""
 
 

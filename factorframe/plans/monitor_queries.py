@@ -269,11 +269,11 @@ def check_duplicates(t):
 
 @query(
     "check_ohlc",
-    {"code": "int", "type": "str", "n": "int"},
-    f"""WITH {_RAW} SELECT * FROM (
-        SELECT code, 'low_gt_high' AS type, count(*) AS n FROM raw WHERE low > high GROUP BY code
-        UNION ALL SELECT code, 'open_out_of_range', count(*) FROM raw WHERE open < low OR open > high GROUP BY code
-        UNION ALL SELECT code, 'close_out_of_range', count(*) FROM raw WHERE close < low OR close > high GROUP BY code) q""",
+    {"code": "int", "type": "str", "n": "int", "sample_dates": "str"},
+    f"""WITH {_RAW} SELECT code, type, count(*) AS n, array_to_string(list_sort(list(DISTINCT date))[1:5], ',') AS sample_dates FROM (
+        SELECT code, date, 'low_gt_high' AS type FROM raw WHERE low > high
+        UNION ALL SELECT code, date, 'open_out_of_range' FROM raw WHERE open < low OR open > high
+        UNION ALL SELECT code, date, 'close_out_of_range' FROM raw WHERE close < low OR close > high) q GROUP BY code, type""",
 )
 def check_ohlc(t):
     return V.check_ohlc(faulty_bars(t))

@@ -8,6 +8,7 @@ from factorframe.functions import flags
 from factorframe.operators import aggregates as A
 from factorframe.operators import filters as FL
 from factorframe.operators import joins as J
+from factorframe.operators import sketches as S
 from factorframe.operators.labels import parse_label_columns
 from factorframe.operators.resample import resample
 from factorframe.plans.registry import query
@@ -600,6 +601,27 @@ def quantile_edges(t):
     return A.quantile_edges(t.week, ["close", "volume", "amount"], [0, 0.25, 0.5, 0.8, 1])
 
 
+_SKETCH_AT = (0.0, 0.1, 0.5, 0.9, 1.0)
+
+
+@query(
+    "sketch_quantiles",
+    {"date": "date", "n": "int", "within_bound": "bool"},
+    with_ctes("wk", "cal", extra="m AS (SELECT date, count(close) AS k FROM wk GROUP BY date)")
+    + "SELECT c.date, sum(m.k) AS n, true AS within_bound FROM cal c JOIN cal b ON b.idx BETWEEN c.idx - 51 AND c.idx JOIN m ON m.date = b.date GROUP BY c.date",
+)
+def sketch_quantiles(t):
+    """A year of weeks up to each week, from one sketch per week, held against the ranks of all rows of its window."""
+    calendar = t.calendar
+    found = S.sketch_quantiles(S.trailing(S.sketch(t.week, ["date"], ["close"]), calendar, 52), _SKETCH_AT)
+    weeks = calendar.select("date", "idx")
+    windows = weeks.withColumn("at", F.explode(F.sequence(F.col("idx"), F.least(F.col("idx") + 51, F.lit(weeks.count() - 1))))).join(
+        weeks.select(F.col("idx").alias("at"), F.col("date").alias("upto")), "at").select("date", "upto")
+    rows = t.week.select("date", "close").join(F.broadcast(windows), "date").select(F.col("upto").alias("date"), "close")
+    error = S.observed_error(rows, found, ["date"], "close", _SKETCH_AT)
+    return error.select("date", "n", (F.col("error") <= S.rank_error(many=True)).alias("within_bound"))
+
+
 @query(
     "distinct_dates",
     {"n_dates": "int", "first_date": "date", "last_date": "date"},

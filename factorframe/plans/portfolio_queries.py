@@ -11,7 +11,7 @@ from factorframe.operators import portfolio as P
 from factorframe.operators import risk as Q
 from factorframe.plans.panel_queries import _BOARD
 from factorframe.plans.registry import query
-from factorframe.plans.sql import sql_newey_west
+from factorframe.plans.sql import sql_solved, sql_system, sql_newey_west
 from factorframe.session import materialize
 from factorframe.plans.testbed import CTES, with_ctes
 
@@ -154,11 +154,14 @@ def dropout_grid(t):
     )
 
 
+_VALUES = """v AS (SELECT date, 1e6 * exp(sum(ln(1 + "return")) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS pv FROM
+      (SELECT date, "return" / 10 AS "return" FROM rep) r)"""
+
+
 @query(
     "position_values",
     {"date": "date", "code": "int", "n_hold": "int", "weight": 7, "position_value": 0},
-    with_ctes("tgt", "rep", extra="""v AS (SELECT date, 1e6 * exp(sum(ln(1 + "return")) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING)) AS pv FROM
-      (SELECT date, "return" / 10 AS "return" FROM rep) r)""")
+    with_ctes("tgt", "rep", extra=_VALUES)
     + """SELECT date, code, count(*) OVER (PARTITION BY date) AS n_hold, 1.0 / count(*) OVER (PARTITION BY date) AS weight,
                 coalesce(pv, 1e6) / count(*) OVER (PARTITION BY date) AS position_value FROM tgt LEFT JOIN v USING (date)""",
 )
@@ -170,10 +173,23 @@ def position_values(t):
 @query(
     "trade_summary",
     {"action": "str", "n_trades": "int", "total_amount": 4},
-    with_ctes("trades") + "SELECT action, count(*) AS n_trades, sum(1e4) AS total_amount FROM trades GROUP BY action",
+    with_ctes("trades", "tgt", "rep", extra=_VALUES + """, ps AS (SELECT tgt.date, idx, code, coalesce(pv, 1e6) / count(*) OVER (PARTITION BY tgt.date) AS amount
+      FROM tgt LEFT JOIN v USING (date)), ti AS (SELECT tr.*, d.idx - (action = 'SELL')::INT AS at FROM trades tr JOIN (SELECT DISTINCT date, idx FROM tgt) d USING (date))""")
+    + "SELECT action, count(*) AS n_trades, sum(amount) AS total_amount FROM ti LEFT JOIN ps ON ps.idx = ti.at AND ps.code = ti.code GROUP BY action",
 )
 def trade_summary(t):
-    return K.trade_summary(K.rebalance_trades(targets(t)).withColumn("amount", F.lit(1e4)))
+    return K.trade_summary(K.trade_amounts(K.rebalance_trades(targets(t)), position_values(t)))
+
+
+@query(
+    "cap_buys",
+    {"date": "date", "code": "int", "action": "str"},
+    with_ctes("trades", "score", "industry", extra="""cb AS (SELECT tr.*, row_number() OVER (PARTITION BY tr.date, coalesce(industry, 'Other') ORDER BY score DESC NULLS LAST, tr.code) AS r
+      FROM trades tr LEFT JOIN score s ON s.date = tr.date AND s.code = tr.code LEFT JOIN industry i ON i.code = tr.code WHERE action = 'BUY')""")
+    + "SELECT date, code, action FROM cb WHERE r <= 1 UNION ALL SELECT date, code, action FROM trades WHERE action <> 'BUY'",
+)
+def cap_buys(t):
+    return K.cap_buys(K.rebalance_trades(targets(t)), t.score, t.industry, 10, 0.1)
 
 
 @query(
@@ -475,7 +491,18 @@ def fama_macbeth(t):
     return factor_returns(t)
 
 
-@query("fama_macbeth_all", {"date": "date", "factor": "str", "factor_return": 6, "n": "int"})
+_FIVE = """fr5 AS (SELECT s.*, r.next_return FROM sty s
+  JOIN (SELECT code, date, lead(close) OVER (PARTITION BY code ORDER BY date) / close - 1 AS next_return FROM wk) r USING (code, date))"""
+
+
+@query(
+    "fama_macbeth_all",
+    {"date": "date", "factor": "str", "factor_return": 6, "n": "int"},
+    with_ctes("sty", extra=_FIVE + f""", s0 AS (SELECT *, list_transform(range({len(Q.STYLES)}), lambda x: true) AS allowed
+      FROM {sql_system('fr5', 'date', Q.STYLES, 'next_return')} q WHERE n >= {5 * len(Q.STYLES)}),
+      {sql_solved('fit', 's0', 'date', len(Q.STYLES))}""").replace("WITH ", "WITH RECURSIVE ", 1)
+    + "SELECT date, unnest([" + ", ".join(f"'{f}'" for f in Q.STYLES) + "]) AS factor, unnest(coefficients) AS factor_return, n FROM fit",
+)
 def fama_macbeth_all(t):
     return factor_returns(t, Q.STYLES)
 

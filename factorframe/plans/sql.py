@@ -69,3 +69,34 @@ ICIR_COLUMNS = {
     "n_days": "int", "ic_mean": 7, "ic_std": 7, "icir": 6, "ic_positive_ratio": 7, "naive_t_stat": 5, "nw_t_stat": 5,
     "nw_p_value": 5, "nw_significant": "bool",
 }
+
+
+def sql_system(source: str, key: str, features, target: str) -> str:
+    """Subquery: key, n, mean and dev (lists, target last), m (rows of the correlation system) of complete rows."""
+    columns = [*features, target]
+
+    def cell(a: str, b: str) -> str:
+        return f"coalesce(covar_pop({a}, {b}) / nullif(sqrt(var_pop({a}) * var_pop({b})), 0), 0)"
+
+    rows = ", ".join(f"[{', '.join(cell(a, b) for b in columns)}]" for a in features)
+    return f"""(SELECT {key}, count(*) AS n, [{', '.join(f'avg({c})' for c in columns)}] AS mean,
+      [{', '.join(f'stddev_pop({c})' for c in columns)}] AS dev, [{rows}] AS m
+      FROM {source} WHERE {' AND '.join(f'isfinite({c})' for c in columns)} GROUP BY {key})"""
+
+
+def sql_solved(name: str, source: str, keys: str, k: int) -> str:
+    """Two recursive CTEs: {name}_e eliminates m of source (keys, n, mean, dev, m, allowed) column by column; {name} has coefficients and intercept."""
+    reduced = f"""list_transform(m, lambda r, i: list_transform(r, lambda x, j: CASE WHEN i = p THEN x / m[p][p] ELSE x - r[p] * m[p][j] / m[p][p] END))"""
+    return f"""{name}_e AS (
+      SELECT {keys}, n, mean, dev, allowed, 1 AS p, m, []::BOOLEAN[] AS used FROM {source}
+      UNION ALL SELECT {keys}, n, mean, dev, allowed, p + 1, CASE WHEN ok THEN {reduced} ELSE m END, list_append(used, ok)
+      FROM (SELECT *, m[p][p] > 1e-10 AND allowed[p] AS ok FROM {name}_e WHERE p <= {k}) q),
+    {name} AS MATERIALIZED (
+      SELECT *, mean[{k + 1}] - list_sum(list_transform(coefficients, lambda b, i: coalesce(b, 0) * mean[i])) AS intercept
+      FROM (SELECT {keys}, n, mean, list_transform(m, lambda r, i: CASE WHEN used[i] THEN r[{k + 1}] * dev[{k + 1}] / dev[i] END) AS coefficients
+            FROM {name}_e WHERE p = {k + 1}) q)"""
+
+
+def sql_score(features) -> str:
+    terms = " + ".join(f"coalesce(coefficients[{i}], 0) * {f}" for i, f in enumerate(features, 1))
+    return f"intercept + {terms}"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +58,14 @@ def write_report(tables: Mapping[str, DataFrame], path: str, fmt: str = "csv") -
         (writer.option("header", True) if fmt == "csv" else writer).save(f"{path}/{name}")
 
 
+def read_report(spark: SparkSession, path: str, row: str, measures: Sequence[str], fmt: str = "csv") -> DataFrame:
+    """One written table in long form: report (its name), row, measure, value."""
+    reader = spark.read.format(fmt)
+    df = (reader.option("header", True) if fmt == "csv" else reader).load(path)
+    long = df.select(F.col(row).cast("string").alias("row"), *[F.col(m).cast("double").alias(m) for m in measures]).unpivot(["row"], list(measures), "measure", "value")
+    return long.select(F.lit(path.rstrip("/").rpartition("/")[2]).alias("report"), "row", "measure", "value")
+
+
 def append_experiments(records: DataFrame, path: str) -> None:
     """Add experiment records to the JSON-lines log."""
     records.select(*[F.col(f.name).cast(f.dataType) for f in EXPERIMENT_SCHEMA.fields]).write.mode("append").json(path)

@@ -5,7 +5,9 @@ Every job runs with availableNow for catch-up, or with a processing-time trigger
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from factorframe.operators.filters import dedupe
 from factorframe.operators.quality import ADJUST_EVENT
 from factorframe.sources.panel import instruments, trade_calendar
+from factorframe.streaming import snapshots
 
 
 def stream_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -32,82 +34,22 @@ def _trigger(writer, interval: str | None):
 # ---- upsert ----------------------------------------------------------------------------------------------------------
 
 
-def _folders(spark: SparkSession, target: str, kind: str) -> list[int]:
-    """Numbers of the finished folders kind=<number> under target."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith(f"{kind}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            found.append(int(name.removeprefix(f"{kind}=")))
-    return sorted(found)
+def current_bars(spark: SparkSession, target: str) -> DataFrame | None:
+    """The upserted panel as the newest snapshot has it, None before the first row. A folder that cannot be read raises."""
+    return snapshots.rows_of(spark, target, snapshots.latest(spark, target))
 
 
-def committed_batches(spark: SparkSession, target: str) -> list[int]:
-    """Batch folders whose write has finished."""
-    return _folders(spark, target, "batch")
+def upsert_batch(batch: DataFrame, batch_id: int, target: str, order: str = "ingest", writer: str = "upsert") -> None:
+    """Merge new bars into the months they touch; per (code, date) the largest ingest mark wins. A replayed batch changes nothing.
 
-
-def _parts(spark: SparkSession, folder: str) -> bool:
-    """Whether a finished folder has any rows, by the partition folders that its write made."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return any(s.getPath().getName().startswith("month=") for s in fs.listStatus(path))
-
-
-def current_bars(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The upserted panel: for every month the newest finished batch that wrote it, None before the first row.
-
-    Reading starts at the newest compacted base, if there is one. A folder that cannot be read raises.
+    writer names the stream, whose batches are numbered by its checkpoint; several streams may write to one target.
     """
-    base = [b for b in _folders(spark, target, "base") if before is None or b < before][-1:]
-    batches = [b for b in committed_batches(spark, target) if (before is None or b < before) and (not base or b > base[0])]
-    folders = [(n, f"{target}/{kind}={n}") for kind, numbers in (("base", base), ("batch", batches)) for n in numbers]
-    frames = [spark.read.option("basePath", folder).parquet(folder).withColumn("batch", F.lit(n)) for n, folder in folders if _parts(spark, folder)]
-    if not frames:
-        return None
-    rows = frames[0]
-    for frame in frames[1:]:
-        rows = rows.unionByName(frame)
-    newest = rows.groupBy("month").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), ["month", "batch"], "left_semi")  # one row per calendar month
-
-
-def _write_months(rows: DataFrame, folder: str) -> None:
-    # the rebalance hint sizes files by their bytes, splitting a large month and joining small ones
-    rows.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(folder)
-
+    snapshots.merge(batch, target, writer, batch_id, ["code", "date"], order, "last")
 
-def upsert_batch(batch: DataFrame, batch_id: int, target: str, order: str = "ingest") -> None:
-    """Merge new bars into the months they touch; per (code, date) the largest ingest mark wins.
 
-    Nothing is overwritten: a batch writes the merged months to its own folder, from batches before it. A replayed batch
-    reads the same input and replaces only its own folder, so a lost driver or executor never loses bars.
-    """
-    spark = batch.sparkSession
-    fresh = batch.withColumn("month", F.date_format("date", "yyyyMM").cast("int"))
-    old = current_bars(spark, target, before=batch_id)
-    if old is not None:
-        months = fresh.select("month").distinct()
-        kept = old.join(F.broadcast(months), "month", "left_semi").drop("batch").select(*fresh.columns)
-        fresh = kept.unionByName(fresh)
-    _write_months(dedupe(fresh, ["code", "date"], order, "last"), f"{target}/batch={batch_id}")
-
-
-def compact_bars(spark: SparkSession, target: str) -> int | None:
-    """Write the current panel as one base up to the newest batch, and return its number; later reads begin there.
-
-    Folders at or below that number are no longer read by anyone who starts afterwards; removing them is left to the operator.
-    """
-    batches = committed_batches(spark, target)
-    rows = current_bars(spark, target)
-    if rows is None:
-        return None
-    _write_months(rows.drop("batch"), f"{target}/base={batches[-1]}")
-    return batches[-1]
+def compact_bars(spark: SparkSession, target: str) -> int:
+    """Merge all months that have additions, and return the number of the snapshot."""
+    return snapshots.compact(spark, target)["version"]
 
 
 def refresh_dimensions(spark: SparkSession, target: str) -> tuple[DataFrame, DataFrame] | None:
@@ -116,44 +58,62 @@ def refresh_dimensions(spark: SparkSession, target: str) -> tuple[DataFrame, Dat
     return None if rows is None else (trade_calendar(rows), instruments(rows))
 
 
-def start_upsert(stream: DataFrame, target: str, checkpoint: str, interval: str | None = None):
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        lambda batch, batch_id: upsert_batch(batch, batch_id, target)
+def start_upsert(stream: DataFrame, target: str, checkpoint: str, interval: str | None = None, writer: str = "upsert"):
+    out = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: upsert_batch(batch, batch_id, target, writer=writer)
     )
-    return _trigger(writer, interval).start()
+    return _trigger(out, interval).start()
 
 
 # ---- price jumps with state ------------------------------------------------------------------------------------------
 
-EVENT_SCHEMA = "code {code}, date date, prev_close double, close double, change double"
-STATE_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("close", T.DoubleType())])
+EVENT_SCHEMA = "code {code}, date date, prev_close double, close double, change double, event boolean, version long"
+STATE_SCHEMA = T.StructType([
+    T.StructField("dates", T.ArrayType(T.DateType())), T.StructField("closes", T.ArrayType(T.DoubleType())), T.StructField("version", T.LongType())])
 
 
-def adjust_events(stream: DataFrame, threshold: float = ADJUST_EVENT) -> DataFrame:
-    """Bars whose close moved more than threshold against the previous bar of the code, across batches.
+def _jumps(closes: dict, threshold: float) -> dict:
+    """date -> (previous close, close, change, whether it is a jump) of every date but the first."""
+    dates = sorted(closes)
+    out = {}
+    for before, date in zip(dates, dates[1:]):
+        change = closes[date] / closes[before] - 1 if closes[before] else float("nan")
+        out[date] = (closes[before], closes[date], change, abs(change) > threshold)
+    return out
 
-    State per code is one date and one close. Bars at or before the state's date are late and ignored.
+
+def adjust_events(stream: DataFrame, threshold: float = ADJUST_EVENT, lateness_days: int | None = 30) -> DataFrame:
+    """Log of bars whose close moved more than threshold against the previous bar of the code, across batches and whatever their order.
+
+    A late bar changes two moves, its own and the next bar's; jumps that appear or alter are logged, and those that vanish are logged with event
+    false, with a version that grows per code. `settled_events` reads the log. State per code are the closes of the last lateness_days
+    before its newest bar and the one before them (None: all of its dates); later bars than that are ignored.
     """
     code_type = stream.schema["code"].dataType.simpleString()
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_date, last_close = state.get if state.exists else (None, None)
+        dates, values, version = state.get if state.exists else ([], [], 0)
+        held = dict(zip(dates, values))
         # one close per date, frame by frame: what is held is bounded by the calendar, whatever the batch repeats
-        closes: dict = {}
+        fresh: dict = {}
         for part in frames:
             part = part.dropna(subset=["close"])
-            closes.update(zip(part["date"], part["close"]))
-        bars = pd.DataFrame({"date": list(closes), "close": list(closes.values())}, columns=["date", "close"]).sort_values("date")
-        if last_date is not None:
-            bars = bars[bars["date"] > last_date]
-        if bars.empty:
+            fresh.update(zip(part["date"], part["close"].astype(float)))
+        if lateness_days is not None and held:
+            first = max(held) - timedelta(days=lateness_days)
+            fresh = {d: x for d, x in fresh.items() if d >= first}
+        if not fresh:
             return
-        previous = bars["close"].shift(1)
-        previous.iloc[0] = last_close if last_close is not None else float("nan")
-        change = bars["close"] / previous - 1
-        out = pd.DataFrame({"code": key[0], "date": bars["date"], "prev_close": previous, "close": bars["close"], "change": change})
-        state.update((bars["date"].iloc[-1], float(bars["close"].iloc[-1])))
-        yield out[change.abs() > threshold]
+        before, after = _jumps(held, threshold), _jumps({**held, **fresh}, threshold)
+        rows = [(key[0], d, *now, version + 1) for d, now in after.items() if now != before.get(d) and (now[3] or (d in before and before[d][3]))]
+        held.update(fresh)
+        order = sorted(held)
+        if lateness_days is not None:
+            recent = bisect_left(order, order[-1] - timedelta(days=lateness_days))
+            order = order[max(0, recent - 1):]
+        state.update((order, [held[d] for d in order], version + 1))
+        if rows:
+            yield pd.DataFrame(rows, columns=["code", "date", "prev_close", "close", "change", "event", "version"])
 
     return (
         stream.select("code", "date", "close")
@@ -162,6 +122,12 @@ def adjust_events(stream: DataFrame, threshold: float = ADJUST_EVENT) -> DataFra
     )
 
 
+def settled_events(log: DataFrame) -> DataFrame:
+    """code, date, prev_close, close, change of the jumps that stand: the newest version of each bar in the log."""
+    newest = log.groupBy("code", "date").agg(F.max_by(F.struct("prev_close", "close", "change", "event"), "version").alias("e"))
+    return newest.where("e.event").select("code", "date", "e.prev_close", "e.close", "e.change")
+
+
 # ---- ticks to bars ---------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +158,24 @@ def ohlcv(ticks: DataFrame, width: str = "1 day", slide: str | None = None, wate
     ).select("code", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "open", "high", "low", "close", "volume", "n_ticks")
 
 
+def sliding_ohlcv(ticks: DataFrame, width: str, slide: str, watermark: str = "1 day") -> DataFrame:
+    """Bars of overlapping windows on a stream, in append mode, with each tick aggregated once.
+
+    Ticks are aggregated into panes of `slide`, and each window is merged from its panes; width is a multiple of slide. Both steps keep
+    state only until the watermark passes, and the second holds a row per pane, however many ticks came.
+    """
+    order = F.struct("ts", "seq")
+    panes = ticks.withWatermark("ts", watermark).groupBy("code", F.window("ts", slide).alias("pane")).agg(
+        F.min(F.struct(order.alias("at"), "price")).alias("first"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max(F.struct(order.alias("at"), "price")).alias("last"), F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_ticks"))
+    at = F.window_time("pane")
+    return panes.select("*", at.alias("at")).groupBy("code", F.window("at", width, slide).alias("w")).agg(
+        F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").alias("last"),
+        F.sum("volume").alias("volume"), F.sum("n_ticks").alias("n_ticks"),
+    ).select("code", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("first.price").alias("open"), "high", "low",
+             F.col("last.price").alias("close"), "volume", "n_ticks")
+
+
 # ---- validation ------------------------------------------------------------------------------------------------------
 
 
@@ -201,27 +185,30 @@ def bad_bar():
     return F.coalesce(broken, F.lit(True))
 
 
-def start_validation(stream: DataFrame, good: str, rejected: str, checkpoint: str, interval: str | None = None):
-    """Route inconsistent bars to a reject folder and the first copy of each valid bar to the good one, however late it comes.
+BATCH = "_batch"  # the batch that a good bar came with
+
 
-    The memory of earlier copies is the good sink itself: a batch leaves out the (code, date) pairs that batches before it wrote,
-    looking only at its own range of dates. Each batch writes folders of its own, so a replay replaces them.
+def start_validation(stream: DataFrame, good: str, rejected: str, checkpoint: str, interval: str | None = None, writer: str = "validation"):
+    """Route inconsistent bars to a reject folder and the first copy of each valid bar to the good table, however late it comes.
+
+    The memory of earlier copies is the good table itself, by month: a batch meets only the months it touches, and of equal
+    (code, date) the one of the earliest batch stays. Nothing is kept in memory, so no bar is too late. Reject folders are per batch, so a
+    replay replaces them. Read the good table by `good_bars`.
     """
     def route(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         marked = batch.withColumn("_bad", bad_bar())
         marked.where("_bad").drop("_bad").write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
-        valid = dedupe(marked.where(~F.col("_bad")).drop("_bad"), ["code", "date"], F.lit(0), "first")
-        earlier = [f"{good}/batch={b}" for b in committed_batches(spark, good) if b < batch_id]
-        if earlier:
-            first, last = batch.agg(F.min("date"), F.max("date")).first()
-            seen = spark.read.schema(batch.schema).parquet(*earlier).where(F.col("date").between(first, last)).select("code", "date")
-            valid = valid.join(seen, ["code", "date"], "left_anti").select(*batch.columns)
-        valid.write.mode("overwrite").parquet(f"{good}/batch={batch_id}")
+        valid = marked.where(~F.col("_bad")).drop("_bad").withColumn(BATCH, F.lit(batch_id).cast("long"))
+        snapshots.merge(valid, good, writer, batch_id, ["code", "date"], BATCH, "first")
 
     return [_trigger(stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(route), interval).start()]
 
 
+def good_bars(spark: SparkSession, good: str) -> DataFrame | None:
+    rows = snapshots.rows_of(spark, good, snapshots.latest(spark, good))
+    return None if rows is None else rows.drop(BATCH)
+
+
 def closed_windows(done: DataFrame, ticks: DataFrame, width: str = "1 day", slide: str | None = None, watermark: str = "1 day") -> DataFrame:
     """What a finished stream wrote, and the windows its watermark had not passed, from the ticks that can still be in them."""
     last = ticks.agg((F.max("ts") - F.expr(f"INTERVAL {watermark}")).alias("_mark"))  # one row

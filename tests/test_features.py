@@ -40,8 +40,8 @@ def two_pass(panel, windows):
     return pd.DataFrame(rows)
 
 
-@pytest.mark.parametrize("level", [100.0, 1e9])
-def test_features_against_two_passes(spark, level):
+@pytest.mark.parametrize("level, windows", [(100.0, (5, 7, 10, 17)), (1e9, (5, 7, 10, 17)), (100.0, (5, 20)), (1e9, (27,))])
+def test_features_against_two_passes(spark, level, windows):
     r = np.random.default_rng(5)
     rows = []
     for code in ("a", "b", "c"):
@@ -55,7 +55,6 @@ def test_features_against_two_passes(spark, level):
     panel = pd.DataFrame(rows, columns=["code", "date", "close", "volume", "amount"])
     df = spark.createDataFrame([(*x[:2], x[2], x[2], x[2], x[2], x[3], x[4]) for x in rows],
                                "code string, date date, open double, high double, low double, close double, volume double, amount double")
-    windows = (5, 7, 10, 17)
     got = X.features(df, windows).toPandas().set_index(["code", "date"])
     for w in two_pass(panel, windows).itertuples(index=False):
         for name in ("std", "vma", "vstd", "corr", "skew", "kurt", "vwap", "beta"):
@@ -72,3 +71,16 @@ def test_large_levels_keep_small_spreads(spark):
                                "code string, date date, open double, high double, low double, close double, volume double, amount double")
     last = X.features(df, (5,)).orderBy("date").collect()[-1]
     assert last.vstd_5 == pytest.approx(np.std([0, 10, 20, 10, 0], ddof=1)) and last.corr_5 is not None
+
+
+@pytest.mark.parametrize("windows", [(5, 10, 20, 30, 60), (5, 20, 60), (240,), (3, 7, 11, 250), (1,), (9, 8)])
+def test_any_window_takes_few_steps(windows):
+    """Only short windows look at rows, and every other is the sum of two that were built before it."""
+    steps = X.window_steps(windows)
+    built = []
+    for n, near, far in steps:
+        assert (n <= X.DIRECT and far == 0) or (near + far == n and near in built and far in built)
+        built.append(n)
+    assert len(built) == len(set(built)) and set(windows) <= set(built)
+    assert len(built) <= len(windows) * 2 * max(windows).bit_length()
+    assert X.window_steps((5, 10, 20, 30, 60)) == [(5, 5, 0), (10, 5, 5), (20, 10, 10), (30, 20, 10), (60, 30, 30)]

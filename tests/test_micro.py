@@ -304,14 +304,15 @@ def test_interval_overlap_against_all_pairs(spark):
         for i in range(n):
             a, b = sorted(rng.choices(range(1500), k=2))
             out.append((i, calendar[a], calendar[min(b, a + rng.choice([0, 3, 40, 900]))]))
-        return out
+        out += [(n, calendar[7], calendar[7]), (n + 1, calendar[7], calendar[8]), (n + 2, "1969-12-20", "1970-01-09"), (n + 3, "1969-12-30", "1969-12-30"),
+                (n + 4, calendar[9], calendar[3])]  # one day, before the epoch, reversed
+        return out + [(100 + i, calendar[700], calendar[700 + i % 3]) for i in range(12)]  # a busy day of equal starts
 
     a, b = make(40), make(25)
     schema = "id int, start_date date, end_date date"
-    want = {(x[0], y[0]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2]}
-    for width in (30, 366):
-        out = interval_overlap(frame(spark, schema, a), frame(spark, schema, b), width).collect()
-        assert len(out) == len(want) and {(r["left_id"], r["right_id"]) for r in out} == want
+    want = {(x[0], y[0]) for x in a for y in b if x[1] <= y[2] and y[1] <= x[2] and x[1] <= x[2] and y[1] <= y[2]}
+    out = interval_overlap(frame(spark, schema, a), frame(spark, schema, b)).collect()
+    assert len(out) == len(want) and {(r["left_id"], r["right_id"]) for r in out} == want
 
 
 def test_forward_shift_edges(spark):
