@@ -63,21 +63,36 @@ def id_crc(column: str = "doc_id") -> Column:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, label) for every id in edges (u, v); label is the smallest id reachable. Null ends and loops are ignored.
 
-    Each round takes the smallest label among the neighbours (a partial aggregate, so a hub costs one row per task) and
-    then the label of the label, which halves paths. Rounds go on until no label moves.
+    Each round hooks every id to its smallest neighbour (a partial aggregate, so a hub costs one row per task), follows these
+    hooks to their ends by jumping, and puts the ends in place of the ids in the edges; loops and repeated edges go, so edges
+    and ids shrink from round to round. The rounds' hooks are followed back at the end.
     """
-    pairs = edges.where("u <> v").select("u", "v")
-    both = stage(pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = stage(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m"))
-                   .select("id", F.least("id", "m").alias("label"), F.lit(True).alias("moved")))
-    while labels.where("moved").limit(1).count():
-        old = labels.select("id", "label")
-        near = both.join(old.withColumnRenamed("id", "v"), "v").groupBy(F.col("u").alias("id")).agg(F.min("label").alias("m"))
-        hooked = old.join(near, "id").select("id", F.col("label").alias("before"), F.least("label", "m").alias("label"))
-        roots = hooked.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        after = stage(hooked.join(roots, "label").select(
-            "id", F.col("root").alias("label"), (F.col("root") < F.col("before")).alias("moved")))
-        release(labels)
-        labels = after
-    release(both)
-    return labels.select("id", "label")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+    pairs, rounds = stage(ordered(edges)), []
+    while not rounds or pairs.limit(1).count():
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        hooks = stage(both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("m")).select("id", F.least("id", "m").alias("label")))
+        while True:
+            ends = hooks.select(F.col("id").alias("label"), F.col("label").alias("end"))
+            after = stage(hooks.join(ends, "label").select("id", F.col("end").alias("label"), (F.col("end") < F.col("label")).alias("moved")))
+            release(hooks)
+            hooks = after.select("id", "label")
+            if not after.where("moved").limit(1).count():
+                break
+        left = pairs.join(hooks.select(F.col("id").alias("u"), F.col("label").alias("x")), "u").join(
+            hooks.select(F.col("id").alias("v"), F.col("label").alias("y")), "v")
+        shrunk = stage(ordered(left.select(F.col("x").alias("u"), F.col("y").alias("v"))))
+        release(pairs)
+        pairs = shrunk
+        rounds.append(hooks)
+    labels = rounds.pop()
+    while rounds:
+        earlier = rounds.pop()
+        # ends of a round that have no edge left in the next one keep their label
+        onward = labels.select(F.col("id").alias("label"), F.col("label").alias("end"))
+        joined = stage(earlier.join(onward, "label", "left").select("id", F.coalesce("end", "label").alias("label")))
+        release(labels, earlier)
+        labels = joined
+    return labels

@@ -233,7 +233,10 @@ def components(docs: DataFrame, k: int = 3, percent: int = 85, limit: int = LIMI
         F.min("doc_id").alias("rep"), F.min_by("leaves", "doc_id").alias("leaves"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
     reached = classes.select("rep", F.explode("leaves").alias("leaf"))
     shared = reached.groupBy("leaf").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    blocks = connected_components(reached.join(shared.select("leaf", "low"), "leaf").select(F.col("rep").alias("u"), F.col("low").alias("v")))
+    # a class meets the smallest of its leaves' lows, and that one the others: members of a large group share these, so edges stay few
+    lows = reached.join(shared.select("leaf", "low"), "leaf").groupBy("rep").agg(F.collect_set("low").alias("lows"))
+    met = lows.select(F.array_union("lows", F.array("rep")).alias("ends")).select(F.array_min("ends").alias("u"), F.explode("ends").alias("v"))
+    blocks = connected_components(met)
     members = stage(classes.select("rep", "n").join(blocks.select(F.col("id").alias("rep"), F.col("label").alias("block")), "rep"))
     sets = stage(sets_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
         small_side(members.select(F.col("rep").alias("doc_id"), "block")), "doc_id"), k))
