@@ -26,6 +26,8 @@ from factorframe.llm.similarity import small_side
 
 WIDTH = 2048
 PER_LANGUAGE = 500
+SALTS = 64
+LETTER = r"\p{L}"
 STEPS, PENALTY = 200, 1e-4
 
 
@@ -127,9 +129,13 @@ def train(x: np.ndarray, y: list[str]) -> Languages:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
     """Learn from labelled documents with a letter whose id hash is not held out (crc32 modulo 4 is not 2)."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (id_crc() % 4 != 2))
-    picked = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
+    # in two levels, so that the last window sees at most SALTS * per_language rows of a language, however many tasks there are
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).orderBy(*by_hash)
+    slim = docs.select("doc_id", "lang", "text")
+    labelled = slim.where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER) & (id_crc() % 4 != 2))
+    first = labelled.select("lang", "doc_id").withColumn("n", F.row_number().over(salted)).where(F.col("n") <= per_language)
+    picked = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*by_hash))).where(F.col("n") <= per_language)
     chosen = picked.select(F.col("doc_id").alias("chosen")).distinct()
 
     def run(batches):
@@ -148,7 +154,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Languages | None:
 
 
 def identified(docs: DataFrame, model: Languages | None) -> DataFrame:
-    """docs with lang_pred and score. Only the texts go to Python."""
+    """row (all columns of docs as a struct), lang_pred and score. Only the texts go to Python."""
     model = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double")
@@ -164,19 +170,23 @@ def identified(docs: DataFrame, model: Languages | None) -> DataFrame:
             scores.append(score)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], names=["lang_pred", "score"])
 
-    others = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    lettered = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
-    return docs.select(*others, told(lettered).alias("told_")).select(*others, "told_.lang_pred", "told_.score")
+    lettered = F.when(F.col("text").rlike(LETTER), F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, told(lettered).alias("told")).select("row", "told.lang_pred", "told.score")
 
 
 def language_report(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    return identified(docs.select("doc_id", "text"), fit(docs)).select(
+    return identified(docs.select("doc_id", "text"), fit(docs)).select("row.doc_id", "lang_pred", "score").select(
         "doc_id", (id_crc() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
 def keep_known(docs: DataFrame, least: float = 0.2) -> DataFrame:
-    """The rows of docs in a language told with at least that score, columns unchanged."""
-    named = docs.withColumnsRenamed({c: f"own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    kept = identified(named, fit(docs)).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
-    return kept.select(*[F.col(f"own_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns])
+    """The rows of docs in a language told with at least that score, columns unchanged.
+
+    Where no row has a label to learn from, no language can be told, and every row with a letter stays.
+    """
+    model = fit(docs)
+    told = identified(docs, model)
+    good = F.col("row.text").rlike(LETTER) if model is None else (F.col("lang_pred") != "und") & (F.col("score") >= least)
+    return told.where(good).select(*[F.col("row")[c].alias(c) for c in docs.columns])
