@@ -1,13 +1,18 @@
 """Embedding near-duplicates by spherical k-means cells and blocked cosine products.
 
 1. Equal vectors are one class, so copies never meet as pairs; its smallest vec_id stands for it.
-2. Spherical k-means is fitted on a bounded sample (SAMPLE rows of smallest id hash) and every class enters its NEAR nearest
-   cells. Members of a close pair that fall on two sides of a cell border still share a cell that way.
-3. Within a cell, rows are dealt into chunks of at most CHUNK; each pair of chunks is one task that multiplies blocks in double
-   precision. A pair that shares several cells counts in the smallest one only. A task returns, per row, how many vectors it
-   links and the smallest id of its group, never pairs.
+2. Spherical k-means is fitted on a bounded sample (SAMPLE_A_CELL rows per cell, those of smallest id hash), with about as many cells as the
+   root of the number of classes, up to MOST_CELLS; above FLAT_CELLS in two levels, cells of cells. A class has its home in the nearest cell and
+   visits the next ones, `visits(cells)` in all, so that members of a close pair on two sides of a border still meet.
+3. Within a cell, home rows are compared with each other and with the visitors, visitors not among themselves. Rows are dealt into
+   chunks of at most CHUNK; each pair of chunks is one task that multiplies blocks in double precision. A pair that meets in both homes
+   counts in the smaller one only. A task returns, per row, how many vectors it links and the smallest id of its group, never pairs.
 4. Groups are joined by connected components; one vector per component is kept.
 
+A pair is missed only if neither visits the other's home. Visits grow with the cells, so recall does not fall with size: pairs at cosine exactly 0.9
+in uniform random directions of 64 dimensions, the hardest case, are found to 0.99 at 200 cells and 0.997 at 1024 (tests/llm); closer
+pairs and clustered vectors more often.
+
 Link counts need every close pair to be counted, so a cell of m alike vectors costs m^2 products and m^2 / CHUNK rows moved.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
@@ -28,11 +33,16 @@ from factorframe.llm.shared import connected_components, stage
 from factorframe.llm.similarity import small_side
 
 THRESHOLD = 0.9
-SAMPLE, ROUNDS, MOST_CELLS = 8192, 12, 1024
-NEAR = 3
+SAMPLE_A_CELL, ROUNDS = 8, 12
+FLAT_CELLS, MOST_CELLS = 1024, 16384
 CHUNK = 2048
 
 
+def visits(cells: int) -> int:
+    """Cells that a class enters."""
+    return max(8, math.ceil(0.75 * math.sqrt(cells)))
+
+
 def unit_rows(raw: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -63,40 +73,77 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return centres
 
 
+def nested_kmeans(x: np.ndarray, k: int) -> np.ndarray:
+    """k centres, above FLAT_CELLS as centres of the rows of each coarser centre."""
+    if k <= FLAT_CELLS:
+        return spherical_kmeans(x, k)
+    coarse = spherical_kmeans(x, round(math.sqrt(k)))
+    own = (x @ coarse.T).argmax(axis=1)
+    parts = [x[own == c] for c in range(len(coarse))]
+    return np.concatenate([spherical_kmeans(p, max(1, min(len(p), round(k * len(p) / len(x))))) for p in parts if len(p)])
+
+
 def fitted_cells(classes: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centres by vector length in bytes, from the sample."""
-    sample = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("raw").collect()]
+    """Centres by vector length in bytes, from the sample: at most SAMPLE_A_CELL * MOST_CELLS rows."""
+    cells = max(1, min(round(math.sqrt(n)), MOST_CELLS))
+    sample = [bytes(r[0]) for r in classes.orderBy(F.xxhash64("rep")).limit(SAMPLE_A_CELL * max(cells, FLAT_CELLS)).select("raw").collect()]
     out = {}
     for size in {len(r) for r in sample}:
         x = unit_rows([r for r in sample if len(r) == size])
-        k = max(1, min(round(math.sqrt(n)), MOST_CELLS, len(x) // 8))
-        out[size] = spherical_kmeans(x, k)
+        out[size] = nested_kmeans(x, max(1, min(cells, len(x) // SAMPLE_A_CELL)))
     return out
 
 
-def in_cells(classes: DataFrame, centres: dict[int, np.ndarray], near: int) -> DataFrame:
-    """rep, copies, raw, cells: the nearest cells, as length * 2^20 + number, ascending."""
+def in_cells(classes: DataFrame, centres: dict[int, np.ndarray], near: int | None = None) -> DataFrame:
+    """rep, copies, raw, cells: home first, then the cells visited, nearest first, as length * 2^20 + number."""
+    shared = classes.sparkSession.sparkContext.broadcast(centres)  # at most about MOST_CELLS vectors of each length in the sample
+
     def run(batches):
+        centres = shared.value
         for batch in batches:
             raw = batch.column("raw").to_pylist()
             cells: list = [None] * len(raw)
             for size in {len(r) for r in raw}:
                 at = [i for i, r in enumerate(raw) if len(r) == size]
-                if size in centres:
-                    dots = unit_rows([raw[i] for i in at]) @ centres[size].T
-                    k = min(near, dots.shape[1])
-                    best = np.sort(np.argpartition(-dots, k - 1, axis=1)[:, :k], axis=1)
-                else:  # a length the sample does not have
-                    best = np.zeros((len(at), 1), int)
-                for i, row in zip(at, best):
-                    cells[i] = [(size << 20) + int(c) for c in row]
+                for part in (at[j: j + 512] for j in range(0, len(at), 512)):
+                    if size in centres:
+                        dots = unit_rows([raw[i] for i in part]) @ centres[size].T
+                        k = min(near or visits(dots.shape[1]), dots.shape[1])
+                        best = np.argpartition(-dots, k - 1, axis=1)[:, :k]
+                        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(dots, best, axis=1), axis=1, kind="stable"), axis=1)
+                    else:  # a length the sample does not have
+                        best = np.zeros((len(part), 1), int)
+                    for i, row in zip(part, best):
+                        cells[i] = [(size << 20) + int(c) for c in row]
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("raw"), pa.array(cells, pa.list_(pa.int64()))],
                                              names=["rep", "copies", "raw", "cells"])
     return classes.select("rep", "copies", "raw").mapInArrow(run, "rep long, copies long, raw binary, cells array<long>")
 
 
+def reached(found: np.ndarray, rows: np.ndarray, cols: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """For each row the row of smallest rep in its group, under the links found[i, j] between rows[i] and cols[j]."""
+    low = np.full(len(rep), -1, np.int64)
+    in_rows, in_cols = np.full(len(rep), -1), np.full(len(rep), -1)
+    in_rows[rows], in_cols[cols] = np.arange(len(rows)), np.arange(len(cols))
+    for seed in np.argsort(rep, kind="stable"):
+        if low[seed] >= 0:
+            continue
+        low[seed] = seed
+        front = np.array([seed])
+        while len(front):
+            reach = np.zeros(len(rep), bool)
+            fr, fc = in_rows[front], in_cols[front]
+            if (fr >= 0).any():
+                reach[cols[found[fr[fr >= 0]].any(axis=0)]] = True
+            if (fc >= 0).any():
+                reach[rows[found[:, fc[fc >= 0]].any(axis=1)]] = True
+            front = np.flatnonzero(reach & (low < 0))
+            low[front] = seed
+    return low
+
+
 def block_links(table: pa.Table, threshold: float) -> pa.Table:
-    """All rows of a pair of chunks of one cell -> rep, low (smallest rep of its group here), links."""
+    """A chunk of home rows with itself, another one or a chunk of visitors -> rep, low (smallest rep of its group here), links."""
     cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
     chunk = table.column("chunk").to_numpy()
@@ -104,7 +151,7 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
     lists = table.column("cells").to_pylist()
     width = max(map(len, lists))
     cells = np.array([c + [-1] * (width - len(c)) for c in lists])
-    cells[cells < 0] = -1 - np.repeat(np.arange(len(rep)), (cells < 0).sum(axis=1)) if (cells < 0).any() else -1
+    home = cells[:, 0]
     rows, cols = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
     found = np.zeros((len(rows), len(cols)), bool)
     links = np.zeros(len(rep), np.int64)
@@ -115,47 +162,37 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
         found[a: a + 256] = close
         p, q = np.nonzero(close)
         p, q = r[p], cols[q]
-        # counted in the smallest cell the two share
-        same = cells[p][:, :, None] == cells[q][:, None, :]
-        least = np.where(same.any(axis=2), cells[p], np.iinfo(np.int64).max).min(axis=1)
-        p, q = p[least == cell], q[least == cell]
+        # a visitor whose home this row visits meets it there too: counted in the smaller home
+        twice = (home[q] != cell) & (home[q] < cell) & (cells[p] == home[q][:, None]).any(axis=1)
+        p, q = p[~twice], q[~twice]
         links += np.bincount(p, copies[q], len(rep)).astype(np.int64)
         if i != j:
             links += np.bincount(q, copies[p], len(rep)).astype(np.int64)
-    # groups by repeated reach; found is symmetric for one chunk
-    low = np.full(len(rep), -1, np.int64)
-    row_of, col_of = {v: n for n, v in enumerate(rows)}, {v: n for n, v in enumerate(cols)}
-    for seed in np.argsort(rep, kind="stable"):
-        if low[seed] >= 0 and low[seed] != -1:
-            continue
-        low[seed] = seed
-        front = np.array([seed])
-        while len(front):
-            reach = np.zeros(len(rep), bool)
-            fr = [row_of[v] for v in front if v in row_of]
-            fc = [col_of[v] for v in front if v in col_of]
-            if fr:
-                reach[cols[found[fr].any(axis=0)]] = True
-            if fc:
-                reach[rows[found[:, fc].any(axis=1)]] = True
-            front = np.flatnonzero(reach & (low < 0))
-            low[front] = seed
+    low = reached(found, rows, cols, rep)
     keep = (links > 0) | (low != np.arange(len(rep)))
     return pa.table({"rep": rep[keep], "low": rep[low][keep], "links": links[keep]})
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, near: int = NEAR, chunk: int = CHUNK) -> DataFrame:
-    """vec_id, n_links, component_id, kept."""
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, near: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """vec_id, n_links, component_id, kept. near: the cells that a vector enters (None: `visits` of their number)."""
     rows = stage(usable(vectors).withColumn("digest", F.unhex(F.sha2("raw", 256))))
     classes = stage(rows.where("raw IS NOT NULL AND vec_id IS NOT NULL").groupBy("digest").agg(
         F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw")))
     placed = stage(in_cells(classes, fitted_cells(classes, classes.count()), near))
-    split = placed.withColumn("cell", F.explode("cells"))
-    sizes = split.groupBy("cell").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"))
-    dealt = split.join(sizes, "cell").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    paired = dealt.withColumn("other", other).select(
-        "cell", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "rep", "copies", "raw", "cells")
+    split = placed.select("*", F.posexplode("cells").alias("nth", "cell"))
+    at_home = F.col("nth") == 0
+    sizes = split.groupBy("cell").agg(F.ceil(F.count_if(at_home) / chunk).cast("int").alias("homes"),
+                                      F.ceil(F.count_if(~at_home) / chunk).cast("int").alias("guests"))
+    # home chunks are 0, 1, ...; chunks of visitors -1, -2, ...; a cell without home rows has nothing to compare
+    deal = F.xxhash64("rep")
+    dealt = split.join(sizes, "cell").where("homes > 0").withColumn("chunk", F.when(
+        at_home, F.pmod(deal, F.col("homes"))).otherwise(-1 - F.pmod(deal, F.greatest("guests", F.lit(1)))).cast("int"))
+    homes = F.sequence(F.lit(0), F.col("homes") - 1)
+    guests = F.when(F.col("guests") > 0, F.sequence(F.lit(-1), -F.col("guests"), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    met = dealt.withColumn("other", F.explode(F.when(at_home, F.concat(homes, guests)).otherwise(homes)))
+    paired = met.select("cell", F.when(F.least("chunk", "other") < 0, F.greatest("chunk", "other")).otherwise(F.least("chunk", "other")).alias("i"),
+                        F.when(F.least("chunk", "other") < 0, F.least("chunk", "other")).otherwise(F.greatest("chunk", "other")).alias("j"),
+                        "chunk", "rep", "copies", "raw", "cells")
     found = stage(paired.groupBy("cell", "i", "j").applyInArrow(
         lambda t: block_links(t, threshold), "rep long, low long, links long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
