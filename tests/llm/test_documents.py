@@ -2,17 +2,19 @@
 
 import collections
 import os
+import re
 import sys
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from llm_fixtures import corpus, documents, prose, words  # noqa: E402
+from llm_fixtures import LOWER, WORD, corpus, documents, prose, words  # noqa: E402
 
-from factorframe.llm import language, lines, mixing, packing, quality, scoring, sharding, similarity  # noqa: E402
+from factorframe.llm import language, lines, mixing, packing, quality, scoring, sharding, similarity, spans  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -100,15 +102,40 @@ def test_quality_separates(spark):
     assert all(kept[i] for i in range(60)) and not any(kept[100 + i] for i in range(12))
 
 
+def units_by_hand(text, least=5, reach=7):
+    """(begin, end, words as a tuple) of lines, sentences and pieces, one word after the other."""
+    out = []
+    for line in re.finditer(r"[^\n]+", text):
+        at = [(line.start() + m.start(), line.start() + m.end()) for m in WORD.finditer(line[0])]
+        w = [text[a:b].translate(LOWER) for a, b in at]
+        runs = [(0, len(w), line.start(), line.end())]
+        begin = 0
+        for i, x in enumerate(w):
+            if x[-1] in ".!?" or i + 1 == len(w):
+                runs.append((begin, i + 1, at[begin][0], at[i][1]))
+                begin = i + 1
+        hashes = spans.words(pa.array([" ".join(w)])).hash
+        mark = lines.marks(hashes).tolist() if len(w) > 1 else []
+        cuts = [i for i in range(reach, len(mark) - reach)
+                if all(mark[i] < mark[i - d] and mark[i] <= mark[i + d] for d in range(1, reach + 1))]
+        runs += [(i, j, at[i][0], at[j - 1][1]) for i, j in zip(cuts, cuts[1:])]
+        seen = set()
+        for i, j, a, b in runs:
+            if j - i >= least and (i, j) not in seen:
+                seen.add((i, j))
+                out.append((a, b, tuple(w[i:j])))
+    return out
+
+
 def test_lines(docs, rows):
-    got = {(r.doc_id, r.begin, r.end, r.keep_doc_id, r.keep_begin) for r in lines.repeats(docs).collect()}
-    first, all_units = {}, []
+    got = collections.Counter((r.doc_id, r.begin, r.end, r.words, r.keep_doc_id, r.keep_begin) for r in lines.repeats(docs).collect())
+    first, every, low = {}, [], -(1 << 63)
     for d, text, _, _ in rows:
-        for a, b, _, h in lines.units(text or ""):
-            all_units.append((d, a, b, h))
-            rank = (d if d is not None else -(1 << 63), a, d)
-            first[h] = min(first.get(h, rank), rank)
-    want = {(d, a, b, first[h][2], first[h][1]) for d, a, b, h in all_units if (d if d is not None else -(1 << 63), a) != first[h][:2]}
+        for a, b, w in units_by_hand(text or ""):
+            every.append((d, a, b, w))
+            rank = (low if d is None else d, a)
+            first[w] = min(first.get(w, (rank, d)), (rank, d), key=lambda x: x[0])
+    want = collections.Counter((d, a, b, len(w), first[w][1], first[w][0][1]) for d, a, b, w in every if (low if d is None else d, a) != first[w][0])
     assert got == want and want
     left = lines.without_repeats(docs)
     assert left.columns == docs.columns
@@ -116,6 +143,32 @@ def test_lines(docs, rows):
     assert again.count() == 0
 
 
+def test_repeats_go_back_to_their_own_rows(spark):
+    """Rows that share an id, or have none, lose only what they repeat themselves."""
+    shared = prose(80, 12, 9000)
+    clean = "completely other clean text whose words nobody else has at all in this table"
+    table = [(1, shared, "a", "s"), (2, f"intro words here\n{shared}\nand an end", "a", "s"), (2, clean, "a", "s"),
+             (None, f"{prose(81, 9, 9000)}\n{shared}", "a", "s"), (None, clean + " too", "a", "s"), (None, f"{prose(82, 9, 9000)}\n{shared}", "b", None)]
+    got = collections.Counter((r.doc_id, r.text) for r in lines.without_repeats(documents(spark, table)).collect())
+    # a missing id ranks first, so of the rows without one both keep the passage: it begins at equal places
+    assert got[2, clean] == 1 and got[None, clean + " too"] == 1
+    assert got[2, "intro words here\nand an end"] == 1 and not any(d == 1 for d, _ in got)
+    assert sum(shared in t for _, t in got) == 2
+
+
+def test_own_names(spark):
+    """Columns named like the inner ones of any operator pass through."""
+    names = sorted({"row", "hash", "at", "id", "cuts", "told", "chosen", "found", "word", "n", "x", "u", "v", "label", "place", "copies", "first", "rank",
+                    "keep_doc_id", "row_hash", "high", "low", "words", "lang_pred", "cuts_", "id_", "told_", "nth", "taken", "target", "sk", "epochs", "leaf", "rep"})
+    rows = [(i, f"{prose(i % 7, 30)}.\n{prose(1, 15)}", "ab"[i % 2], "s") for i in range(12)]
+    table = spark.createDataFrame([(*r, *("x" for _ in names)) for r in rows], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    for build in (lines.without_repeats, language.keep_known, mixing.mix, similarity.drop_near_copies):
+        out = build(table)
+        assert out.columns == table.columns and all(r[c] == "x" for r in out.collect() for c in names), build
+    for build in (lines.repeats, language.language_report, mixing.mix_report, quality.quality_report, sharding.shard, similarity.components, scoring.score, packing.pack):
+        assert build(table).count() > 0, build
+
+
 def test_passage_inside_lines(spark):
     passage = " ".join(f"{prose(k, 12, 9000)}." for k in range(5))
     table = documents(spark, [(1, f"{prose(50, 30)} {passage} {prose(51, 30)}", "a", "s"), (2, f"{prose(52, 30)}. {passage} {prose(53, 30)}", "a", "s"),
