@@ -6,8 +6,9 @@ Families are told apart one versus the rest, languages of a family one versus on
 loss. They are fitted on at most PER_LANGUAGE labelled documents per language, those of smallest id hash.
 
 Defined cases: null text or text without a letter is `und` with score 0; so is everything where nothing was learned; a single
-learned language takes all other texts with score 1; repeated rows are judged alike; an empty table gives no rows; other
-columns pass through `identified` untouched.
+learned language takes all other texts with score 1; very long texts are a slice of their own; ties between languages go to the first in
+order; repeated rows are judged alike; an empty table gives no rows; other
+columns pass through `keep_known` untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ are accumulated per source over its at most some 30 000 buckets, and only the on
 The outcome is one cut (key, id) per source, so the decision for a document needs no join by document.
 
 Defined cases: null text has no words and weight 1; a null source is a source, ranked last; documents of equal key and id
-(repeated rows) are taken or left together; a document without words is never taken; an empty table gives no rows; other
+(repeated rows) are taken or left together; a document without words is never taken; texts of any length are counted whole; an empty table gives no rows; other
 columns pass through `mix` untouched, except that its own output names are replaced.
 """
 

@@ -7,7 +7,7 @@ single row of higher-order functions. The posterior per pattern joins back to th
 Model: class y with prior p; a rule with accuracy a votes y with probability a when it votes, independently. Accuracies stay
 within [0.55, 0.99], so that rules never turn around, under a Beta(9, 1) prior; abstaining says nothing. A document without any vote has posterior p.
 
-Defined cases: null or empty text has no words and fails the base rules; repeated rows are judged alike; an empty table gives
+Defined cases: null or empty text has no words and fails the base rules; texts of any length are judged whole; ties do not matter; repeated rows are judged alike; an empty table gives
 no rows; other columns are ignored by the report and pass through `keep_good`.
 """
 

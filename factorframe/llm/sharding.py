@@ -7,7 +7,7 @@ capacities live in a balanced search tree. A group that fits nowhere goes to the
 is given; a group above the fair share (a third of all rows, say) stays whole in a shard of its own size and the others
 share the rest evenly.
 
-Defined cases: null text is an empty text of 8 bytes; repeated rows are separate rows of one group; ties are packed by digest;
+Defined cases: null text is an empty text of 8 bytes; a very long text is a large group; repeated rows are separate rows of one group; ties are packed by digest;
 an empty table gives no rows; other columns are ignored.
 """
 

@@ -3,7 +3,8 @@
 1. One pass over the texts gives each document its set of hashed shingles, reduced to a digest of the set, a pool of minwise
    tokens and the leaves it reaches in independent random trees. A tree node is a path of chosen tokens; at each node one pool
    place is chosen by the path's hash, and with probability 1 / threshold - 1 a second one, so a pair at the threshold is
-   expected to stay together about once. With 16 trees of depth 5 a pair at 0.85 is missed about once in a million.
+   expected to stay together about once. All trees of a document share its pool of minwise tokens, so misses are not independent;
+   measured with 16 trees of depth 5 on 300 000 pairs each: none missed at 0.85, 11 at 0.80 (threshold 0.80).
 2. Equal sets are one class (its smallest doc_id stands for it), so copies never meet as pairs.
 3. Classes that share a leaf belong to one block (connected components of class and leaf). Only blocks of two or more need
    their sets; a second pass ships each such set once, to its block. Within a block, rare tokens index the sets, a breadth-first
@@ -12,7 +13,8 @@
    component, every pair of chunks across components is compared, so no link is lost and no task exceeds twice the limit.
 
 Defined cases: null text, or text without words: empty set, linked with nothing, its own component; fewer words than a shingle:
-the whole sequence is the one shingle; rows that share a doc_id are one document for labels; a null doc_id is never linked and
+the whole sequence is the one shingle; very long texts are a slice of their own; ties between equal sets go to the smallest doc_id;
+rows that share a doc_id are one document for labels; a null doc_id is never linked and
 has a null component and kept = false; an empty table gives no rows; other columns are ignored.
 """
 
