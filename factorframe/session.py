@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # one Window node can hold a few dozen aggregates; let generated code grow with it
     "spark.sql.codegen.maxFields": "400",
+    # the virtual machine never compiles methods above 8000 bytes; operators that need one are better run with their expressions split
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
