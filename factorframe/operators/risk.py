@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from factorframe.functions import rolling as R
 from factorframe.functions.factors import momentum_12_1
 from factorframe.operators.linear import moments, solve, systems
-from factorframe.operators.ordering import date_sized
 from factorframe.operators.significance import newey_west
 
 STYLES = ("size", "value", "momentum", "volatility", "quality")
