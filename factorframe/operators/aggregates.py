@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorframe.operators.ordering import date_sized, first_k, group_quantiles
+from factorframe.operators.sketches import sketch, sketch_quantiles
 
 TRADING_DAYS = 252
 SNAPSHOT_COLUMNS = ("pct_chg", "amount", "volume", "turnover_rate", "amplitude")
@@ -76,8 +77,14 @@ def distinct_dates(panel: DataFrame, approximate: bool = False) -> DataFrame:
     return panel.agg(count.alias("n_dates"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-def quantile_edges(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Exact interpolated quantiles of each column: feature, q0, q1, ..., n_values."""
+def quantile_edges(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], approximate: bool = False) -> DataFrame:
+    """Interpolated quantiles of each column: feature, q0, q1, ..., n_values.
+
+    Exact, or from one sketch per column within sketches.rank_error, which needs no order of the values.
+    """
+    if approximate:
+        found = sketch_quantiles(sketch(df, [], columns), probabilities)
+        return found.select("feature", *[f"q{i}" for i in range(len(probabilities))], F.col("n").alias("n_values"))
     long = df.select(*columns).unpivot([], list(columns), "feature", "value")
     return group_quantiles(long, ["feature"], "value", {f"q{i}": p for i, p in enumerate(probabilities)})
 

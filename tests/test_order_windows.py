@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factorframe.operators import sketches as S
+from factorframe.operators.aggregates import quantile_edges
 from factorframe.operators.order_windows import CountTree, walked_quantile, window_quantile
 
 
@@ -74,6 +75,11 @@ def test_sketch_error_bound(spark, shape):
     low, high = np.searchsorted(ordered, at) / n, np.searchsorted(ordered, at, side="right") / n
     error = np.maximum(0, np.maximum(low - probabilities, probabilities - high))
     assert error.max() <= S.rank_error(many=True)
+    edges = quantile_edges(df, ["x"], probabilities, approximate=True)
+    assert edges.columns == ["feature", *[f"q{i}" for i in range(len(probabilities))], "n_values"]
+    at = np.array([edges.first()[f"q{i}"] for i in range(len(probabilities))])
+    low, high = np.searchsorted(ordered, at) / n, np.searchsorted(ordered, at, side="right") / n
+    assert np.maximum(low - probabilities, probabilities - high).max() <= S.rank_error(many=True)
     calendar = spark.createDataFrame([(d, d) for d in range(40)], "date int, idx int")
     rolling = {r_.date: r_.n for r_ in S.trailing(daily, calendar, 5).collect()}
     assert all(rolling[d] == ((day <= d) & (day > d - 5)).sum() for d in range(40))
