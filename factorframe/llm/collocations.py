@@ -92,10 +92,8 @@ def numbered_words(cut: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     each = cut.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "w")).select(
         "lang", F.col("w.words").alias("word"), "block", "place", F.col("w.counts").alias("n"))
     same = Window.partitionBy("lang", "word")
-    # number of a row in its task, then of the task: small numbers, which pack well in later shuffles
-    tasks, row = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.monotonically_increasing_id()
-    number = row.bitwiseAND(F.lit((1 << 33) - 1)) * max(tasks, 4096) + F.shiftright(row, 33) + 1
-    met = each.repartition(tasks, "lang", "word").withColumn("at", number).select(
+    tasks = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = each.repartition(tasks, "lang", "word").withColumn("at", F.monotonically_increasing_id() + 1).select(
         "lang", "word", "block", "place", "at", F.min("at").over(same).alias("id"), F.sum("n").over(same).alias("f")).where(F.col("f") >= least)
     spelled = F.when(F.col("at") == F.col("id"), F.struct("lang", "word", "f"))
     placed = stage(met.select("block", "place", "id", spelled.alias("w")))
