@@ -34,9 +34,11 @@ fl AS MATERIALIZED (
 
 
 def factor_frame(t):
-    """The ten factors and the label: two window passes over one exchange, written once for the branches that read them."""
+    """The ten factors and the label: two window passes over one exchange, written once for the branches and callers that read them."""
+    if "factor_frame" in t.__dict__:
+        return t.__dict__["factor_frame"]
     base = t.week.withColumn("ret", R.pct_change("close", 1))
-    return materialize(base.select(
+    t.__dict__["factor_frame"] = materialize(base.select(
         "code",
         "date",
         R.pct_change("close", 5).alias("roc_5"),
@@ -51,6 +53,7 @@ def factor_frame(t):
         R.mean("volume", 10).alias("vma_10"),
         forward_return("close", 4).alias("label"),
     ))
+    return t.__dict__["factor_frame"]
 
 
 @query("daily_rank_ic", {"date": "date", "ic": 8, "n": "int"}, with_ctes("ic") + "SELECT * FROM ic")

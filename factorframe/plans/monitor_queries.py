@@ -114,6 +114,7 @@ def importance_stability(t):
       CASE WHEN stability > 0.7 THEN 'stable' WHEN stability > 0.5 THEN 'warning' ELSE 'critical' END AS status FROM st""",
 )
 def drift_report(t):
+    t.keep("week")  # factors and scores both start there
     table = D.psi(*_halves(t), FACTORS).withColumn(
         "drift_level", F.when(F.col("psi") < 0.1, "low").when(F.col("psi") < 0.25, "moderate").otherwise("significant")
     )
