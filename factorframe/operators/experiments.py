@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorframe.operators.ic import icir_summary, rank_ic, unpivot_features
+from factorframe.operators.ic import icir_summary, rank_ics
 from factorframe.operators.ordering import first_k
 from factorframe.operators.significance import benjamini_hochberg, bonferroni
 
@@ -61,8 +61,8 @@ def corrected_significance(records: DataFrame, method: str = "fdr_bh", alpha: fl
 
 def compare_variants(df: DataFrame, variants: Sequence[str], label: str = "label", max_lags: int | None = None) -> DataFrame:
     """IC summary of every variant (a score column), with the one of largest ICIR marked."""
-    long = unpivot_features(df.where(F.col(label).isNotNull()), variants, ["date", label])
-    table = icir_summary(rank_ic(long, ["feature", "date"], "value", label), ["feature"], max_lags).withColumnRenamed("feature", "variant")
+    daily = rank_ics(df, ["date"], {v: F.col(v) for v in variants}, label, name="variant").where(F.col("ic").isNotNull())
+    table = icir_summary(daily, ["variant"], max_lags)
     best = F.max_by("variant", "icir").over(Window.partitionBy(F.lit(0)))  # one row per variant
     return table.withColumn("winner", F.col("variant") == best)
 
@@ -73,8 +73,8 @@ def compare_experiments(df: DataFrame, experiments: Mapping[str, Sequence[str]],
     A variant that several experiments share is ranked once. The winner has the largest ICIR of its experiment; ties go to the first name.
     """
     variants = sorted({v for group in experiments.values() for v in group})
-    long = unpivot_features(df.where(F.col(label).isNotNull()), variants, ["date", label])
-    table = icir_summary(rank_ic(long, ["feature", "date"], "value", label), ["feature"], max_lags).withColumnRenamed("feature", "variant")
+    daily = rank_ics(df, ["date"], {v: F.col(v) for v in variants}, label, name="variant").where(F.col("ic").isNotNull())
+    table = icir_summary(daily, ["variant"], max_lags)
     members = [(e, v) for e, group in experiments.items() for v in group]
     both = table.join(F.broadcast(df.sparkSession.createDataFrame(members, "experiment string, variant string")), "variant")  # a row per member
     place = F.row_number().over(Window.partitionBy("experiment").orderBy(F.desc_nulls_last("icir"), "variant"))
@@ -119,7 +119,7 @@ def sweep_windows(panel: DataFrame, column: str, windows: Sequence[int], label:
         return F.when(known == n, -(F.col("_x") / mean - 1))
 
     wide = upto.select("date", "label", *[score(n).alias(str(n)) for n in windows]).where(F.col("label").isNotNull())
-    long = wide.unpivot(["date", "label"], [F.col(f"`{n}`") for n in windows], "_length", "score").withColumn("length", F.col("_length").cast("int"))
-    table = icir_summary(rank_ic(long, ["length", "date"]), ["length"], max_lags)
+    daily = rank_ics(wide, ["date"], {str(n): F.col(f"`{n}`") for n in windows}, name="_length").where(F.col("ic").isNotNull())
+    table = icir_summary(daily.select(F.col("_length").cast("int").alias("length"), "date", "ic"), ["length"], max_lags)
     best = F.max_by("length", "icir").over(Window.partitionBy(F.lit(0)))  # one row per window
     return table.withColumn("best", F.col("length") == best)

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from factorframe.functions.stats import correlation
 from factorframe.operators.labels import forward_return, quantile_grades
-from factorframe.operators.ordering import average_ranks, date_sized, first_k, group_median
+from factorframe.operators.ordering import average_ranks, date_sized, first_k, group_median, match
 from factorframe.operators.significance import newey_west
+from factorframe.session import materialize
 
 MIN_NAMES = 3
 MIN_POOLED = 10
@@ -27,6 +33,109 @@ def align(scores: DataFrame, labels: DataFrame, on: Sequence[str] = ("date", "co
     return scores.join(labels, list(on)).where(F.col("score").isNotNull() & F.col("label").isNotNull())
 
 
+# A group of up to this many numbers is ranked in one task; larger ones go by pieces (ordering.average_ranks).
+CELLS_PER_GROUP = 1 << 24
+RANKED_TYPES = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _average_ranks(x: np.ndarray) -> np.ndarray:
+    """Average-tie ranks; NaN ties with NaN above all numbers, as in Spark's order."""
+    order = np.argsort(x)
+    ascending = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    if x.dtype.kind == "f":
+        new[1:] &= ~(np.isnan(ascending[1:]) & np.isnan(ascending[:-1]))
+    first = np.flatnonzero(new)
+    copies = np.diff(np.append(first, len(x)))
+    ranks = np.empty(len(x))
+    ranks[order] = np.repeat(first + (copies + 1) / 2, copies)
+    return ranks
+
+
+def _spearman(x: np.ndarray, y: np.ndarray) -> float | None:
+    x, y = x - x.mean(), y - y.mean()
+    spread = np.sqrt(x @ x) * np.sqrt(y @ y)
+    return float(x @ y / spread) if spread > 0 else None
+
+
+def _group_ics(table: pa.Table, n_scores: int) -> tuple[list[int], list[float | None], list[int]]:
+    """Number, correlation and row count of each score of one group against its label, over the rows that have both."""
+    columns = [table.column(i).combine_chunks() for i in range(n_scores + 1)]  # the label is the last
+    known = [np.asarray(c.is_valid()) for c in columns]
+    values = [np.asarray(pc.fill_null(c, 0)) for c in columns]
+    whole = None
+    places, ics, counts = [], [], []
+    for i in range(n_scores):
+        both = known[i] & known[-1]
+        n = int(both.sum())
+        if n == 0:
+            continue
+        if n == len(both):
+            whole = _average_ranks(values[-1]) if whole is None else whole
+            labels = whole
+        else:
+            labels = _average_ranks(values[-1][both])
+        places.append(i)
+        ics.append(_spearman(_average_ranks(values[i][both]), labels))
+        counts.append(n)
+    return places, ics, counts
+
+
+def rank_ics(
+    rows: DataFrame, by: Sequence[str], scores: Mapping[str, Column], label: str = "label", min_names: int = MIN_NAMES,
+    name: str = "feature", cells: int = CELLS_PER_GROUP,
+) -> DataFrame:
+    """Spearman correlation per group of several scores of the same rows with one label: name, by..., ic, n.
+
+    Rows move once, with all their scores, and one task ranks a group. It stops taking in a group of over `cells` numbers and marks it;
+    marked groups then go the way of large groups, by pieces. Inputs other than plain numbers go that way at once.
+    """
+    keys, names = list(by), list(scores)
+    narrow = rows.select(*keys, *[c.alias(f"_s{i}") for i, c in enumerate(scores.values())], F.col(label).alias("_label")).where(
+        F.col("_label").isNotNull())
+    inputs = [f"_s{i}" for i in range(len(names))]
+    types = dict(narrow.dtypes)
+    called = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_place") + 1).alias(name)
+    shown = [called, *keys, F.round("ic", 12).alias("ic"), "n"]
+
+    def by_pieces(part: DataFrame) -> DataFrame:
+        long = part.select(*keys, "_label", F.posexplode(F.array(*inputs)).alias("_place", "_score")).where(F.col("_score").isNotNull())
+        group = ["_place", *keys]
+        ranked = average_ranks(long.select(*group, "_score", "_label"), group, {"_score": "_x", "_label": "_y"})
+        return ranked.groupBy(*group).agg(_rank_correlation("_x", "_y").alias("ic"), F.count(F.lit(1)).alias("n"))
+
+    if any(types[c] not in RANKED_TYPES for c in (*inputs, "_label")):
+        found = by_pieces(narrow)
+    else:
+        limit = max(1, cells // (len(inputs) + 1))
+        key_types = [to_arrow_type(narrow.schema[k].dataType) for k in keys]
+        wanted = [*inputs, "_label"]
+
+        def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kept, taken = [], 0
+            for batch in batches:
+                taken += batch.num_rows
+                if taken <= limit:
+                    kept.append(batch.select(wanted))
+                else:
+                    kept = []
+            places, ics, counts = ([-1], [None], [taken]) if taken > limit else _group_ics(pa.Table.from_batches(kept), len(inputs))
+            fixed = [pa.array([k.as_py()] * len(places), t) for k, t in zip(key, key_types)]
+            yield pa.RecordBatch.from_arrays(
+                [*fixed, pa.array(places, pa.int32()), pa.array(ics, pa.float64()), pa.array(counts, pa.int64())],
+                names=[*keys, "_place", "ic", "n"])
+
+        schema = T.StructType([*[narrow.schema[k] for k in keys], T.StructField("_place", T.IntegerType()),
+                               T.StructField("ic", T.DoubleType()), T.StructField("n", T.LongType())])
+        every = materialize(narrow.groupBy(*keys).applyInArrow(run, schema))  # a row per group and score
+        found, marked = every.where("_place >= 0"), every.where("_place < 0")
+        if not marked.isEmpty():
+            large = match(narrow, F.broadcast(marked.select(*keys, F.lit(1).alias("_large"))), keys, "inner").drop("_large")
+            found = found.unionByName(by_pieces(large).select(*keys, "_place", "ic", "n"))
+    return found.select(*shown).where((F.col("n") >= min_names))
+
+
 def rank_ic(
     pairs: DataFrame,
     by: Sequence[str],
@@ -39,13 +148,10 @@ def rank_ic(
 
     legacy_scale multiplies by (n-1)/n and reports constant input as 0.
     """
-    rows = pairs.select(*by, score, label).where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ranked = average_ranks(rows, list(by), {score: "_rank_score", label: "_rank_label"})
-    n = F.count(F.lit(1))
-    out = ranked.groupBy(*by).agg(_rank_correlation("_rank_score", "_rank_label").alias("ic"), n.alias("n"))
+    out = rank_ics(pairs, by, {score: F.col(score)}, label, min_names, "_name").drop("_name")
     if legacy_scale:
         out = out.withColumn("ic", F.coalesce(F.col("ic") * (F.col("n") - 1) / F.col("n"), F.lit(0.0)))
-    return out.where((F.col("n") >= min_names) & F.col("ic").isNotNull())
+    return out.where(F.col("ic").isNotNull())
 
 
 def daily_rank_ic(scores: DataFrame, labels: DataFrame | None = None, **options) -> DataFrame:
@@ -129,11 +235,14 @@ def stratified_ic(pairs: DataFrame, group: str, min_group: int = 11, min_total:
 
 
 def stratified_ic_numeric(pairs: DataFrame, value: str, bins: int = 5, **limits: int) -> DataFrame:
-    """Pooled rank IC per quantile bin (0 = lowest) of a numeric column over all rows."""
-    rows = pairs.where(
+    """Pooled rank IC per quantile bin (0 = lowest) of a numeric column over all rows.
+
+    Rows and grades are written once: edges and ranks take several passes each, and none repeats what pairs are made of.
+    """
+    rows = materialize(pairs.select(value, "score", "label").where(
         F.col(value).isNotNull() & F.col("score").isNotNull() & F.col("label").isNotNull()
-    )
-    binned = quantile_grades(rows, [], value, bins, small_group=None)
+    ))
+    binned = materialize(quantile_grades(rows, [], value, bins, small_group=None).select("score", "label", "grade"))
     return stratified_ic(binned, "grade", **limits)
 
 
@@ -166,8 +275,7 @@ def unpivot_features(df: DataFrame, features: Sequence[str], keep: Sequence[str]
 
 def factor_ic(df: DataFrame, features: Sequence[str], label: str = "label", min_names: int = MIN_NAMES) -> DataFrame:
     """Daily rank IC of every feature at once: feature, date, ic, n."""
-    long = unpivot_features(df.where(F.col(label).isNotNull()), features, ["date", label])
-    return rank_ic(long, ["feature", "date"], "value", label, min_names)
+    return rank_ics(df, ["date"], {f: F.col(f) for f in features}, label, min_names).where(F.col("ic").isNotNull())
 
 
 def factor_ic_table(df: DataFrame, features: Sequence[str], label: str = "label", max_lags: int | None = None) -> DataFrame:

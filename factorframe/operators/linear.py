@@ -8,12 +8,16 @@ fold or model, whatever the panel holds.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from factorframe.operators.ic import icir_summary, rank_ic
+from factorframe.operators.ic import icir_summary, rank_ic, rank_ics
 from factorframe.operators.ordering import ROWS_PER_PIECE
 from factorframe.session import materialize
 
@@ -43,6 +47,38 @@ def moments(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataF
     )
 
 
+def group_moments(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The columns of `moments` for groups that one task can walk, such as dates, by matrix products per batch of rows.
+
+    Dozens of covariance aggregates in one node are not compiled. Batches merge as partial aggregates do, so a task holds one batch.
+    """
+    k = len(columns)
+    narrow = complete(rows, columns).select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
+    key_types = [to_arrow_type(narrow.schema[c].dataType) for c in by]
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, products = 0, np.zeros(k), np.zeros((k, k))
+        for batch in batches:
+            m = batch.num_rows
+            if m == 0:
+                continue
+            x = np.column_stack([np.asarray(batch.column(f"_x{i}")) for i in range(k)])
+            near = x - x[0]  # exactly zero for a flat column
+            shift = near.mean(axis=0)
+            near = near - shift
+            away = x[0] + shift - mean
+            products = products + near.T @ near + (np.outer(away, away) * (n * m / (n + m)) if n else 0.0)
+            mean, n = (mean + away * (m / (n + m)) if n else x[0] + shift), n + m
+        cells = [n, *mean, *[products[i, j] for i, j in _pairs(k)]]
+        arrays = [*[pa.array([v.as_py()], t) for v, t in zip(key, key_types)], pa.array([n], pa.int64()), *[pa.array([float(v)]) for v in cells[1:]]]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    numbers = [*[f"_m{i}" for i in range(k)], *[f"_c{i}_{j}" for i, j in _pairs(k)]]
+    names = [*by, "n", *numbers]
+    schema = T.StructType([*[narrow.schema[c] for c in by], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in numbers]])
+    return narrow.groupBy(*by).applyInArrow(run, schema)
+
+
 def pooled(parts: DataFrame, by: Sequence[str], k: int) -> DataFrame:
     """Moments of several groups taken together. parts: rows of `moments` with the columns of by."""
     totals = parts.groupBy(*by).agg(F.sum("n").alias("_n"), *[(F.sum(F.col("n") * F.col(f"_m{i}")) / F.sum("n")).alias(f"_whole{i}") for i in range(k)])
@@ -114,8 +150,16 @@ def predict(rows: DataFrame, models: DataFrame, features: Sequence[str], on: Seq
     """rows x models of equal `on`, with the model's score. models: a bounded table (folds x trials) of `solve`."""
     small = F.broadcast(models)
     both = rows.join(small, list(on)) if on else rows.crossJoin(small)
-    terms = F.zip_with(F.array(*[F.col(f).cast("double") for f in features]), "coefficients", lambda x, b: F.coalesce(x * b, F.when(b.isNull(), 0.0)))
-    return both.withColumn(name, F.aggregate(terms, F.col("intercept"), lambda s, x: s + x))
+    return both.withColumn(name, linear_score(features, F.col("coefficients"), F.col("intercept")))
+
+
+def linear_score(features: Sequence[str], coefficients: Column, intercept: Column) -> Column:
+    """Plain arithmetic, which is compiled: a function over arrays would be interpreted for every row."""
+    score = intercept
+    for i, f in enumerate(features):
+        b = F.get(coefficients, F.lit(i))
+        score = score + F.coalesce(F.col(f).cast("double") * b, F.when(b.isNull(), 0.0))
+    return score
 
 
 def ridge_train_score(rows: DataFrame, features: Sequence[str], train: Column, test: Column, label: str = "label", penalty: float = 0.0) -> DataFrame:
@@ -139,7 +183,7 @@ def fold_models(rows: DataFrame, features: Sequence[str], splits: DataFrame, tri
     splits: fold, date, role as the splitters of crossval give them.
     """
     k = len(features)
-    daily = moments(rows, ["date"], [*features, label])
+    daily = group_moments(rows, ["date"], [*features, label])
     train = F.broadcast(splits.where(F.col("role") == "train").select("fold", "date"))
     system = systems(pooled(materialize(daily).join(train, "date"), ["fold"], k + 1), ["fold"], k)
     every = system.crossJoin(F.broadcast(trials))  # folds x trials
@@ -210,10 +254,8 @@ def permutation_importance(
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     values = F.struct(*features)
     moved = placed.withColumn("_next", F.coalesce(F.lead(values).over(order), F.first(values).over(whole)))
-    changed = [F.struct(F.lit(f).alias("feature"), (F.col("score") + F.coalesce(F.col("coefficients")[i], F.lit(0.0)) * (F.col("_next")[f] - F.col(f))).alias("score"))
-               for i, f in enumerate(features)]
-    every = F.array(F.struct(F.lit("").alias("feature"), F.col("score")), *changed)
-    ic = rank_ic(moved.select("fold", "date", label, F.inline(every)), ["fold", "feature", "date"], label=label)
+    changed = {f: F.col("score") + F.coalesce(F.col("coefficients")[i], F.lit(0.0)) * (F.col("_next")[f] - F.col(f)) for i, f in enumerate(features)}
+    ic = rank_ics(moved, ["fold", "date"], {"": F.col("score"), **changed}, label).where(F.col("ic").isNotNull())
     means = materialize(ic.groupBy("fold", "feature").agg(F.avg("ic").alias("_ic")))
     base = means.where("feature = ''").select("fold", F.col("_ic").alias("_base"))
     return means.where("feature <> ''").join(F.broadcast(base), "fold").select("fold", "feature", (F.col("_base") - F.col("_ic")).alias("importance"))

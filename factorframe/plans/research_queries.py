@@ -25,6 +25,7 @@ from factorframe.plans.portfolio_queries import styles, targets
 from factorframe.plans.registry import query
 from factorframe.plans.sql import ICIR_COLUMNS, sql_icir, sql_rank_ic, sql_ranks, sql_score, sql_solved, sql_system
 from factorframe.plans.testbed import with_ctes
+from factorframe.session import materialize
 from factorframe.sources import writers as OUT
 from factorframe.streaming import bars as Z
 
@@ -182,7 +183,7 @@ _TABLES = with_ctes("wk", "sl", "ic", "bench", extra=FACTOR_CTE + ",\n" + PSI_CT
 def write_report_tables(t):
     """IC, drift and regime tables written as CSV and JSON in one folder, and read back."""
     folder = scratch(t.spark)
-    ic = daily_rank_ic(t.scored)
+    ic = daily_rank_ic(t.keep("week").scored)
     rows = factor_frame(t).drop("label")
     cut = F.lit(SPLIT).cast("date")
     drift = D.psi_table(rows.where(F.col("date") < cut), rows.where(F.col("date") >= cut), FACTORS)
@@ -277,8 +278,8 @@ _SEARCH = recursive(with_ctes("wk", "cal", extra=FOLDS_CTE + ", " + _FIT_ROWS +
 
 
 def _search_inputs(t):
-    rows = model_rows(t)
-    return rows, _MODEL_FEATURES, C.purged_kfold(t.calendar, 5, 20), L.trial_table(t.spark, _MODEL_FEATURES, _PENALTIES, _SUBSETS)
+    rows = model_rows(t.keep("week"))  # the calendar starts there too
+    return rows, _MODEL_FEATURES, materialize(C.purged_kfold(t.calendar, 5, 20)), L.trial_table(t.spark, _MODEL_FEATURES, _PENALTIES, _SUBSETS)
 
 
 @query(
@@ -350,9 +351,10 @@ cc AS MATERIALIZED (SELECT code, date, feature, value, b * (value - m) AS contri
 
 
 def contributions(t):
-    rows = styles(t).join(t.week.select("code", "date", forward_return("close", 4).alias("label")), ["code", "date"]).where(
+    t.keep("week")  # styles and labels both start there
+    rows = materialize(styles(t).join(t.week.select("code", "date", forward_return("close", 4).alias("label")), ["code", "date"]).where(
         F.col("label").isNotNull()
-    )
+    ))
     return M.linear_contributions(rows, _CONTRIB_FEATURES, M.univariate_coefficients(rows, _CONTRIB_FEATURES))
 
 
