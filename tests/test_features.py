@@ -5,8 +5,10 @@ import datetime
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from factorframe.functions import factors as X
+from factorframe.plans.registry import rounded
 
 
 def two_pass(panel, windows):
@@ -84,3 +86,36 @@ def test_any_window_takes_few_steps(windows):
     assert len(built) == len(set(built)) and set(windows) <= set(built)
     assert len(built) <= len(windows) * 2 * max(windows).bit_length()
     assert X.window_steps((5, 10, 20, 30, 60)) == [(5, 5, 0), (10, 5, 5), (20, 10, 10), (30, 20, 10), (60, 30, 30)]
+
+
+def test_features_do_not_depend_on_batches(spark):
+    """Batches end inside codes; the rows a window needs are carried on. Every factor of all windows comes from one pass over the rows."""
+    r = np.random.default_rng(6)
+    first = datetime.date(2020, 1, 1)
+    rows = [(code, first + datetime.timedelta(days=i), *[float(x) for x in 10 + r.random(4)], float(r.integers(0, 9)), float(r.integers(1, 99)))
+            for code, n in (("a", 70), ("b", 3), (None, 40), ("c", 25)) for i in range(n)]
+    df = spark.createDataFrame(rows, "code string, date date, open double, high double, low double, close double, volume double, amount double")
+    out = X.features(df, (5, 20))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Window [") <= 8  # one window pass a window length before, and more
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    size = spark.conf.get(key)
+    whole = {(x.code, x.date): x for x in out.collect()}
+    spark.conf.set(key, "4")
+    try:
+        cut = {(x.code, x.date): x for x in X.features(df, (5, 20)).collect()}
+    finally:
+        spark.conf.set(key, size)
+    assert len(whole) == len(rows) and cut == whole
+    assert sum(x.std_20 is not None for x in whole.values()) == (70 - 20) + (40 - 20) + (25 - 20)
+    assert whole["b", first].roc_5 is None and any(x.vroc_5 is None and x.roc_5 is not None for x in whole.values())  # volume 0
+
+
+def test_rounded_is_round(spark):
+    r = np.random.default_rng(7)
+    numbers = [0.0, -0.0, 0.5, 2.5, -2.5, 1.005, 2.675, -1.0000005, 1e-9, 1e13, 123456789.1234565, 1e300, float("nan"), float("inf"), None,
+               *[k / 2e6 for k in range(-60, 60)], *(r.normal(size=3000) * 10.0 ** r.integers(-8, 12, 3000)).tolist(),
+               *(r.integers(-10**9, 10**9, 2000) / 1e7).tolist(), *((r.integers(-10**6, 10**6, 2000) + 0.5) / 1e4).tolist()]
+    df = spark.createDataFrame([(x,) for x in numbers], "x double").withColumns(
+        {f"{kind}{d}": f("x", d) for d in (0, 4, 6, 9) for kind, f in (("a", lambda x, d: rounded(F.col(x), d)), ("b", F.round))})
+    wrong = df.where(" OR ".join(f"NOT a{d} <=> b{d}" for d in (0, 4, 6, 9)))
+    assert wrong.collect() == []
