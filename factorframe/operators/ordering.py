@@ -90,16 +90,14 @@ def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_pie
     )
 
 
+POWERS = [1 << i for i in reversed(range(31))]
+
+
 def _below(cuts: Column, value: Column) -> Column:
-    """How many of the sorted cuts are below value, by bisection."""
-    def halve(s: Column, _: Column) -> Column:
-        middle = F.shiftright(s["low"] + s["high"], 1)
-        lower = F.get(cuts, middle) < value
-        return F.when(s["low"] < s["high"], F.struct(
-            F.when(lower, middle + 1).otherwise(s["low"]).alias("low"), F.when(lower, s["high"]).otherwise(middle).alias("high"))).otherwise(s)
-
-    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high")), halve, lambda s: s["low"])
+    """How many of the sorted cuts are below value, by bisection: steps of falling powers of two, none past the last cut below."""
+    bits = F.greatest(F.lit(1), F.ceil(F.log2(F.size(cuts) + 1)).cast("int"))
+    steps = F.slice(F.array(*[F.lit(p) for p in POWERS]), -bits, bits)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(cuts, at + step - 1) < value, at + step).otherwise(at))
 
 
 def _row_cuts(df: DataFrame, group: Sequence[str], columns: Sequence[str], rows_per_piece: int) -> DataFrame | None:

@@ -126,7 +126,7 @@ def cs_rank_avg(t):
 )
 def cs_rank_split(t):
     """The same ranks by the plan for large inputs: ties collapsed, groups cut into pieces of 20 distinct values."""
-    return average_ranks(t.week, ["date"], {"volume": "rank"}, rows_per_piece=20)
+    return average_ranks(t.keep("week").week, ["date"], {"volume": "rank"}, rows_per_piece=20)
 
 
 @query(

@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from factorframe.operators import ordering as O
 
@@ -82,3 +83,23 @@ def test_first_k_beyond_the_pruned_limit(spark):
     for g, part in got.groupby("g"):
         want = sorted((i * 7919) % 5003 for i in range(5000) if i % 2 == g)[:1500]
         assert part.sort_values("rank")["v"].tolist() == want and part["rank"].max() == 1500
+
+
+def test_bisection_counts_cuts_below(spark):
+    """Every number of cuts, values on, between and outside them, NaN above all, null below all; no structure is built per step."""
+    rows = [([2.0 * i for i in range(n)], float(v)) for n in range(10) for v in (-1, 0, 1, 2, 5, 6, 17, 18, 19, "nan")] + [([1.0], None), ([], 3.0)]
+    out = spark.createDataFrame(rows, "cuts array<double>, value double").select("*", O._below(F.col("cuts"), F.col("value")).alias("n"))
+    for r in out.collect():
+        assert r.n == sum(r.value is not None and (r.value != r.value or c < r.value) for c in r.cuts), r
+    assert "struct" not in str(O._below(F.col("cuts"), F.col("value")))
+
+
+def test_rank_by_pieces_reads_trades_once(spark, tmp_path):
+    """All passes of the ranks start at the weekly panel as written, not at the trades."""
+    from factorframe.plans.catalogue import REGISTRY
+
+    spark.sql("""SELECT id AS l_orderkey, 1 AS l_linenumber, id AS l_partkey, id % 50 AS l_suppkey, 1.0D + id % 7 AS l_quantity, 10.0D * (1 + id % 9)
+        AS l_extendedprice, timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id % 21 AS int)) AS l_shipdate FROM range(2000)"""
+              ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = REGISTRY["cs_rank_split"].run(spark, str(tmp_path))
+    assert out.count() > 100 and not [f for f in out.inputFiles() if "lineitem" in f]
