@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from factorframe.operators.ic import icir_summary, rank_ic, rank_ics
+from factorframe.operators.ic import icir_summary, rank_ics
 from factorframe.operators.ordering import ROWS_PER_PIECE
 from factorframe.session import materialize
 
@@ -190,18 +190,27 @@ def fold_models(rows: DataFrame, features: Sequence[str], splits: DataFrame, tri
     return solve(every, k, F.col("penalty"), F.col("allowed")).select("fold", "trial", "penalty", "subset", "n", "coefficients", "intercept")
 
 
-def fold_scores(rows: DataFrame, models: DataFrame, features: Sequence[str], splits: DataFrame, label: str = "label") -> DataFrame:
-    """trial, date, label, score of the test rows: each date scored by the models of the fold that tests it."""
+def trial_ics(rows: DataFrame, models: DataFrame, features: Sequence[str], splits: DataFrame, label: str = "label") -> DataFrame:
+    """trial, date, ic, n of the test rows: each date scored by the models of the fold that tests it.
+
+    A row carries the scores of all trials side by side, so rows move once for all of them and a date's labels are ranked once.
+    """
+    trials = sorted(r["trial"] for r in models.select("trial").distinct().collect())  # a row per trial
+    if not trials:
+        return rank_ics(rows.crossJoin(models.select("trial")), ["trial", "date"], {"": F.lit(0.0)}, label).drop("feature")
+    one = [F.first(F.when(F.col("trial") == t, F.struct("coefficients", "intercept")), ignorenulls=True).alias(f"_trial{t}") for t in trials]
+    by_fold = F.broadcast(models.groupBy("fold").agg(*one))  # a row per fold
     dates = F.broadcast(splits.where(F.col("role") == "test").select("fold", "date"))
-    tested = complete(rows, [*features, label]).select("date", label, *features).join(dates, "date")
-    return predict(tested, models, features, ["fold"]).select("trial", "fold", "date", label, "score")
+    tested = complete(rows, [*features, label]).select("date", label, *features).join(dates, "date").join(by_fold, "fold")
+    scores = {str(t): linear_score(features, F.col(f"_trial{t}.coefficients"), F.col(f"_trial{t}.intercept")) for t in trials}
+    ics = rank_ics(tested, ["date"], scores, label, name="trial").where(F.col("ic").isNotNull())
+    return ics.withColumn("trial", F.col("trial").cast(models.schema["trial"].dataType))
 
 
 def ridge_search(rows: DataFrame, features: Sequence[str], splits: DataFrame, trials: DataFrame, label: str = "label") -> DataFrame:
     """Rank IC over the test dates of all folds per trial: trial, penalty, subset, n_days, ic_mean, icir, best. Nothing is cached."""
     models = materialize(fold_models(rows, features, splits, trials, label))
-    ic = rank_ic(fold_scores(rows, models, features, splits, label), ["trial", "date"], label=label)
-    summary = icir_summary(ic, ["trial"]).join(F.broadcast(trials), "trial")
+    summary = icir_summary(trial_ics(rows, models, features, splits, label), ["trial"]).join(F.broadcast(trials), "trial")
     place = F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round("ic_mean", 10)), "trial"))  # one row per trial
     return summary.withColumn("best", place == 1).select("trial", "penalty", "subset", "n_days", "ic_mean", "icir", "best")
 
@@ -222,8 +231,8 @@ def halving_search(rows: DataFrame, features: Sequence[str], splits: DataFrame,
     left, done = trials, []
     for rung in range(rungs + 1):
         dates = places.where(F.col("_place") % (share ** (rungs - rung)) == 0).select("fold", "date", F.lit("test").alias("role"))
-        scored = fold_scores(rows, models.join(F.broadcast(left.select("trial")), "trial"), features, dates, label)
-        ic = rank_ic(scored, ["trial", "date"], label=label).groupBy("trial").agg(F.count("ic").alias("n_days"), F.avg("ic").alias("ic_mean"))
+        chosen = models.join(F.broadcast(left.select("trial")), "trial")
+        ic = trial_ics(rows, chosen, features, dates, label).groupBy("trial").agg(F.count("ic").alias("n_days"), F.avg("ic").alias("ic_mean"))
         place = F.row_number().over(Window.orderBy(F.desc(F.round("ic_mean", 10)), "trial"))  # one row per trial
         survivors = -(-count // share) if rung < rungs else 1
         judged = materialize(ic.withColumn("kept", place <= survivors).withColumn("rung", F.lit(rung)))

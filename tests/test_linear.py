@@ -92,6 +92,27 @@ def test_search_finds_the_planted_optimum(spark):
     assert last[0].trial == winner[0] and last[0].ic_mean == pytest.approx(grid[winner[0]].ic_mean)
 
 
+def test_search_moves_a_row_once_for_all_trials(spark, monkeypatch):
+    """The ranked rows are the test rows, however many trials there are, and every trial has its own correlations."""
+    rows, raw = panel(spark)
+    splits, trials = splits_of(spark, 40), L.trial_table(spark, FEATURES, [0.1, 5.0], [FEATURES, ["a"], ["b"]])
+    moved, plain = [], L.rank_ics
+    monkeypatch.setattr(L, "rank_ics", lambda r, *args, **kw: (moved.append(r.count()), plain(r, *args, **kw))[1])
+    L.ridge_search(rows, FEATURES, splits, trials).collect()
+    assert moved == [sum(None not in r for r in raw)]
+    models = L.fold_models(rows, FEATURES, splits, trials)
+    got = {(r.trial, r.date): r.ic for r in L.trial_ics(rows, models, FEATURES, splits).collect()}
+    assert len(got) == 6 * 40 and len({type(t) for t, _ in got}) == 1
+    fitted = {(m.fold, m.trial): m for m in models.collect()}
+    for trial, day in ((0, 3), (3, 30), (5, 12)):
+        x = np.array([r[2:] for r in raw if None not in r and (r[1] - START).days == day], float)
+        m = fitted[int(day >= 20), trial]
+        score = x[:, :3] @ [b or 0.0 for b in m.coefficients]
+        ranks = [np.argsort(np.argsort(v)) for v in (score, x[:, 3])]
+        assert got[trial, START + datetime.timedelta(days=day)] == pytest.approx(np.corrcoef(*ranks)[0, 1], abs=1e-9)
+    assert L.trial_ics(rows, models.where("trial < 0"), FEATURES, splits).count() == 0
+
+
 @pytest.mark.parametrize("rows_per_part", [1 << 20, 9])
 def test_permutation_importance(spark, rows_per_part):
     rows, _ = panel(spark)
