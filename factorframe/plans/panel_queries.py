@@ -46,7 +46,9 @@ def scan_csv_panel(t):
     names = {"date": "日期", "open": "开盘", "high": "最高", "low": "最低", "close": "收盘", "volume": "成交量", "amount": "成交额"}
     rows = t.day.select(F.lpad(F.col("code").cast("string"), 6, "0").alias("symbol"), F.col("code").alias("股票代码"),
                         *[F.col(c).alias(n) for c, n in names.items()])
-    rows.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(folder)
+    # a file per code: each task moves its own into place (version 2), where version 1 has the driver move all of them one by one
+    writer = rows.repartition("symbol").write.partitionBy("symbol").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.option("header", True).csv(folder)
     return SRC.read_csv_panel(t.spark, folder, code_folder="symbol")
 
 

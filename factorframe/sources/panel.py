@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -64,6 +65,37 @@ def code_from_file(name: str | Column) -> Column:
     return F.when(digits != "", digits)
 
 
+def _first_file(spark: SparkSession, path: str) -> str | None:
+    """A file with text under path, found without listing the rest; None for patterns and where there is none."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def search(folder) -> str | None:
+        entries = fs.listStatusIterator(folder)
+        while entries.hasNext():
+            entry = entries.next()
+            if entry.getPath().getName().startswith((".", "_")):
+                continue
+            found = search(entry.getPath()) if entry.isDirectory() else entry.getPath().toString() if entry.getLen() > 0 else None
+            if found:
+                return found
+        return None
+
+    return search(top) if fs.exists(top) else None
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Spark lists many folders with a task each, up to 10 000; a few per core share them here. Listing happens as a reader loads a path."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_csv_panel(
     spark: SparkSession,
     path: str,
@@ -75,13 +107,16 @@ def read_csv_panel(
 ) -> DataFrame:
     """All per-entity CSV files under path as one panel; the code comes from the file name, or from the folder code_folder=<code>.
 
-    header gives the columns of the files when it is known, which skips the header scan. Files sharing a
-    folder must share one header order.
+    header gives the columns of the files when it is known; otherwise one file tells them. Files sharing a folder must share one header order.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-    if header:
-        reader = reader.schema(T.StructType([T.StructField(h, T.StringType()) for h in header]))
-    raw = reader.csv(path)
+    def reader():
+        return spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+
+    if not header and (one := _first_file(spark, path)):
+        header = reader().csv(one).columns  # a scan for the header would list all files a second time
+    named = reader().schema(T.StructType([T.StructField(h, T.StringType()) for h in header])) if header else reader()
+    with _few_listing_tasks(spark):
+        raw = named.csv(path)
     columns = [F.col(f"`{c}`") for c in raw.columns if c != code_folder and aliases.get(c.strip().lstrip("﻿")) != "code"]
     # a folder's code may have been read as a number
     code = F.lpad(F.col(code_folder).cast("string"), 6, "0") if code_folder else code_from_file(F.col("_metadata.file_name"))

@@ -278,6 +278,29 @@ def test_csv_panel(spark, tmp_path):
     assert derived[1]["preclose"] == 1.5 and derived[1]["amount"] == pytest.approx(320.0) and derived[0]["is_st"] is None
 
 
+def test_csv_panel_lists_its_folders_once(spark, tmp_path):
+    """The header comes from one file with text, and the folders of the codes are listed by one job of a few tasks."""
+    for i in range(60):
+        folder = tmp_path / "csv" / f"symbol={i:06d}"
+        folder.mkdir(parents=True)
+        (folder / "a.csv").write_text("" if i % 2 else f"日期,开盘,最高,最低,收盘,成交量,股票代码\n2020-01-01,1,2,0.5,{i}.5,100,{i}\n", encoding="utf-8")
+    (tmp_path / "csv" / "_SUCCESS").write_text("")
+    key, tracker = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.sparkContext.statusTracker()
+    before = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("csv listing", "")
+    try:
+        df = source.read_csv_panel(spark, str(tmp_path / "csv"), code_folder="symbol")
+        listings = [j for j in tracker.getJobIdsForGroup("csv listing") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s).numTasks > 1]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(listings) == 1 and spark.conf.get(key) == before
+    assert tracker.getStageInfo(tracker.getJobInfo(listings[0]).stageIds[0]).numTasks <= 4 * spark.sparkContext.defaultParallelism
+    got = rows(df.select("code", "close", "volume"), "code")
+    assert got == [(f"{i:06d}", i + 0.5, 100.0) for i in range(0, 60, 2)]
+    (tmp_path / "none").mkdir()
+    assert source._first_file(spark, str(tmp_path / "none")) is None and source._first_file(spark, str(tmp_path / "csv" / "symbol=*")) is None
+
+
 def test_instrument_file_with_mark_and_header(spark, tmp_path):
     (tmp_path / "all.txt").write_text("﻿code\tstart\tend\nsh600000\t2010-01-01\t2020-01-01\nsh600000\t2021-01-01\t2022-01-01\n", encoding="utf-8")
     out = source.read_instruments(spark, str(tmp_path / "all.txt"))
