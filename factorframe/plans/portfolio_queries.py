@@ -454,6 +454,7 @@ def industry_exposure(t):
       ON bw.date = ie.date AND bw.industry = ie.industry""",
 )
 def industry_exposure_benchmark(t):
+    t.keep("week")  # the picks and the benchmark both start there
     return Q.industry_exposure(weights(t), t.industry, t.week.select("date", "code", F.col("amount").alias("weight")))
 
 

@@ -301,6 +301,13 @@ def test_csv_panel_lists_its_folders_once(spark, tmp_path):
     assert source._first_file(spark, str(tmp_path / "none")) is None and source._first_file(spark, str(tmp_path / "csv" / "symbol=*")) is None
 
 
+def test_industry_benchmark_starts_at_the_written_weeks(spark):
+    from factorframe.plans.catalogue import REGISTRY
+
+    files = REGISTRY["industry_exposure_benchmark"].run(spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "lineitem" in f]
+
+
 def test_instrument_file_with_mark_and_header(spark, tmp_path):
     (tmp_path / "all.txt").write_text("﻿code\tstart\tend\nsh600000\t2010-01-01\t2020-01-01\nsh600000\t2021-01-01\t2022-01-01\n", encoding="utf-8")
     out = source.read_instruments(spark, str(tmp_path / "all.txt"))
