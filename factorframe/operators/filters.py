@@ -76,10 +76,13 @@ def with_flags(panel: DataFrame) -> DataFrame:
 def dedupe(df: DataFrame, keys: Sequence[str], order: str | Column, keep: str = "last") -> DataFrame:
     """One row per key: the first or last by order, ties by the other columns. An aggregate, so copies of a hot key combine
     before the shuffle. Columns that cannot be ordered (maps) break no ties."""
-    pick = F.max_by if keep == "last" else F.min_by
     rest = [c for c in df.columns if c not in keys]
     ordered = [c for c in rest if "map<" not in df.schema[c].dataType.simpleString()]
-    packed = pick(F.struct(*rest), F.struct(F.col(order) if isinstance(order, str) else order, *ordered)).alias("_row")
+    by = F.struct((F.col(order) if isinstance(order, str) else order).alias("_order"), *ordered)
+    if ordered == rest:  # the order holds the row itself, which then moves once
+        packed = (F.max if keep == "last" else F.min)(by).alias("_row")
+    else:
+        packed = (F.max_by if keep == "last" else F.min_by)(F.struct(*rest), by).alias("_row")
     return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 

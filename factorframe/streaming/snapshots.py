@@ -121,7 +121,10 @@ def merge(
     while True:
         if snapshot["done"].get(writer, -1) >= batch_id:
             return snapshot
-        if sizes is None:
+        if not snapshot["months"]:  # a first load touches nothing: its months are known once they are written
+            added = _written(marked, target)
+            sizes = {m: n for m, (_, n) in added.items()}
+        elif sizes is None:
             sizes = {str(r["month"]): r["count"] for r in marked.groupBy("month").count().collect()}  # a row per month
         before = {m: snapshot["months"].get(m, []) for m in sizes}
         # merged into one folder, or put beside the month
@@ -130,7 +133,8 @@ def merge(
         rows = marked
         if old is not None:
             rows = dedupe(marked.unionByName(old.withColumn("month", F.date_format(date, "yyyyMM").cast("int"))), list(keys), order, keep)
-        added = _written(rows, target)
+        if snapshot["months"]:
+            added = _written(rows, target)
         while True:
             months = dict(snapshot["months"])
             for m, part in added.items():

@@ -4,6 +4,7 @@ import pytest
 
 from conftest import days, frame
 
+from factorframe.operators import filters
 from factorframe.operators.quality import adjust_events
 from factorframe.streaming import bars as Z
 from factorframe.streaming import snapshots
@@ -95,6 +96,23 @@ def test_empty_batches_and_compaction(spark, tmp_path):
     assert calendar.count() == 3 and {r["code"]: str(r["end_date"]) for r in listed.collect()} == {"a": "2020-01-02", "b": "2020-03-01"}
 
 
+def test_first_load_reads_its_batch_once(spark, tmp_path):
+    """No months are there to be merged, so the batch is not aggregated for their sizes before it is written; and a row moves once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for part in frames:
+            seen.add(len(part))
+            yield part
+
+    target, load = f"{tmp_path}/bars", frame(spark, SCHEMA, [("a", d, float(i), i) for i, d in enumerate(days(90))] + [("a", days(1)[0], 7.0, 99)])
+    Z.upsert_batch(load.mapInPandas(counted, load.schema), 0, target)
+    assert seen.value == 91 and len(bars_of(spark, target)) == 90 and bars_of(spark, target)["a", days(1)[0]] == 7.0
+    assert {m: parts[0][1] for m, parts in snapshots.latest(spark, target)["months"].items()} == {"202001": 31, "202002": 29, "202003": 30}
+    plan = filters.dedupe(load, ["code", "date"], "ingest")._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and plan.count("struct(") == 1
+
+
 def test_small_batches_stand_beside_a_month_until_they_are_an_eighth(spark, tmp_path):
     target = f"{tmp_path}/bars"
     codes = [f"c{i:02d}" for i in range(40)]
