@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +19,41 @@ MODERATE, SIGNIFICANT = 0.1, 0.25
 STABLE, WARNING = 0.7, 0.5
 
 
+def bin_counts(rows: DataFrame, edges: Mapping[str, Sequence[float]]) -> DataFrame:
+    """feature, _bin, _n: how many values of each feature (a column) lie in each bin of its sorted edges, per task.
+
+    Bins count from 1. Rows stay where they are, in their wide form: a task sends one number per feature and bin. NaN is above all numbers.
+    """
+    features = list(edges)
+    marks = [np.array(edges[f], dtype=float) for f in features]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros(len(m), np.int64) for m in marks]
+        for batch in batches:
+            for i, mark in enumerate(marks):
+                values = np.asarray(batch.column(i).drop_null())
+                passed = np.searchsorted(mark, values, "right")
+                inside = (passed > 0) & (np.searchsorted(mark, values, "left") < len(mark))
+                totals[i] += np.bincount(np.minimum(passed[inside], len(mark) - 1), minlength=len(mark))
+        cells = [(f, j, int(n)) for f, total in zip(features, totals) for j, n in enumerate(total) if n]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int32()), pa.array([c[2] for c in cells], pa.int64())],
+            names=["feature", "_bin", "_n"])
+
+    schema = "feature string, _bin int, _n long"
+    if not features:
+        return rows.sparkSession.createDataFrame([], schema)
+    return rows.select(*[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)]).mapInArrow(run, schema)
+
+
 def psi(baseline: DataFrame, actual: DataFrame, features: Sequence[str], bins: int = 10, **pieces: int) -> DataFrame:
     """Population stability index of every feature at once: feature, psi.
 
     Edges are baseline quantiles with duplicates merged (equal widths when the baseline has fewer rows than bins). Bins
     are closed on the left, the last one on both sides; values outside the edges do not count. A side without any
-    counted value gives null. Only the edges (bins + 1 numbers per feature) are broadcast; they are written once, as two steps read them.
+    counted value gives null. Only the edges (bins + 1 numbers per feature) leave the tasks; they are written once, as two steps read them.
     """
     base = baseline.select(*features).unpivot([], list(features), "feature", "value").where(F.col("value").isNotNull())
-    now = actual.select(*features).unpivot([], list(features), "feature", "value").where(F.col("value").isNotNull())
     names = {f"_q{i}": i / bins for i in range(bins + 1)}
     quantiles = group_quantiles(base, ["feature"], "value", names, **pieces)
     last = f"_q{bins}"
@@ -35,19 +63,11 @@ def psi(baseline: DataFrame, actual: DataFrame, features: Sequence[str], bins: i
         "feature",
         F.array_sort(F.array_distinct(F.when(F.col("n_values") < bins, even).otherwise(F.array(*names)))).alias("_edges"),
     ))
-    sides = base.select("feature", "value", F.lit(1).alias("_base")).unionByName(now.select("feature", "value", F.lit(0).alias("_base")))
-    # comparisons of plain columns, which are compiled: a function over the array would be interpreted for every row
-    marks = [F.col(f"_e{i}") for i in range(bins + 1)]
-    laid = edges.select("feature", F.size("_edges").alias("_n"), F.element_at("_edges", -1).alias("_high"),
-                        *[F.get(F.col("_edges"), F.lit(i)).alias(f"_e{i}") for i in range(bins + 1)])
-    passed = F.lit(0)
-    for mark in marks:
-        passed = passed + F.coalesce(mark <= F.col("value"), F.lit(False)).cast("int")
+    marks = {r["feature"]: r["_edges"] for r in edges.collect()}  # bins + 1 numbers per feature
     counted = (
-        sides.join(F.broadcast(laid), "feature")
-        .where((F.col("value") >= marks[0]) & (F.col("value") <= F.col("_high")))
-        .groupBy("feature", F.least(passed, F.col("_n") - 1).alias("_bin"))
-        .agg(F.sum("_base").alias("_e"), F.sum(1 - F.col("_base")).alias("_a"))
+        bin_counts(baseline, marks).withColumns({"_e": F.col("_n"), "_a": F.lit(0)})
+        .unionByName(bin_counts(actual, marks).withColumns({"_e": F.lit(0), "_a": F.col("_n")}))
+        .groupBy("feature", "_bin").agg(F.sum("_e").alias("_e"), F.sum("_a").alias("_a"))
     )
     grid = edges.where(F.size("_edges") > 1).select("feature", F.explode(F.sequence(F.lit(1), F.size("_edges") - 1)).alias("_bin"))
     whole = Window.partitionBy("feature")  # at most `bins` rows per feature from here on

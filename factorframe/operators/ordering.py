@@ -44,14 +44,16 @@ def _cuts(counts: DataFrame, group: Sequence[str], value: str, rows_per_piece: i
     """The cuts of each group above rows_per_piece distinct values; at most one row per rows_per_piece input rows.
 
     A value is sampled by its hash, so a group gives about SAMPLES_PER_PIECE samples per piece, and every such sample that
-    is a multiple of that number in order is a cut.
+    is a multiple of that number in order is a cut. The copies are read too, so that counts move once for the cuts and the positions.
     """
     step = min(SAMPLES_PER_PIECE, rows_per_piece)
     rate = max(1, rows_per_piece // step)
     sampled = F.when(F.pmod(F.xxhash64(value), F.lit(rate)) == 0, F.col(value))
-    found = counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_distinct"), F.sort_array(F.collect_list(sampled)).alias("_sample"))
+    found = counts.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("_distinct"), F.sum("copies").alias("_rows"), F.sort_array(F.collect_list(sampled)).alias("_sample"))
     every = F.filter("_sample", lambda x, i: i % step == step - 1)
-    return found.where(F.col("_distinct") > rows_per_piece).select(*group, every.alias("_cuts"))
+    large = (F.col("_distinct") > rows_per_piece) & (F.col("_rows") > rows_per_piece)
+    return found.where(large).select(*group, every.alias("_cuts"))
 
 
 def group_positions(df: DataFrame, keys: Sequence[str], value: str, rows_per_piece: int = ROWS_PER_PIECE) -> DataFrame:

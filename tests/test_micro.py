@@ -1,5 +1,6 @@
 """Hand-made fixtures: ties, nulls, flat input, boundaries and brute-force twins of the iterative rules."""
 
+import datetime
 import math
 import random
 
@@ -354,3 +355,26 @@ def test_forward_shift_edges(spark):
     ])
     got = {r["id"]: str(r["start"]) for r in shift_forward(df, cal, "start", 1, "stop").collect()}
     assert got == {1: "2020-01-03", 2: "2020-01-07", 3: "2021-01-01", 4: "2020-02-01"}
+
+
+def test_bin_counts_send_counts_and_not_rows(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = spark.createDataFrame([(x, None) for x in (None, 0.5, 1.0, 1.5, 2.0, -0.0, 3.0, 3.5, nan, -inf)], "f double, g double").repartition(3)
+    found = drift.bin_counts(rows, {"f": [0.0, 1.0, 2.0, 3.0], "g": [1.0, 2.0]})
+    got = {}
+    for r in found.collect():
+        got[r["feature"], r["_bin"]] = got.get((r["feature"], r["_bin"]), 0) + r["_n"]
+    assert got == {("f", 1): 2, ("f", 2): 2, ("f", 3): 2}
+    open_end = drift.bin_counts(rows, {"f": [2.0, 3.0, nan]}).groupBy("_bin").agg(F.sum("_n").alias("n")).collect()
+    assert {r["_bin"]: r["n"] for r in open_end} == {1: 1, 2: 3}
+    assert drift.bin_counts(rows, {}).count() == 0
+
+
+def test_psi_counts_wide_rows(spark, monkeypatch):
+    counted = []
+    plain = drift.bin_counts
+    monkeypatch.setattr(drift, "bin_counts", lambda rows, edges: counted.append(plain(rows, edges)) or counted[-1])
+    rows = spark.range(300).select(F.rand(1).alias("f"), F.rand(2).alias("g"))
+    found = {r["feature"]: r["psi"] for r in drift.psi(rows, rows, ["f", "g"]).collect()}
+    assert found == {"f": pytest.approx(0), "g": pytest.approx(0)}
+    assert len(counted) == 2 and all(c.count() <= 20 * c.rdd.getNumPartitions() for c in counted)

@@ -103,3 +103,12 @@ def test_rank_by_pieces_reads_trades_once(spark, tmp_path):
               ).write.parquet(f"{tmp_path}/lineitem.parquet")
     out = REGISTRY["cs_rank_split"].run(spark, str(tmp_path))
     assert out.count() > 100 and not [f for f in out.inputFiles() if "lineitem" in f]
+
+
+def test_counts_move_once_for_cuts_and_positions(spark):
+    rows = spark.range(2000).select((F.col("id") % 2).alias("g"), F.rand(1).alias("v"))
+    found = O.group_positions(rows, ["g"], "v", rows_per_piece=900)
+    assert found.count() == 2000
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    assert "ReusedExchange" in plan.toString()
