@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from factorframe.operators.ic import icir_summary, rank_ics
 from factorframe.operators.ordering import ROWS_PER_PIECE
@@ -47,36 +47,86 @@ def moments(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataF
     )
 
 
-def group_moments(rows: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The columns of `moments` for groups that one task can walk, such as dates, by matrix products per batch of rows.
+# A task hands on the moments of its groups when it holds this many.
+GROUPS_PER_TASK = 1 << 16
 
-    Dozens of covariance aggregates in one node are not compiled. Batches merge as partial aggregates do, so a task holds one batch.
+
+def group_moments(rows: DataFrame, by: Sequence[str], columns: Sequence[str], groups: int = GROUPS_PER_TASK) -> DataFrame:
+    """The columns of `moments` for few groups, such as dates, by array arithmetic per batch of rows.
+
+    Dozens of covariance aggregates in one node are not compiled. Rows stay where they are: a task adds up the moments of the groups it
+    meets, `groups` of them at most, and only those move, to be merged as partial aggregates are.
     """
     k = len(columns)
+    pairs = _pairs(k)
+    upper = np.array([i for i, _ in pairs]), np.array([j for _, j in pairs])
     narrow = complete(rows, columns).select(*by, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)])
     key_types = [to_arrow_type(narrow.schema[c].dataType) for c in by]
+    numbers = [*[f"_m{i}" for i in range(k)], *[f"_c{i}_{j}" for i, j in pairs]]
+    names = [*by, "n", *numbers]
+    schema = T.StructType([*[narrow.schema[c] for c in by], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in numbers]])
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, products = 0, np.zeros(k), np.zeros((k, k))
+    def laid(keys: list[tuple], n: np.ndarray, mean: np.ndarray, products: np.ndarray) -> pa.RecordBatch:
+        fixed = [pa.array([key[i] for key in keys], t) for i, t in enumerate(key_types)]
+        cells = [*mean.T, *products.T]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(n, pa.int64()), *[pa.array(np.ascontiguousarray(c)) for c in cells]], names=names)
+
+    def grouped(rows: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+        """An order of the rows by group, where each group starts in it, its number of rows and its keys."""
+        mixed = np.zeros(rows.num_rows, np.int64)
+        for c in by:
+            codes = pa.chunked_array([rows.column(c)] if isinstance(rows, pa.RecordBatch) else rows.column(c).chunks).combine_chunks()
+            codes = codes.dictionary_encode(null_encoding="encode")
+            mixed = np.unique(mixed * len(codes.dictionary) + np.asarray(codes.indices), return_inverse=True)[1]
+        order = np.argsort(mixed, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(mixed[order]) > 0))
+        heads = rows.select(list(by)).take(pa.array(order[first]))
+        return order, first, np.diff(np.append(first, len(order))), list(zip(*[heads.column(c).to_pylist() for c in by]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place: dict[tuple, int] = {}
+        n, mean, products = np.zeros(0, np.int64), np.zeros((0, k)), np.zeros((0, len(pairs)))
         for batch in batches:
-            m = batch.num_rows
-            if m == 0:
+            if batch.num_rows == 0:
                 continue
-            x = np.column_stack([np.asarray(batch.column(f"_x{i}")) for i in range(k)])
-            near = x - x[0]  # exactly zero for a flat column
-            shift = near.mean(axis=0)
-            near = near - shift
-            away = x[0] + shift - mean
-            products = products + near.T @ near + (np.outer(away, away) * (n * m / (n + m)) if n else 0.0)
-            mean, n = (mean + away * (m / (n + m)) if n else x[0] + shift), n + m
-        cells = [n, *mean, *[products[i, j] for i, j in _pairs(k)]]
-        arrays = [*[pa.array([v.as_py()], t) for v, t in zip(key, key_types)], pa.array([n], pa.int64()), *[pa.array([float(v)]) for v in cells[1:]]]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    numbers = [*[f"_m{i}" for i in range(k)], *[f"_c{i}_{j}" for i, j in _pairs(k)]]
-    names = [*by, "n", *numbers]
-    schema = T.StructType([*[narrow.schema[c] for c in by], T.StructField("n", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in numbers]])
-    return narrow.groupBy(*by).applyInArrow(run, schema)
+            order, first, size, keys = grouped(batch)
+            x = np.stack([np.asarray(batch.column(f"_x{i}")) for i in range(k)])[:, order]
+            near = x - np.repeat(x[:, first], size, axis=1)  # exactly zero for a flat column
+            shift = np.add.reduceat(near, first, axis=1) / size
+            near -= np.repeat(shift, size, axis=1)
+            fresh_products = np.column_stack([np.add.reduceat(near[i] * near[j], first) for i, j in pairs])
+            fresh_mean = (x[:, first] + shift).T
+            if place and len(place) + len(keys) > groups:
+                yield laid(list(place), n, mean, products)
+                place, n, mean, products = {}, n[:0], mean[:0], products[:0]
+            at = np.array([place.setdefault(key, len(place)) for key in keys])
+            grown = len(place) - len(n)
+            if grown:
+                n, mean, products = (np.concatenate([a, np.zeros((grown, *a.shape[1:]), a.dtype)]) for a in (n, mean, products))
+            both = (n[at] + size)[:, None]
+            away = np.where(n[at][:, None] > 0, fresh_mean - mean[at], 0.0)
+            products[at] += fresh_products + away[:, upper[0]] * away[:, upper[1]] * (n[at][:, None] * size[:, None] / both)
+            mean[at] = np.where(n[at][:, None] > 0, mean[at] + away * (size[:, None] / both), fresh_mean)
+            n[at] += size
+        if place:
+            yield laid(list(place), n, mean, products)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = pa.Table.from_batches(list(batches), arrow_schema)  # a row per group and task that met it
+        if parts.num_rows == 0:
+            return
+        order, first, size, keys = grouped(parts)
+        n = np.asarray(parts.column("n").combine_chunks())[order]
+        table = np.column_stack([np.asarray(parts.column(c).combine_chunks()) for c in numbers])[order]
+        total, mean = np.add.reduceat(n, first), table[first, :k]
+        away = table[:, :k] - np.repeat(mean, size, axis=0)
+        shift = np.add.reduceat(n[:, None] * away, first) / total[:, None]
+        away -= np.repeat(shift, size, axis=0)
+        products = np.add.reduceat(table[:, k:] + n[:, None] * away[:, upper[0]] * away[:, upper[1]], first)
+        yield laid(keys, total, mean + shift, products)
+
+    arrow_schema = to_arrow_schema(schema)
+    return narrow.mapInArrow(add, schema).repartition(*by).mapInArrow(merge, schema)
 
 
 def pooled(parts: DataFrame, by: Sequence[str], k: int) -> DataFrame:
@@ -173,8 +223,10 @@ def ridge_train_score(rows: DataFrame, features: Sequence[str], train: Column, t
 def trial_table(spark, features: Sequence[str], penalties: Sequence[float], subsets: Sequence[Sequence[str]] | None = None) -> DataFrame:
     """trial, penalty, subset (number), allowed (which features take part): every penalty with every feature set."""
     subsets = subsets or [features]
-    trials = [(float(p), s, [f in subset for f in features]) for s, subset in enumerate(subsets) for p in penalties]
-    return spark.createDataFrame([(i, *t) for i, t in enumerate(trials)], "trial int, penalty double, subset int, allowed array<boolean>")
+    cells = [(float(p), s, [f in subset for f in features]) for s, subset in enumerate(subsets) for p in penalties]
+    rows = [F.struct(F.lit(i).alias("trial"), F.lit(p).alias("penalty"), F.lit(s).alias("subset"), F.array(*[F.lit(x) for x in allowed]).alias("allowed"))
+            for i, (p, s, allowed) in enumerate(cells)]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def fold_models(rows: DataFrame, features: Sequence[str], splits: DataFrame, trials: DataFrame, label: str = "label") -> DataFrame:
@@ -256,13 +308,18 @@ def permutation_importance(
     """
     dates = F.broadcast(splits.where(F.col("role") == "test").select("fold", "date"))
     tested = complete(rows, [*features, label]).select("date", entity, label, *features).join(dates, "date")
-    parts = tested.groupBy("fold", "date").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts"))
-    hashed = tested.withColumn("_hash", F.md5(F.concat_ws("|", F.col(entity).cast("string"), F.col("date").cast("string")).cast("binary")))
-    placed = predict(hashed, models.select("fold", "coefficients", "intercept"), features, ["fold"]).join(F.broadcast(parts), ["fold", "date"])  # a row per date
-    order = Window.partitionBy("fold", "date", F.pmod(F.crc32(F.col("_hash").cast("binary")), F.col("_parts"))).orderBy("_hash", entity)
+    parts = materialize(tested.groupBy("fold", "date").agg(F.ceil(F.count(F.lit(1)) / rows_per_part).alias("_parts")))  # a row per date
+    digest = F.md5(F.concat_ws("|", F.col(entity).cast("string"), F.col("date").cast("string")).cast("binary"))
+    placed, group = tested.withColumn("_hash", F.unhex(digest)), ["fold", "date"]  # bytes order like their digits
+    if not parts.where("_parts > 1").isEmpty():
+        part = F.pmod(F.crc32(F.lower(F.hex("_hash")).cast("binary")), F.col("_parts"))
+        placed, group = placed.join(F.broadcast(parts), ["fold", "date"]).withColumn("_part", part), ["fold", "date", "_part"]
+    # without parts rows move once, by date, for the order and the ranks; what a fold's model holds is added after that
+    order = Window.partitionBy(*group).orderBy("_hash", entity)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     values = F.struct(*features)
-    moved = placed.withColumn("_next", F.coalesce(F.lead(values).over(order), F.first(values).over(whole)))
+    turned = placed.withColumn("_next", F.coalesce(F.lead(values).over(order), F.first(values).over(whole)))
+    moved = predict(turned, models.select("fold", "coefficients", "intercept"), features, ["fold"])
     changed = {f: F.col("score") + F.coalesce(F.col("coefficients")[i], F.lit(0.0)) * (F.col("_next")[f] - F.col(f)) for i, f in enumerate(features)}
     ic = rank_ics(moved, ["fold", "date"], {"": F.col("score"), **changed}, label).where(F.col("ic").isNotNull())
     means = materialize(ic.groupBy("fold", "feature").agg(F.avg("ic").alias("_ic")))

@@ -27,6 +27,7 @@ from factorframe.plans.sql import ICIR_COLUMNS, sql_icir, sql_rank_ic, sql_ranks
 from factorframe.plans.testbed import with_ctes
 from factorframe.session import materialize
 from factorframe.sources import writers as OUT
+from factorframe.sources.panel import trade_calendar
 from factorframe.streaming import bars as Z
 
 # ---- sinks that need derived results ---------------------------------------------------------------------------------
@@ -278,8 +279,8 @@ _SEARCH = recursive(with_ctes("wk", "cal", extra=FOLDS_CTE + ", " + _FIT_ROWS +
 
 
 def _search_inputs(t):
-    rows = model_rows(t.keep("week"))  # the calendar starts there too
-    return rows, _MODEL_FEATURES, materialize(C.purged_kfold(t.calendar, 5, 20)), L.trial_table(t.spark, _MODEL_FEATURES, _PENALTIES, _SUBSETS)
+    calendar = trade_calendar(factor_frame(t))  # written once, with every date of the weekly panel
+    return model_rows(t), _MODEL_FEATURES, materialize(C.purged_kfold(calendar, 5, 20)), L.trial_table(t.spark, _MODEL_FEATURES, _PENALTIES, _SUBSETS)
 
 
 @query(

@@ -123,3 +123,30 @@ def test_permutation_importance(spark, rows_per_part):
     for fold in (0, 1):
         assert abs(got[fold, "c"]) < 1e-12 and abs(got[fold, "z"]) < 1e-12  # without a coefficient, and flat
         assert abs(got[fold, "b"]) < 0.05 < 0.5 < got[fold, "a"]
+
+
+def test_moments_move_as_sums_and_not_as_rows(spark):
+    rows = spark.range(4000, numPartitions=3).select(
+        (F.col("id") % 5).alias("date"), F.when(F.col("id") % 7 > 0, F.col("id") % 2).alias("side"), F.rand(1).alias("x"), F.randn(2).alias("y"))
+    found = L.group_moments(rows, ["date", "side"], ["x", "y"], groups=4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow add" in plan[plan.index("Exchange hashpartitioning"):] and plan.count("Exchange") == 1
+    got = {(r.date, r.side): r for r in found.collect()}
+    want = {(r.date, r.side): r for r in L.moments(rows, ["date", "side"], ["x", "y"]).collect()}
+    assert got.keys() == want.keys() and len(got) == 15
+    for key, r in want.items():
+        assert got[key].n == r.n and list(got[key])[3:] == pytest.approx(list(r)[3:])
+
+
+def test_permuted_rows_move_once(spark, monkeypatch):
+    from factorframe.operators import ic
+
+    plans = []
+    plain = ic.materialize
+    monkeypatch.setattr(ic, "materialize", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    rows, _ = panel(spark)
+    splits = splits_of(spark, 40)
+    models = L.fold_models(rows, FEATURES, splits, L.trial_table(spark, FEATURES, [0.1]))
+    models = spark.createDataFrame(models.collect(), models.schema)
+    assert L.permutation_importance(rows, models, FEATURES, splits).count() == 2 * len(FEATURES)
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning(fold") == 1
