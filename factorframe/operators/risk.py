@@ -21,17 +21,19 @@ ALPHA_DRIVEN, MIXED = 0.7, 0.3
 
 
 def style_factors(
-    panel: DataFrame, fundamentals: DataFrame, size_window: int = 60, vol_window: int = 60, skip: int = 21, span: int = 252
+    panel: DataFrame, fundamentals: DataFrame, size_window: int = 60, vol_window: int = 60, skip: int = 21, span: int = 252,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """date, code and the five styles. fundamentals: (code, date, value, quality), joined on both keys."""
+    """date, code, the five styles and the panel columns of keep. fundamentals: (code, date, value, quality), joined on both keys."""
     priced = panel.withColumn("ret", R.pct_change("close", 1)).select(
         "code",
         "date",
         F.log(R.mean("amount", size_window)).alias("size"),
         momentum_12_1(skip, span).alias("momentum"),
         R.std("ret", vol_window).alias("volatility"),
+        *keep,
     )
-    return priced.join(fundamentals.select("code", "date", "value", "quality"), ["code", "date"], "left").select("date", "code", *STYLES)
+    return priced.join(fundamentals.select("code", "date", "value", "quality"), ["code", "date"], "left").select("date", "code", *STYLES, *keep)
 
 
 def style_exposure(

@@ -358,13 +358,14 @@ CTES["wts"] = (("score",), """
       (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, code) AS rank FROM score) t WHERE rank <= 30""")
 
 
-def styles(t):
+def styles(t, panel=None, keep=()):
+    """The styles of the weekly panel, or of one that adds the columns of keep to it."""
     line = t.read("lineitem").select(
         F.col("l_suppkey").alias("code"), F.next_day(F.date_sub(F.col("l_shipdate").cast("date"), 1), "FRI").alias("date"), "l_discount"
     )
     quality = line.groupBy("code", "date").agg(F.avg(1 - F.col("l_discount")).alias("quality"))
     balance = t.read("supplier").select(F.col("s_suppkey").alias("code"), F.col("s_acctbal").alias("value"))
-    return Q.style_factors(t.week, quality.join(balance, "code", "left"), 12, 12, 4, 26)
+    return Q.style_factors(t.week if panel is None else panel, quality.join(balance, "code", "left"), 12, 12, 4, 26, keep)
 
 
 def weights(t):

@@ -352,10 +352,9 @@ cc AS MATERIALIZED (SELECT code, date, feature, value, b * (value - m) AS contri
 
 
 def contributions(t):
-    t.keep("week")  # styles and labels both start there
-    rows = materialize(styles(t).join(t.week.select("code", "date", forward_return("close", 4).alias("label")), ["code", "date"]).where(
-        F.col("label").isNotNull()
-    ))
+    # styles and labels are windows over the same rows, so one pass gives both
+    labelled = t.week.withColumn("label", forward_return("close", 4)).where(F.col("code").isNotNull() & F.col("date").isNotNull())
+    rows = materialize(styles(t, labelled, ["label"]).where(F.col("label").isNotNull()))
     return M.linear_contributions(rows, _CONTRIB_FEATURES, M.univariate_coefficients(rows, _CONTRIB_FEATURES))
 
 

@@ -378,3 +378,20 @@ def test_psi_counts_wide_rows(spark, monkeypatch):
     found = {r["feature"]: r["psi"] for r in drift.psi(rows, rows, ["f", "g"]).collect()}
     assert found == {"f": pytest.approx(0), "g": pytest.approx(0)}
     assert len(counted) == 2 and all(c.count() <= 20 * c.rdd.getNumPartitions() for c in counted)
+
+
+def test_contributions_join_no_second_panel(spark, monkeypatch):
+    from factorframe.plans import research_queries as Q
+    from factorframe.plans.testbed import Tables
+
+    plans = []
+    monkeypatch.setattr(Q, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    lines = spark.createDataFrame(
+        [(o, 1, 1, s, 10.0, 100.0 + o + s, 0.1, datetime.date(2020, 1, 3) + datetime.timedelta(days=7 * o)) for o in range(45) for s in (1, 2)],
+        "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_shipdate date")
+    suppliers = spark.createDataFrame([(1, 5.0), (2, 6.0)], "s_suppkey long, s_acctbal double")
+    tables = Tables(spark, "/nowhere")
+    monkeypatch.setattr(tables, "read", {"lineitem": lines, "supplier": suppliers}.__getitem__)
+    found = {(r["code"], r["date"], r["feature"]) for r in Q.contributions(tables).collect()}
+    assert {f for _, _, f in found} == {"size", "momentum", "volatility"}
+    assert len(plans) == 1 and plans[0].count("Join") == 2
