@@ -60,9 +60,10 @@ def targets(t, k: int = 10):
     return K.first_k(t.score, ["date"], [F.desc("score"), F.col("code")], k)
 
 
-def report(t):
+def report(t, held=None):
+    """held: the targets, where the caller has them."""
     t.keep("week")
-    rows = P.portfolio_returns(targets(t), P.execution_view(t.week, t.names.select("code", "listed")), t.benchmark)
+    rows = P.portfolio_returns(targets(t) if held is None else held, P.execution_view(t.week, t.names.select("code", "listed")), t.benchmark)
     return materialize(rows.withColumns({"return": F.col("return") / 100, "bench": F.col("bench") / 100}))
 
 
@@ -165,9 +166,9 @@ _VALUES = """v AS (SELECT date, 1e6 * exp(sum(ln(1 + "return")) OVER (ORDER BY d
     + """SELECT date, code, count(*) OVER (PARTITION BY date) AS n_hold, 1.0 / count(*) OVER (PARTITION BY date) AS weight,
                 coalesce(pv, 1e6) / count(*) OVER (PARTITION BY date) AS position_value FROM tgt LEFT JOIN v USING (date)""",
 )
-def position_values(t):
-    returns = report(t).select("date", (F.col("return") / 10).alias("return"))
-    return K.position_values(targets(t), returns, 1e6)
+def position_values(t, held=None):
+    returns = report(t, held).select("date", (F.col("return") / 10).alias("return"))
+    return K.position_values(targets(t) if held is None else held, returns, 1e6)
 
 
 @query(
@@ -178,7 +179,9 @@ def position_values(t):
     + "SELECT action, count(*) AS n_trades, sum(amount) AS total_amount FROM ti LEFT JOIN ps ON ps.idx = ti.at AND ps.code = ti.code GROUP BY action",
 )
 def trade_summary(t):
-    return K.trade_summary(K.trade_amounts(K.rebalance_trades(targets(t)), position_values(t)))
+    t.keep("week")  # before anything reads it: trades, values and the report all start there
+    held = materialize(targets(t))  # k rows per date, read by ten branches
+    return K.trade_summary(K.trade_amounts(K.rebalance_trades(held), position_values(t, held)))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factorframe.functions import factors as X
 from factorframe.plans import testbed
+from factorframe.plans.catalogue import REGISTRY
 from factorframe.session import materialize
 
 
@@ -76,3 +77,10 @@ def test_the_panel_of_features_moves_once(spark, folder, windows):
     out = X.features(testbed.Tables(spark, folder).keep("day").day, windows)
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1
     assert out.count() == 13 * 40
+
+
+def test_trade_summary_reads_the_trades_once(spark, folder):
+    out = REGISTRY["trade_summary"].run(spark, folder)
+    assert not [x for x in out.inputFiles() if "lineitem" in x]
+    found = {r.action: (r.n_trades, r.total_amount) for r in out.collect()}
+    assert set(found) == {"BUY", "SELL"} and all(n > 0 and total > 0 for n, total in found.values())
